@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, quality_rules
+from . import chat_format, exact_dedup, line_dedup, mixing, packing, quality_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op7_chat_format": chat_format.op7_chat_format,
+        "op9_packing": packing.op9_packing,
     }
 
 
