@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, quality_rules
+from . import chat_format, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_near_dedup": minhash.op3_near_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_chat_format": chat_format.op7_chat_format,
         "op9_packing": packing.op9_packing,
+        "op10_quality_classifier": quality_model.op10_quality_classifier,
     }
 
 
