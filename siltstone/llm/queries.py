@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules
+from . import chat_format, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_classifier": quality_model.op10_quality_classifier,
     }
