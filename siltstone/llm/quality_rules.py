@@ -121,11 +121,11 @@ def thresholds(metrics: DataFrame, spread: float = 6.0, min_docs: int = 200, k:
         "pairs",
     )
     langs = pairs.groupBy(F.col("lang").alias("of")).agg(*merged)
-    whole = pairs.groupBy(F.lit(1).alias("of")).agg(*merged)
+    whole = pairs.groupBy((F.col("n") > 0).alias("of")).agg(*merged)
     chosen = (
         pairs.alias("p")
         .join(langs.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.of")))
-        .join(whole.alias("w"), F.col("w.of") == F.lit(1))
+        .join(whole.alias("w"), F.col("w.of") == (F.col("p.n") > 0))
     )
 
     def limits(rule: str) -> list[Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, substring_dedup
+import corpus_pipeline
+
+from . import chat_format, exact_dedup, line_dedup, lm_score, minhash, mixing, packing, quality_model, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -10,12 +12,14 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_near_dedup": minhash.op3_near_dedup,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_classifier": quality_model.op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 
