@@ -35,9 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: each document stands as many times as the mix takes it."""
-    copies = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies.where(F.col("__copies") > 0), F.col("doc_id").eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
+    """Sources mixed to their target weights: each document stands as many times as the mix takes it.
+
+    Rows that repeat an id stand as often as the one of them that is taken most.
+    """
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    rows = docs.join(copies.where(F.col("__copies") > 0), F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
