@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("search",)
+_MODULES = ("search", "stats")
 
 
 def query(name: str, sql: str | None = None):
