@@ -19,68 +19,77 @@ CAPACITY = 4096
 #: Pieces of up to CAPACITY / TAIL_CLASS ids are packed as they are: their class wastes a 17th of a bin at most.
 TAIL_CLASS = 16
 #: Words a worker remembers the ids of; then it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 
 
 class WordTokens:
     """Ids of whole texts, word by word: the vocabulary's rules never look across white space.
 
     Words (split at ASCII white space) are looked up in a bounded cache. Of those it lacks, plain ones (letters below U+0250 and at
-    most one mark after them) are encoded together in one text and told apart by their last ids; the
-    others are encoded each by itself.
+    most one mark after them) are encoded many in one text and told apart by their last ids: they need no normaliser but
+    lower case, and no pattern but white space. The others are encoded each by itself, with all the vocabulary's rules.
     """
 
+    MARKS = ".,!?;:"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        by_space, by_byte = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([by_space, by_byte])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): x.tobytes() for m, x in zip(self.MARKS, self._encode(self.tokenizer, list(self.MARKS)))} | {b"": b""}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [text.split() for text in texts]
-        missing = set().union(*split).difference(self.cache)
+        distinct = set().union(*split)
+        missing = distinct.difference(self.cache)
         if len(self.cache) + len(missing) > CACHED_WORDS:
-            self.cache.clear()
-            self.cores.clear()
-            missing = set().union(*split)
+            self.cache = {word: self.cache[word] for word in distinct.difference(missing)}
+            self.cores = {}
         if missing:
             self._learn(missing)
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4") for x in found]
 
     def _learn(self, missing: set[bytes]) -> None:
-        plain, other = [], []
+        plain, other, marks = [], [], self.MARKS.encode()
         for word in missing:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(".,!?;:")
-            if len(text) - len(core) <= 1 and core.isalpha() and max(core) < "ɐ":
-                plain.append((word, core.lower() if core.isascii() else core, text[len(core) :]))
+            core = word.rstrip(marks)
+            if len(word) - len(core) > 1:
+                other.append(word)
+            elif core.isalpha():  # ASCII letters
+                plain.append((word, core.lower(), word[len(core) :]))
+            elif (text := core.decode("utf-8", "replace")).isalpha() and max(text) < "\u0250":
+                plain.append((word, text.lower().encode(), word[len(core) :]))
             else:
-                other.append((word, text))
-        cores = sorted({core for _, core, _ in plain}.difference(self.cores)) + [m for m in ".,!?;:" if m not in self.cores]
-        for i in range(0, len(cores), 1000):
-            group = cores[i : i + 1000]
-            (ids,) = self._encode([" ".join(group)])
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+                other.append(word)
+        cores = list({core for _, core, _ in plain}.difference(self.cores))
+        for i in range(0, len(cores), 100):
+            group = cores[i : i + 100]
+            (ids,) = self._encode(self.plain, [b" ".join(group).decode()])
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(cuts) == len(group):
-                parts = np.split(ids, cuts[:-1])
+                self.cores.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
             else:
-                parts = self._encode(group)
-            self.cores.update((core, part.tobytes()) for core, part in zip(group, parts))
-        cores = self.cores
-        self.cache.update((word, cores[core] + cores[mark] if mark else cores[core]) for word, core, mark in plain)
-        found = self._encode([text for _, text in other])
-        self.cache.update((word, ids.tobytes()) for (word, _), ids in zip(other, found))
+                self.cores.update((c, x.tobytes()) for c, x in zip(group, self._encode(self.tokenizer, [c.decode() for c in group])))
+        cores, after = self.cores, self.marks
+        self.cache.update((word, cores[core] + after[mark]) for word, core, mark in plain)
+        found = self._encode(self.tokenizer, [word.decode("utf-8", "replace") for word in other])
+        self.cache.update((word, ids.tobytes()) for word, ids in zip(other, found))
 
 
 _TOKENS: dict[str, WordTokens] = {}
