@@ -73,8 +73,8 @@ class WordTokens:
                 other.append(word)
             elif core.isalpha():  # ASCII letters
                 plain.append((word, core.lower(), word[len(core) :]))
-            elif (text := core.decode("utf-8", "replace")).isalpha() and max(text) < "\u0250":
-                plain.append((word, text.lower().encode(), word[len(core) :]))
+            elif (text := core.decode("utf-8", "replace").lower()).isalpha() and max(text) < "\u0250":
+                plain.append((word, text.encode(), word[len(core) :]))
             else:
                 other.append(word)
         cores = list({core for _, core, _ in plain}.difference(self.cores))
