@@ -18,7 +18,7 @@ PERMUTATIONS = 64
 #: 25 bands of 5 values: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 = 5e-5.
 BANDS, ROWS = 25, 5
 #: Pivots a bucket takes in one round, after the first.
-PIVOTS = 4
+PIVOTS = 8
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 62, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,6 +85,19 @@ def _confirm(width: int, percent: int):
     return work
 
 
+def _explode(width: int):
+    """Each text's shingle set as an array."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = [shingle_set(x or b"", width).view(np.int64) for x in some.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return work
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for all nodes of ``edges`` (``a``, ``b``).
 
@@ -132,10 +145,11 @@ def near_duplicates(
 
     1. Documents with equal sets are one node (its id the smallest). 2. Nodes with a band key in common share a bucket.
     3. Every member of a bucket is compared with the bucket's pivot (its smallest node) on the full sets: first only with the
-    smallest pivot it has, then, where that left them in different components, with the others. 4. Members of a bucket that
-    still lie in different components and were never compared get further pivots, until no bucket has two
-    components among the members that were not pivots. So every pair that shares a bucket is compared or
-    lies in one component, while a round makes pairs in proportion to the members, not to their square.
+    smallest pivot it has, then, where that left them in different components, with the others. 4. Where members that were no
+    pivots still lie in different components, those go that provably link with no other one (too many of
+    their shingles stand in no other member); the rest get further pivots, until no bucket has two components among the
+    members left. So every pair that shares a bucket is compared, or ruled out by counts, or lies in one
+    component, while a round makes pairs in proportion to the members, not to their square.
 
     Texts without words (or null) have no shingles, are linked with nothing, and stay. Rows that repeat an id
     are one document (should their texts differ, one of them is compared for all). A null id is linked only with equal sets. An empty
@@ -193,16 +207,40 @@ def near_duplicates(
     rest = component("b", "cb", component("a", "ca", stars)).where(F.col("ca") != F.col("cb"))
     merge(scratch.save(rest.select("a", "b").exceptAll(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "rest"))
 
-    open_ = members.where(F.col("node") != F.col("pivot")).select("key", "node", "n")
-    while True:
-        labelled = component("node", "c", open_)
+    def divided(rows: DataFrame) -> DataFrame:
+        """The members of buckets that hold two components."""
+        labelled = component("node", "c", rows.select("key", "node", "n"))
         split = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("c1") != F.col("c2"))
-        open_ = scratch.save(labelled.join(split.select("key"), "key").select("key", "node", "n", "c"), "open")
-        if open_.isEmpty():
+        return scratch.save(labelled.join(split.select("key"), "key"), "divided")
+
+    def hopeful(rows: DataFrame) -> DataFrame:
+        """Without the members that provably link with no other one of their bucket.
+
+        A shingle that no other member has lies in no intersection. With c shingles left of n, a link with a set of m
+        needs c >= percent * (n + m) / (100 + percent), and m is at least the bucket's smallest set and percent of n.
+        """
+        named = rows.select(F.col("node").alias("doc_id"), "node").distinct()
+        sets = texts.join(named, "doc_id").select("node", "text").mapInArrow(_explode(width), "node long, shingles array<long>")
+        single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+        own = single.where(F.col("k") == 1).groupBy("node").agg(F.count("*").alias("own"))
+        least = rows.groupBy("key").agg(F.min("n").alias("m"))
+        other = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100))
+        enough = (100 + percent) * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * (F.col("n") + other)
+        return rows.join(own, "node", "left").join(least, "key").where(enough).select("key", "node", "n")
+
+    open_ = divided(members.where(F.col("node") != F.col("pivot")))
+    while True:
+        left = open_.count()
+        while left:
+            open_ = divided(hopeful(open_))
+            before, left = left, open_.count()
+            if left > 0.9 * before:
+                break
+        if not left:
             break
-        picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "c")).alias("p") for i in range(PIVOTS)]
         by_key = None
-        for pick in picks:
+        for i in range(PIVOTS):
+            pick = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "c")).alias("p")
             some = open_.groupBy("key").agg(pick).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
             by_key = some if by_key is None else by_key.unionByName(some)
         by_key = scratch.save(by_key.distinct(), "more-pivots")
@@ -210,7 +248,7 @@ def near_duplicates(
         pairs = pairs.select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
         ordered = plausible(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         merge(scratch.save(ordered, "pairs"))
-        open_ = open_.join(by_key.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
+        open_ = divided(open_.join(by_key.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
 
     owners = component("node", "component_id", nodes.select("digest", "node"))
     owners = scratch.save(owners.select("digest", "component_id"), "owners")
