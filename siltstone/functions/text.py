@@ -151,10 +151,13 @@ def detect_language(text: Column, markers: dict[str, list[str]] | None = None) -
         found = found.when(share(r) >= 0.25, by_script(F.lit(lang), r))
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
+    def one_of(words: list[str]):
+        return lambda w: w.isin(words)
+
     def latin(tokens: Column) -> Column:
         hits = F.array(
             *(
-                F.struct(F.size(F.filter(tokens, lambda w, words=words: w.isin(words))).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+                F.struct(F.size(F.filter(tokens, one_of(words))).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
                 for i, (lang, words) in enumerate(markers.items())
             )
         )

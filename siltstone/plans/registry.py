@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("search", "stats", "graph")
+_MODULES = ("search", "stats", "graph", "lifecycle", "queue", "texts")
 
 
 def query(name: str, sql: str | None = None):
