@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch
@@ -17,8 +17,8 @@ from ._shingles import mix, shingle_set
 PERMUTATIONS = 64
 #: 25 bands of 5 values: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 = 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots a bucket takes in one round, after the first.
-PIVOTS = 8
+#: Pivots that a bucket takes in one round, after the first.
+PIVOTS = 64
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 62, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,7 +188,10 @@ def near_duplicates(
 
     def merge(pairs: DataFrame) -> None:
         nonlocal links, comps
-        links = scratch.save(links.unionByName(confirmed(pairs)), "links")
+        new = scratch.save(confirmed(pairs), "links")
+        if new.isEmpty():
+            return
+        links = links.unionByName(new)
         comps = scratch.save(connected_components(links, scratch), "components")
         links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -238,12 +241,9 @@ def near_duplicates(
                 break
         if not left:
             break
-        by_key = None
-        for i in range(PIVOTS):
-            pick = F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "c")).alias("p")
-            some = open_.groupBy("key").agg(pick).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"))
-            by_key = some if by_key is None else by_key.unionByName(some)
-        by_key = scratch.save(by_key.distinct(), "more-pivots")
+        first = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        by_key = open_.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
+        by_key = scratch.save(by_key.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "more-pivots")
         pairs = open_.join(by_key, "key").where((F.col("c") != F.col("ca")) & (F.col("a") != F.col("node")))
         pairs = pairs.select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
         ordered = plausible(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
