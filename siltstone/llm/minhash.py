@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch
@@ -17,8 +19,8 @@ from ._shingles import mix, shingle_set
 PERMUTATIONS = 64
 #: 25 bands of 5 values: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^25 = 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots that a bucket takes in one round, after the first.
-PIVOTS = 64
+#: Members of a bucket that are compared with one another in one task.
+BLOCK = 512
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 62, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,6 +100,77 @@ def _explode(width: int):
     return work
 
 
+def _short_sign(width: int):
+    """The last byte of each signature value that bands use, and the band keys."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [signature(shingle_set(x or b"", width)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            signs = [(v[: BANDS * ROWS] & np.uint64(255)).astype(np.uint8).tobytes() for v in values]
+            bands = [band_keys(v).tobytes() for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sign", "bands"])
+
+    return work
+
+
+def least_agreement(percent: int) -> float:
+    """The share of equal signature values that a link falls short of with a probability of 3e-5 at most (4 standard deviations)."""
+    p = percent / 100
+    return p - 4 * math.sqrt(p * (1 - p) / (BANDS * ROWS))
+
+
+def _matrix(column: pd.Series, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1)
+
+
+def _sizes_fit(n: int, others: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, others) >= percent * np.maximum(n, others)
+
+
+def _pair_frame(a: list, b: list) -> pd.DataFrame:
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _nearest(percent: int, partners: int = 3):
+    """Of each member outside its bucket's largest component: the most alike members of other components in its block."""
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        signs, node, n, c = _matrix(group["sign"], np.uint8), *(group[x].to_numpy() for x in ("node", "n", "c"))
+        a, b = [], []
+        for i in np.flatnonzero(group["outside"].to_numpy()):
+            alike = np.where((c != c[i]) & _sizes_fit(n[i], n, percent), (signs == signs[i]).mean(axis=1), 0)
+            best = np.argsort(-alike, kind="stable")[:partners]
+            best = best[alike[best] >= least_agreement(percent)]
+            a.append(np.full(len(best), node[i]))
+            b.append(node[best])
+        return _pair_frame(a, b)
+
+    return work
+
+
+def _plausible(percent: int):
+    """The pairs of a block of members and some outside ones that may be links: other component, sizes and signatures that fit.
+
+    A pair stands in the first bucket that it shares, so that it comes up once.
+    """
+
+    def work(key: tuple, group: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(group) and len(probes):
+            signs, bands = _matrix(group["sign"], np.uint8), _matrix(group["bands"], np.int64)
+            node, n, c, outside = (group[x].to_numpy() for x in ("node", "n", "c", "outside"))
+            for i, ni, ci, sign, band in zip(probes["node"], probes["n"], probes["c"], _matrix(probes["sign"], np.uint8), _matrix(probes["bands"], np.int64)):
+                fits = (c != ci) & _sizes_fit(ni, n, percent) & (~outside | (node > i))
+                at = np.flatnonzero(fits & ((signs == sign).mean(axis=1) >= least_agreement(percent)))
+                at = at[band[(bands[at] == band).argmax(axis=1)] == key[0]]
+                a.append(np.full(len(at), i))
+                b.append(node[at])
+        return _pair_frame(a, b)
+
+    return work
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for all nodes of ``edges`` (``a``, ``b``).
 
@@ -145,11 +218,12 @@ def near_duplicates(
 
     1. Documents with equal sets are one node (its id the smallest). 2. Nodes with a band key in common share a bucket.
     3. Every member of a bucket is compared with the bucket's pivot (its smallest node) on the full sets: first only with the
-    smallest pivot it has, then, where that left them in different components, with the others. 4. Where members that were no
-    pivots still lie in different components, those go that provably link with no other one (too many of
-    their shingles stand in no other member); the rest get further pivots, until no bucket has two components among the
-    members left. So every pair that shares a bucket is compared, or ruled out by counts, or lies in one
-    component, while a round makes pairs in proportion to the members, not to their square.
+    smallest pivot it has, then, where that left them in different components, with the others. 4. Where the other members still lie in
+    different components, those go that provably link with no other one (too many of their shingles stand in no other member).
+    5. Members outside their bucket's largest component are compared with the three most alike ones of a block of it, on the full sets,
+    and then with every member of another component whose size and signature may be a link's. So every pair that shares a
+    bucket is compared, or ruled out by counts or by a signature four standard deviations off, or lies in one component.
+    Signatures are compared in blocks within tasks; only pairs that pass are rows.
 
     Texts without words (or null) have no shingles, are linked with nothing, and stay. Rows that repeat an id
     are one document (should their texts differ, one of them is compared for all). A null id is linked only with equal sets. An empty
@@ -231,24 +305,41 @@ def near_duplicates(
         enough = (100 + percent) * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * (F.col("n") + other)
         return rows.join(own, "node", "left").join(least, "key").where(enough).select("key", "node", "n")
 
-    open_ = divided(members.where(F.col("node") != F.col("pivot")))
-    while True:
-        left = open_.count()
+    def shrunk(rows: DataFrame) -> DataFrame:
+        left = rows.count()
         while left:
-            open_ = divided(hopeful(open_))
-            before, left = left, open_.count()
+            rows = divided(hopeful(rows))
+            before, left = left, rows.count()
             if left > 0.9 * before:
                 break
-        if not left:
-            break
-        first = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        by_key = open_.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS)
-        by_key = scratch.save(by_key.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "more-pivots")
-        pairs = open_.join(by_key, "key").where((F.col("c") != F.col("ca")) & (F.col("a") != F.col("node")))
-        pairs = pairs.select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
-        ordered = plausible(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        merge(scratch.save(ordered, "pairs"))
-        open_ = divided(open_.join(by_key.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
+        return rows
+
+    def signed_members(rows: DataFrame) -> DataFrame:
+        """``rows`` with signatures, ``block`` (about ``BLOCK`` random members of a bucket) and ``outside`` (not of its largest component)."""
+        named = rows.select(F.col("node").alias("doc_id"), "node").distinct()
+        signs = texts.join(named, "doc_id").select("node", "text").mapInArrow(_short_sign(width), "node long, sign binary, bands binary")
+        counts = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
+        main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.ceil(F.sum("k") / BLOCK).alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+        outside = (F.col("c") != F.col("main")).alias("outside")
+        return scratch.save(rows.join(main, "key").join(signs, "node").select("key", "blocks", block, outside, "node", "n", "c", "sign", "bands"), "signs")
+
+    open_ = shrunk(divided(members.where(F.col("node") != F.col("pivot"))))
+    if not open_.isEmpty():
+        near = signed_members(open_).groupBy("key", "block").applyInPandas(_nearest(percent), "a long, b long")
+        merge(scratch.save(near.distinct(), "nearest"))
+        open_ = shrunk(divided(open_.select("key", "node", "n")))
+    if not open_.isEmpty():
+        rows = signed_members(open_)
+        probes = rows.where("outside")
+        rounds = probes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("rounds"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        asked = probes.join(rounds, "key").withColumn("round", F.pmod(F.xxhash64("node", F.lit(1)), "rounds"))
+        asked = asked.select("key", "round", "node", "n", "c", "sign", "bands", every("blocks").alias("block"))
+        held = rows.join(rounds, "key").select("key", "block", "outside", "node", "n", "c", "sign", "bands", every("rounds").alias("round"))
+        by = ("key", "block", "round")
+        found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_plausible(percent), "a long, b long")
+        merge(scratch.save(found, "plausible"))
 
     owners = component("node", "component_id", nodes.select("digest", "node"))
     owners = scratch.save(owners.select("digest", "component_id"), "owners")
