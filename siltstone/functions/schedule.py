@@ -6,6 +6,7 @@ import calendar
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names that fields may use.
@@ -74,6 +75,10 @@ def cron_next(expression: str, after: dt.datetime) -> dt.datetime | None:
     return None
 
 
-@F.pandas_udf("timestamp_ntz")
-def cron_next_udf(expressions: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([cron_next(e, a.to_pydatetime()) for e, a in zip(expressions, after)], dtype="datetime64[us]")
+def cron_next_udf(expressions: Column, after: Column) -> Column:
+    """``cron_next`` of two columns."""
+
+    def work(expressions: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([cron_next(e, a.to_pydatetime()) for e, a in zip(expressions, after)], dtype="datetime64[us]")
+
+    return F.pandas_udf(work, "timestamp_ntz")(expressions, after)
