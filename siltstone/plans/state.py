@@ -27,7 +27,7 @@ def stm03s(s, d):
     """The same on a stream of one batch."""
     stream = s.readStream.schema(t.load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     rows = stream.select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id")
-    return st.run_available(st.limited_stream(rows, 86400.0, 2), f"limiter_{uuid.uuid4().hex}")
+    return st.run_available(st.limited_stream(rows, 86400.0, 2), f"limiter_{uuid.uuid4().hex}", empty_batches=False)
 
 
 @query("stm04_session_stream")

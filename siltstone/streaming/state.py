@@ -125,8 +125,16 @@ def replay_stream(messages: DataFrame, seconds: int = 60) -> DataFrame:
     return messages.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["session", "msg_id"])
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_available(stream: DataFrame, name: str, mode: str = "append", empty_batches: bool = True) -> DataFrame:
+    """Run a stream over what is available into a table in memory (for tests and small results).
+
+    Processing-time timeouts ask for empty batches for ever; ``empty_batches`` off lets such a stream end.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(empty_batches).lower())
+    try:
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)
