@@ -336,6 +336,7 @@ def near_duplicates(
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         asked = probes.join(rounds, "key").withColumn("round", F.pmod(F.xxhash64("node", F.lit(1)), "rounds"))
         asked = asked.select("key", "round", "node", "n", "c", "sign", "bands", every("blocks").alias("block"))
+        asked = asked.toDF(*asked.columns)  # columns of its own: the cogroup's sides come from one table
         held = rows.join(rounds, "key").select("key", "block", "outside", "node", "n", "c", "sign", "bands", every("rounds").alias("round"))
         by = ("key", "block", "round")
         found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_plausible(percent), "a long, b long")

@@ -64,6 +64,19 @@ def test_near_duplicates_match_brute_force(spark, width):
     assert got == brute_components(texts, width)
 
 
+def test_members_that_counts_do_not_rule_out_match_brute_force(spark, monkeypatch):
+    rng, asked = random.Random(5), []
+    plausible = minhash._plausible
+    monkeypatch.setattr(minhash, "_plausible", lambda percent: asked.append(percent) or plausible(percent))
+    texts = []
+    for _ in range(150):  # the same two words may stand in each place, so changed shingles are shared
+        changed = set(rng.sample(range(120), rng.randrange(2, 12)))
+        texts.append(" ".join(f"{'v' if i in changed else 'w'}{i}" for i in range(120)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, texts), width=4).collect()}
+    assert got == brute_components(texts, 4) and len({c for _, c in got.values()}) > 1
+    assert asked == [80]
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
