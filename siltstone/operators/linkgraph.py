@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Classes of one block key that meet one another in one group; more are split.
+HOT_CLASSES = 2000
+
 
 def resolve(links: DataFrame, documents: DataFrame) -> DataFrame:
     """``links`` (``url``) with ``to_doc``: the document at exactly that URL, else at its variant with or without a last slash, else 0.
@@ -69,15 +72,35 @@ def simhash(terms: Column) -> Column:
     return F.aggregate(hashes, zero, add, to_long)
 
 
-def near_pairs(chunks: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of chunks of different documents whose SimHashes share their first 16 bits and differ in ``distance`` bits at most.
+def near_pairs(chunks: DataFrame, save, distance: int = 3) -> DataFrame:
+    """``a``, ``b``, ``distance``: SimHashes that differ in ``distance`` bits at most, as links between representatives plus membership.
 
-    Equal hashes meet once per document pair through their representative; blocks are joined by key, nothing is sampled.
+    Chunks (``chunk_id``, a key; ``doc_id``; ``simhash``) of one hash are a class, and its smallest chunk represents it. Two
+    classes within ``distance`` give one row of their representatives, with ``distance`` from 1. A class of n chunks gives n - 1 rows
+    at distance 0, from its representative to each other chunk, instead of a row per pair. Chunks of one document alone make no
+    link; a class is listed when it spans documents or is linked. Hashes are cut into ``distance + 2`` blocks, two of which must be
+    equal in any pair sought, so the join on each choice of two blocks loses none; a key with many classes is split in squares.
+    ``save`` writes a table and reads it back.
     """
-    a = chunks.select(F.shiftrightunsigned("simhash", 48).alias("block"), F.col("chunk_id").alias("a"), F.col("doc_id").alias("da"), F.col("simhash").alias("ha"))
-    b = chunks.select(F.shiftrightunsigned("simhash", 48).alias("block"), F.col("chunk_id").alias("b"), F.col("doc_id").alias("db"), F.col("simhash").alias("hb"))
-    close = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & (F.col("da") != F.col("db")) & close).select("a", "b")
+    classes = save(chunks.groupBy("simhash").agg(F.min("chunk_id").alias("rep"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    cuts = [64 * i // (distance + 2) for i in range(distance + 3)]
+    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.struct(F.lit(f"{i} {j}").alias("at"), F.col("simhash").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("bits")) for i in range(len(masks)) for j in range(i)]
+    keyed = classes.select("simhash", "rep", "low", "high", F.explode(F.array(*keys)).alias("key")).select("key.at", "key.bits", "simhash", "rep", "low", "high")
+    hot = keyed.groupBy("at", "bits").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CLASSES)
+    parts = hot.select("at", "bits", F.ceil(F.col("n") / HOT_CLASSES).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(parts), ["at", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = dealt.select("at", "bits", F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("simhash", "rep", "low", "high")))
+    b = dealt.select("at", "bits", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in ("simhash", "rep", "low", "high")))
+    bits = F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash")))
+    two_documents = F.least("a_low", "b_low") < F.greatest("a_high", "b_high")
+    met = a.join(b, ["at", "bits", "part"]).where((F.col("a_simhash") < F.col("b_simhash")) & (bits <= distance) & two_documents)
+    links = save(met.select("a_simhash", "b_simhash", F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"), bits.alias("distance")).distinct())
+    linked = links.select(F.col("a_simhash").alias("simhash")).unionByName(links.select(F.col("b_simhash").alias("simhash")))
+    listed = classes.where("low < high").select("simhash").unionByName(linked).distinct()
+    members = chunks.select("simhash", "chunk_id").distinct().join(classes.select("simhash", "rep").join(listed, "simhash"), "simhash")
+    return links.select("a", "b", "distance").unionByName(members.where("chunk_id > rep").select(F.col("rep").alias("a"), F.col("chunk_id").alias("b"), F.lit(0).alias("distance")))
 
 
 def clusters(edges: DataFrame, save) -> DataFrame:

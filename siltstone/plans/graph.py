@@ -121,14 +121,15 @@ def str10(s, d):
 
 @query("join18_near_pairs")
 def join18(s, d):
-    return g.near_pairs(_saver(s)(_hashed(s, d)))
+    save = _saver(s)
+    return g.near_pairs(save(_hashed(s, d)), save)
 
 
 @query("agg12_duplicate_clusters")
 def agg12(s, d):
     """Clusters of two chunks or more among the SimHash pairs."""
     save = _saver(s)
-    found = g.clusters(g.near_pairs(save(_hashed(s, d))), save)
+    found = g.clusters(g.near_pairs(save(_hashed(s, d)), save), save)
     return found.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
