@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Classes of one block key that meet one another in one group; more are split.
 HOT_CLASSES = 2000
+#: Documents that one page links to and that meet the page's others in one group.
+HOT_LINKS = 1000
 
 
 def resolve(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -25,17 +27,27 @@ def resolve(links: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def cocitation(links: DataFrame, sources: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id``, ``related``, ``hits``, ``rank``: the ``2 n`` documents most often linked from the pages that link to ``doc_id``.
+def cocited_pairs(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``doc_id``, ``related``, ``hits``: how often a page links to ``doc_id`` of ``sources`` and to ``related``.
 
-    ``sources`` holds the stated set of documents asked about. Edges are first cut to the pages that
-    link to one of them, so a page with many links is squared only for the documents asked about.
+    A page's equal links are counted first, so a page makes a row for each two of its documents. A page of over ``HOT_LINKS``
+    documents is dealt to several tasks.
     """
-    asked = links.join(sources.select(F.col("doc_id").alias("to_doc")), "to_doc").select("from_doc", F.col("to_doc").alias("doc_id"))
-    pairs = asked.join(links.select("from_doc", F.col("to_doc").alias("related")), "from_doc").where("related <> doc_id")
-    counts = pairs.groupBy("doc_id", "related").agg(F.count("*").alias("hits"))
+    edges = links.groupBy("from_doc", F.col("to_doc").alias("related")).agg(F.count("*").alias("m"))
+    hot = edges.groupBy("from_doc").agg(F.count("*").alias("size")).where(F.col("size") > HOT_LINKS)
+    parts = hot.select("from_doc", F.ceil(F.col("size") / HOT_LINKS).cast("int").alias("parts"))
+    edges = edges.join(parts, "from_doc", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = edges.withColumnRenamed("related", "doc_id").join(sources.select("doc_id"), "doc_id", "left_semi")
+    asked = asked.select("from_doc", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", F.col("m").alias("k"))
+    others = edges.select("from_doc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "related", "m")
+    pairs = asked.join(others, ["from_doc", "part"]).where("related <> doc_id")
+    return pairs.groupBy("doc_id", "related").agg(F.sum(F.col("k") * F.col("m")).alias("hits"))
+
+
+def cocitation(links: DataFrame, sources: DataFrame, n: int = 5) -> DataFrame:
+    """``doc_id``, ``related``, ``hits``, ``rank``: the ``2 n`` documents most often linked from the pages that link to ``doc_id`` of ``sources``."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("hits"), "related")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * n)
+    return cocited_pairs(links, sources).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * n)
 
 
 def related(cocited: DataFrame, documents: DataFrame, sources: DataFrame, n: int = 5) -> DataFrame:
