@@ -26,23 +26,26 @@ def query_terms(queries: DataFrame, terms: Column, most: int = 12) -> DataFrame:
 
 
 def bm25(
-    terms: DataFrame, index: DataFrame, chunks: DataFrame, n_chunks: DataFrame, avg_len: float, per_term: int = 2000, top: int = 200
+    terms: DataFrame, index: DataFrame, chunks: DataFrame, n_chunks: DataFrame, avg_len: float | None = None, per_term: int | None = 2000, top: int = 200
 ) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``matched``, ``rank``: the ``top`` chunks of each query.
 
     ``index`` holds postings of all chunks (df counts them whatever their status); ``chunks`` the visible ones (``chunk_id``,
-    ``doc_id``, ``token_est``); ``n_chunks`` is a one-row table with ``n``. A term's ``per_term`` postings of highest tf are read. Queries are few: their terms
-    are joined to the postings, which are pruned before they meet the chunks.
+    ``doc_id``, ``token_est``); ``n_chunks`` is a one-row table with ``n`` and, where ``avg_len`` is None, ``avg_len``. A term's ``per_term``
+    postings of highest tf are read (the reference's own limit), all with None. Postings are pruned to the queries' terms before they
+    meet the chunks.
     """
     wanted = terms.select("term").distinct()
     own = index.join(wanted, "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     by_tf = Window.partitionBy("term").orderBy(F.desc("tf"), "chunk_id")
     visible = own.join(chunks.select("chunk_id", "token_est"), "chunk_id")
-    visible = visible.withColumn("r", F.row_number().over(by_tf)).where(F.col("r") <= per_term)
+    if per_term is not None:
+        visible = visible.withColumn("r", F.row_number().over(by_tf)).where(F.col("r") <= per_term)
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     idf = F.greatest(F.lit(0.0), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_est") / F.lit(float(avg_len))))
+    length = F.col("avg_len") if avg_len is None else F.lit(float(avg_len))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_est") / length))
     weights = df.join(F.broadcast(n_chunks), F.col("df") >= 0)
     scored = (
         terms.join(visible, "term")
