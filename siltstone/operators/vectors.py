@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (both > 0), dot(a, b) / both).otherwise(0.0)
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
+
+
+def nearest_in_blocks(queries: DataFrame, vectors: DataFrame, top: int = 30) -> DataFrame:
+    """``nearest`` for a query set of any size: blocks of about ``QUERY_BLOCK`` queries are broadcast one after the other."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [nearest(queries.where(block == i), vectors, top) for i in range(blocks)])
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, top: int = 30) -> DataFrame:
     """``query_id``, ``vec_id``, ``similarity``, ``rank``: the ``top`` most similar vectors of each query.
 

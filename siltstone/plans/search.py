@@ -117,8 +117,11 @@ boosted AS (SELECT c.query_id, c.chunk_id, k.doc_id, k.title, k.permalink,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted) WHERE rank <= 8"""))
 def df03(spark, d):
     """Lexical and dense lists, fused, cut, hydrated, boosted, one document once."""
-    bm, terms = _bm25(spark, d), r.query_terms(_queries(spark, d), _terms())
-    fused = r.fuse([bm, _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")])
+    return _search(spark, d, _bm25(spark, d), r.query_terms(_queries(spark, d), _terms()), _dense(spark, d))
+
+
+def _search(spark, d, bm: DataFrame, terms: DataFrame, dense: DataFrame) -> DataFrame:
+    fused = r.fuse([bm, dense.withColumnRenamed("vec_id", "chunk_id")])
     w = r.Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")
     cut = fused.withColumn("fr", F.row_number().over(w)).where("fr <= 32")
     visible = t.kb_documents(spark, d).where("status = 'active'").select(F.col("doc_id").alias("chunk_id"), "doc_id", "title", "permalink", "weight", "kind")
@@ -133,6 +136,78 @@ def df03(spark, d):
     return r.best_per_document(rows, 8)
 
 
+# The same searches over all benchmark rows, every vector whose id is divisible by 100, all postings and the corpus's own mean length.
+_QUERY_TERMS_ALL = f"""
+qt AS (SELECT item_id AS query_id, unnest(list_slice(list_distinct_ordered, 1, 12)) AS term FROM (
+  SELECT item_id, list_filter(ts, lambda w, i: list_position(ts, w) = i) AS list_distinct_ordered FROM (
+    SELECT item_id, {_TERMS} AS ts FROM benchmark)))"""
+_BM25_ALL = """
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+vis AS (SELECT p.term, p.chunk_id, p.tf, k.token_est FROM post p JOIN kb k ON k.doc_id = p.chunk_id WHERE k.status = 'active' AND p.term IN (SELECT term FROM qt)),
+n AS (SELECT greatest(count(*), 1)::DOUBLE AS n, avg(token_est) AS avg_len FROM kb WHERE status = 'active'),
+scored AS (SELECT query_id, chunk_id, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2
+    / (tf + 1.2 * (0.25 + 0.75 * token_est / avg_len))), 9) AS score, count(*) AS matched
+  FROM qt JOIN vis USING (term) JOIN df USING (term), n GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 200)"""
+_DENSE_ALL = """
+dense AS (SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS similarity
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 30)"""
+_FUSED_ALL = f"""{_DENSE_ALL},
+lists AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, vec_id, rank FROM dense),
+rrf AS (SELECT query_id, chunk_id, round(sum(60.0::DOUBLE / (60 + rank)), 12) AS rrf FROM lists GROUP BY 1, 2)"""
+
+
+def _queries_all(spark, d) -> DataFrame:
+    return t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bm25_all(spark, d) -> DataFrame:
+    chunks = t.kb_documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
+    active = chunks.where("status = 'active'")
+    n = active.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len"))
+    return r.bm25(r.query_terms(_queries_all(spark, d), _terms()), r.postings(chunks, _terms()), active, n, per_term=None)
+
+
+def _dense_all(spark, d, top=30) -> DataFrame:
+    vectors = t.load(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.nearest_in_blocks(queries, vectors, top)
+
+
+@query("mth01_bm25_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL} SELECT query_id, chunk_id, score, matched, rank FROM bm"))
+def mth01_all(spark, d):
+    return _bm25_all(spark, d)
+
+
+@query("join19_dense_search_all", f"WITH {_DENSE_ALL} SELECT query_id, vec_id, similarity, rank FROM dense")
+def join19_all(spark, d):
+    return _dense_all(spark, d)
+
+
+@query("top04_dense_top_all", f"WITH {_DENSE_ALL} SELECT query_id, max(similarity) AS best, min(similarity) AS worst, count(*) AS n FROM dense GROUP BY 1")
+def top04_all(spark, d):
+    return _dense_all(spark, d).groupBy("query_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("worst"), F.count("*").alias("n"))
+
+
+@query("mth02_rank_fusion_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, {_FUSED_ALL} SELECT query_id, chunk_id, rrf FROM rrf"))
+def mth02_all(spark, d):
+    return r.fuse([_bm25_all(spark, d), _dense_all(spark, d).withColumnRenamed("vec_id", "chunk_id")])
+
+
+@query("df03_search_all", t.with_("kb", body=f""", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, {_FUSED_ALL},
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
+nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY 1),
+boosted AS (SELECT c.query_id, c.chunk_id, k.doc_id, k.title, k.permalink,
+    round(rrf * (0.8 + weight / 250.0::DOUBLE) * (0.5 + 0.5 * coalesce(matched, 0) / n_terms::DOUBLE) * CASE WHEN kind = 'spec' THEN 1.15 ELSE 1.0 END, 4) AS score
+  FROM cut c JOIN kb k ON k.doc_id = c.chunk_id JOIN nt USING (query_id) LEFT JOIN bm ON bm.query_id = c.query_id AND bm.chunk_id = c.chunk_id
+  WHERE k.status = 'active')
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted) WHERE rank <= 8"""))
+def df03_all(spark, d):
+    """Lexical and dense lists of all queries, fused, cut, hydrated, boosted, one document once."""
+    return _search(spark, d, _bm25_all(spark, d), r.query_terms(_queries_all(spark, d), _terms()), _dense_all(spark, d))
+
+
 @query("df05_title_lookup", r"""
 WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS words FROM benchmark),
 ti AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(split_part(text, chr(10), 1), 1, 255)), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS words FROM documents),
@@ -177,13 +252,35 @@ def join04(spark, d):
 @query("agg26_score_threshold", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, tops AS (SELECT list_sort(list(score)) AS s FROM bm WHERE rank = 1) SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"))
 def agg26(spark, d):
     """Half the fifth percentile of the best scores, within [0.05, 1.5]; null for fewer than five."""
-    tops = _bm25(spark, d).where("rank = 1").agg(F.collect_list("score").alias("s"))
+    return _threshold(_bm25(spark, d))
+
+
+def _threshold(bm: DataFrame) -> DataFrame:
+    tops = bm.where("rank = 1").agg(F.collect_list("score").alias("s"))
     low = x.at_fraction(F.col("s"), 0.05) * 0.5
     return tops.select(F.when(F.size("s") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), low)), 6)).alias("threshold"))
 
 
+@query("agg26_score_threshold_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, tops AS (SELECT list_sort(list(score)) AS s FROM bm WHERE rank = 1) SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"))
+def agg26_all(spark, d):
+    """agg26 over the best scores of all queries, counted instead of collected."""
+    hist = _bm25_all(spark, d).where("rank = 1").groupBy("score").agg(F.count("*").alias("c"))
+    w = r.Window.orderBy("score").rowsBetween(r.Window.unboundedPreceding, 0)
+    ranked = hist.withColumn("upto", F.sum("c").over(w)).crossJoin(hist.agg(F.sum("c").alias("n")))
+    at = F.min(F.when(F.col("upto") > F.floor(F.lit(0.05) * (F.col("n") - 1)), F.col("score")))
+    low = ranked.agg(at.alias("s"), F.max("n").alias("n"))
+    return low.select(F.when(F.col("n") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), F.col("s") * 0.5)), 6)).alias("threshold"))
+
+
 @query("set01_query_terms", f"WITH {_QUERY_TERMS} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('the', 'and', 'of') GROUP BY 1")
 def set01(spark, d):
     """Distinct terms in first-seen order minus noise terms."""
     terms = r.query_terms(_queries(spark, d), _terms()).where(~F.col("term").isin("the", "and", "of"))
     return terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
+
+
+@query("set01_query_terms_all", f"WITH {_QUERY_TERMS_ALL} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('the', 'and', 'of') GROUP BY 1")
+def set01_all(spark, d):
+    """set01 of all queries."""
+    terms = r.query_terms(_queries_all(spark, d), _terms()).where(~F.col("term").isin("the", "and", "of"))
+    return terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
