@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import at_fraction
+from ..streaming.state import fold_sorted
+
+_CENT = Decimal("0.01")
 
 
 def daily_rollup(messages: DataFrame) -> DataFrame:
@@ -14,7 +20,8 @@ def daily_rollup(messages: DataFrame) -> DataFrame:
     Averages and percentiles of nothing are written as 0, as the store does.
     """
     said = F.col("role") == "assistant"
-    return messages.groupBy(F.to_date("created_at").alias("stat_date"), "tier").agg(
+    days = messages.withColumn("stat_date", F.to_date("created_at"))
+    rows = days.groupBy("stat_date", "tier").agg(
         F.countDistinct("conv_id").alias("conversations"),
         F.count("*").alias("messages"),
         F.count_if(said & (F.col("sources") != "[]")).alias("answered"),
@@ -22,9 +29,23 @@ def daily_rollup(messages: DataFrame) -> DataFrame:
         F.count_if(~said).alias("questions"),
         F.coalesce(F.round(F.avg(F.when(said, F.col("confidence"))), 6), F.lit(0.0)).alias("avg_confidence"),
         F.coalesce(F.round(F.avg("latency_ms"), 6), F.lit(0.0)).alias("avg_latency"),
-        F.coalesce(at_fraction(F.collect_list("latency_ms"), 0.95), F.lit(0)).cast("long").alias("p95_latency"),
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
     )
+    p95 = discrete_fraction(days, ["stat_date", "tier"], "latency_ms", 0.95).select(F.col("stat_date").alias("__day"), F.col("tier").alias("__tier"), "at")
+    joined = rows.join(p95, F.col("stat_date").eqNullSafe(F.col("__day")) & F.col("tier").eqNullSafe(F.col("__tier")), "left")
+    return joined.select(*rows.columns[:-1], F.coalesce("at", F.lit(0)).cast("long").alias("p95_latency"), "tokens_out")
+
+
+def discrete_fraction(rows: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
+    """``keys`` and ``at``: the value at floor(fraction * (n - 1)) of each key's sorted values, nulls left out.
+
+    Equal values are counted first; only a key's distinct values meet in one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    of_key = Window.partitionBy(*keys).orderBy(value)
+    upto = F.sum("__c").over(of_key.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(Window.partitionBy(*keys))})
+    return placed.where(F.col("__upto") > F.floor(F.lit(fraction) * (F.col("__n") - 1))).groupBy(*keys).agg(F.min(value).alias("at"))
 
 
 def resolved_conversations(conversations: DataFrame, open_questions: DataFrame) -> DataFrame:
@@ -82,12 +103,33 @@ def provider_stats(calls: DataFrame) -> DataFrame:
 
 
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, keep: float = 0.7) -> DataFrame:
-    """Exponential moving average per key, rounded to cents at each step: the last value."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v"))))
-    fold = F.aggregate(
-        steps, F.lit(None).cast("double"), lambda a, s: F.round(F.when(a.isNull(), s["v"]).otherwise(a * keep + s["v"] * (1 - keep)), 2)
-    )
-    return rows.groupBy(key).agg(fold.alias("ema"))
+    """Exponential moving average per key, rounded to cents at each step: the last value. Sorted rows are streamed, whatever a key holds."""
+    names = [f"o{i}" for i in range(len(order))]
+    steps = rows.select(F.col(key).alias("key"), *(F.col(c).alias(n) for c, n in zip(order, names)), F.col(value).cast("double").alias("v"))
+
+    def step(state, row):
+        nth, last = state
+        v = None if pd.isna(row.v) else row.v
+        # A null breaks the average; it starts anew with the next value.
+        now = v if last is None else None if v is None else last * keep + v * (1 - keep)
+        now = now if now is None or not math.isfinite(now) else float(Decimal(repr(now)).quantize(_CENT, ROUND_HALF_UP))
+        return (nth + 1, now), [float(nth), now]
+
+    done = fold_sorted(steps, "key", [*names, "v"], step, lambda: (0, None), "done", "array<double>")
+    return done.groupBy(F.col("key").alias(key)).agg(F.max_by(F.col("done")[1], F.col("done")[0]).alias("ema"))
+
+
+def numbered(rows: DataFrame, key: str, block: int = 100_000) -> DataFrame:
+    """``rows`` with ``nth`` from 0 in the order of ``key`` (an integer, not null): counted per range of ids, then within each.
+
+    Pass narrow rows. Ranges are ``block`` ids wide, so only one row per range meets in one task.
+    """
+    dealt = rows.withColumn("__range", F.floor(F.col(key) / block))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return dealt.withColumn("__at", within).join(starts, "__range").withColumn("nth", F.col("__at") + F.col("__start")).drop("__range", "__at", "__start")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_minutes: int = 60) -> DataFrame:

@@ -168,5 +168,12 @@ def df17(s, d):
     """Chunks without vectors in batches of 32, cut to 4,000 characters."""
     from pyspark.sql import Window
 
+    from ..operators.analytics import numbered
+
     todo = t.kb_documents(s, d).where("status = 'active'").join(t.load(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    return todo.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 4000).alias("content"), F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 32).alias("batch"))
+    # Copies of an id are numbered as a run and dealt to its rows by their own place in it, so narrow rows carry the numbers.
+    copies = todo.select("doc_id", F.substring("text", 1, 4000).alias("content"))
+    places = numbered(copies.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")), "doc_id")
+    w = Window.partitionBy("doc_id").orderBy("content")
+    texts = copies.withColumn("copy", F.row_number().over(w).cast("long"))
+    return texts.join(places, ["doc_id", "copy"]).select(F.col("doc_id").alias("chunk_id"), "content", F.floor(F.col("nth") / 32).alias("batch"))
