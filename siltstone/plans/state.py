@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,14 +25,15 @@ def stm03s(s, d):
     """The same on a stream of one batch."""
     stream = s.readStream.schema(t.load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     rows = stream.select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id")
-    return st.run_available(st.limited_stream(rows, 86400.0, 2), f"limiter_{uuid.uuid4().hex}", empty_batches=False)
+    return st.run_available(st.limited_stream(rows, 86400.0, 2), empty_batches=False)
 
 
 @query("stm04_session_stream")
 def stm04(s, d):
+    """All sessions of the events, those still open at their end too."""
     stream = s.readStream.schema(t.load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return st.run_available(st.session_stream(rows), f"sessions_{uuid.uuid4().hex}")
+    return st.run_available(st.session_stream(rows), "complete")
 
 
 @query("stm05_circuit_breaker")

@@ -6,10 +6,12 @@ number of rows. The streams use the same step functions.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -111,7 +113,11 @@ def limited_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
 
 
 def session_stream(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Sessions of a stream of ``user_id``, ``ts``: a gap closes one, rows later than ``late`` are dropped by the watermark."""
+    """Sessions of a stream of ``user_id``, ``ts``: a gap closes one.
+
+    In append mode rows later than ``late`` are dropped by the watermark, and a session comes out once the watermark passes its end;
+    complete mode keeps all and gives open sessions too.
+    """
     return (
         events.withWatermark("ts", late)
         .groupBy("user_id", F.session_window("ts", gap).alias("w"))
@@ -125,16 +131,33 @@ def replay_stream(messages: DataFrame, seconds: int = 60) -> DataFrame:
     return messages.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["session", "msg_id"])
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", empty_batches: bool = True) -> DataFrame:
-    """Run a stream over what is available into a table in memory (for tests and small results).
+def run_available(stream: DataFrame, mode: str = "append", empty_batches: bool = True) -> DataFrame:
+    """Run a stream over what is available into Parquet under the folder the executors share, and read that back.
 
-    Processing-time timeouts ask for empty batches for ever; ``empty_batches`` off lets such a stream end.
+    In ``complete`` mode each batch writes the whole result and the last one counts, so groups that are still open when the input
+    ends are part of it. Processing-time timeouts ask for empty batches for ever; ``empty_batches`` off lets such a stream end.
     """
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, str(empty_batches).lower())
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    root = f"{_shared_dir(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    out, last = f"{root}/out", [None]
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
+
+    def whole(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{batch}")
+        last[0] = f"{out}/{batch}"
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(empty_batches).lower())
     try:
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        writer = writer.foreachBatch(whole) if mode == "complete" else writer.format("parquet").option("path", out)
+        writer.start().awaitTermination()
     finally:
-        conf.set(key, before)
-    return stream.sparkSession.table(name)
+        spark.conf.set(key, before)
+    if mode != "complete":
+        return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(last[0]) if last[0] else spark.createDataFrame([], stream.schema)
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a local one only where ``spark.checkpoint.dir`` is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}").rstrip("/")
