@@ -9,6 +9,7 @@ from .. import tables as t
 from ..functions import text as x
 from ..operators import retrieval as r
 from ..operators import vectors as v
+from .graph import _saver
 from .registry import query
 
 _WORD = r"[\p{L}\p{N}]+(?:[''\-.][\p{L}\p{N}]+)*"
@@ -205,7 +206,8 @@ boosted AS (SELECT c.query_id, c.chunk_id, k.doc_id, k.title, k.permalink,
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted) WHERE rank <= 8"""))
 def df03_all(spark, d):
     """Lexical and dense lists of all queries, fused, cut, hydrated, boosted, one document once."""
-    return _search(spark, d, _bm25_all(spark, d), r.query_terms(_queries_all(spark, d), _terms()), _dense_all(spark, d))
+    bm = _saver(spark)(_bm25_all(spark, d))  # read twice
+    return _search(spark, d, bm, r.query_terms(_queries_all(spark, d), _terms()), _dense_all(spark, d))
 
 
 @query("df05_title_lookup", r"""
