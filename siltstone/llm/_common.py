@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -43,6 +45,39 @@ class Scratch:
             delete(self.spark, file)
 
 
+class Bucketed:
+    """Rows dealt once to files bucketed and sorted by ``key``: joins and groups by it read them without a shuffle.
+
+    ``distinct`` keeps one row of a key (the smallest value of each column). There are as many buckets as shuffles have partitions, unless
+    given. The catalogue knows the table only while it is written; ``rows`` goes on reading its files, which ``delete`` removes.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, scratch: Scratch, distinct: bool = False, buckets: int | None = None):
+        self.spark, name = rows.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+        self.buckets = buckets or shuffle_partitions(self.spark)
+        self.path = f"{scratch.root}/{name}"
+        rows = rows.repartition(self.buckets, key)
+        (
+            (rows.groupBy(key).agg(*(F.min(c).alias(c) for c in rows.columns if c != key)) if distinct else rows)
+            .write.format("parquet").option("compression", "zstd").option("path", self.path)
+            .bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
+        )
+        self.rows = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def delete(self) -> None:
+        delete(self.spark, self.path)
+
+
+#: Tables up to this size are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, n_rows: int, row_bytes: int = 32, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if its ``n_rows`` rows of about ``row_bytes`` stay under ``limit``, else as it is."""
+    return F.broadcast(df) if n_rows * row_bytes <= limit else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -53,6 +88,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has columns called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Bucketed, Scratch, small
 from ._shingles import mix, shingle_set
 
 #: Permutations; each gives a minimum and a maximum, so a signature has twice as many values.
@@ -47,20 +47,22 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 counts, digests, bands = [], [], []
-                for text in some.column(1).cast(pa.binary()).to_pylist():
+                for text in some.column(2).cast(pa.binary()).to_pylist():
                     found = shingle_set(text or b"", width)
                     counts.append(len(found))
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     bands.append(band_keys(signature(found)) if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field(3).type)],
+                    [some.column(0), some.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field(4).type)],
                     schema=schema,
                 )
 
@@ -211,7 +213,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` per row of ``docs``.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_key`` (the text's xxhash64) per row of ``docs``.
 
     A document's set is its distinct ``width``-word shingles (words between ASCII white space, A-Z lower-cased); documents
     whose sets have 100 * intersection >= ``percent`` * union are linked, and ``component_id`` is the smallest id reachable.
@@ -225,38 +227,52 @@ def near_duplicates(
     bucket is compared, or ruled out by counts or by a signature four standard deviations off, or lies in one component.
     Signatures are compared in blocks within tasks; only pairs that pass are rows.
 
+    Texts of nodes that share a bucket are dealt once to a table bucketed by node; both sides of every comparison read it where it lies.
+
     Texts without words (or null) have no shingles, are linked with nothing, and stay. Rows that repeat an id
-    are one document (should their texts differ, one of them is compared for all). A null id is linked only with equal sets. An empty
-    table gives no rows. Other columns are not read.
+    are one document; should their texts differ, the set with the smallest digest is compared for all. A null id is linked only with
+    equal sets. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = source.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>")
+    source = source.withColumn("text_key", F.xxhash64("text"))
+    signed = source.select("doc_id", "text_key", "text").mapInArrow(
+        _sign(width), "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
+    )
     signed = scratch.save(signed, "signed")
+    differ = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("other"))
+    differ = scratch.save(differ.where(F.col("d") != F.col("other")).select(F.col("doc_id").alias("d_id"), "d"), "differ")
+    rows = signed.where(F.col("digest").isNotNull())
+    n_differ = differ.count()
+    if n_differ:
+        chosen = small(differ, n_differ)
+        rows = rows.join(chosen, F.col("doc_id") == F.col("d_id"), "left").where(F.col("d").isNull() | (F.col("d") == F.col("digest"))).drop("d_id", "d")
     nodes = scratch.save(
-        signed.where(F.col("digest").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        rows.groupBy("digest").agg(
+            F.min("doc_id").alias("node"), F.min_by("text_key", "doc_id").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        ),
         "nodes",
     )
-    members = nodes.where(F.col("node").isNotNull()).select("node", "n", "digest", F.explode("bands").alias("key"))
+    members = nodes.where(F.col("node").isNotNull()).select("node", "n", "text_key", F.explode("bands").alias("key"))
     pivots = scratch.save(
         members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where(F.col("size") > 1).drop("size"),
         "pivots",
     )
-    members = scratch.save(members.join(pivots, "key"), "members")
-    wanted = members.select("node").distinct()
-    texts = scratch.save(
-        source.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts"
-    )
-    sizes = nodes.select("node", "n")
+    members = scratch.save(members.join(small(pivots, pivots.count()), "key"), "members")
+    wanted = scratch.save(members.select(F.col("node").alias("w_id"), F.col("text_key").alias("w_key")).distinct(), "wanted")
+    n_wanted = wanted.count()
+    of_node = (F.col("doc_id") == F.col("w_id")) & F.col("text_key").eqNullSafe(F.col("w_key"))
+    texts = source.join(small(wanted, n_wanted), of_node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+    table = Bucketed(texts, "node", scratch, distinct=True)
+    texts = table.rows
     links = scratch.save(spark.createDataFrame([], "a long, b long"), "links")
+    sizes = nodes.select("node", "n")
     comps = spark.createDataFrame([], "node long, component long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return full.mapInArrow(_confirm(width, percent), "a long, b long")
 
@@ -296,8 +312,7 @@ def near_duplicates(
         A shingle that no other member has lies in no intersection. With c shingles left of n, a link with a set of m
         needs c >= percent * (n + m) / (100 + percent), and m is at least the bucket's smallest set and percent of n.
         """
-        named = rows.select(F.col("node").alias("doc_id"), "node").distinct()
-        sets = texts.join(named, "doc_id").select("node", "text").mapInArrow(_explode(width), "node long, shingles array<long>")
+        sets = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_explode(width), "node long, shingles array<long>")
         single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
         own = single.where(F.col("k") == 1).groupBy("node").agg(F.count("*").alias("own"))
         least = rows.groupBy("key").agg(F.min("n").alias("m"))
@@ -316,8 +331,7 @@ def near_duplicates(
 
     def signed_members(rows: DataFrame) -> DataFrame:
         """``rows`` with signatures, ``block`` (about ``BLOCK`` random members of a bucket) and ``outside`` (not of its largest component)."""
-        named = rows.select(F.col("node").alias("doc_id"), "node").distinct()
-        signs = texts.join(named, "doc_id").select("node", "text").mapInArrow(_short_sign(width), "node long, sign binary, bands binary")
+        signs = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_short_sign(width), "node long, sign binary, bands binary")
         counts = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
         main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.ceil(F.sum("k") / BLOCK).alias("blocks"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
@@ -342,20 +356,17 @@ def near_duplicates(
         found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_plausible(percent), "a long, b long")
         merge(scratch.save(found, "plausible"))
 
-    owners = component("node", "component_id", nodes.select("digest", "node"))
-    owners = scratch.save(owners.select("digest", "component_id"), "owners")
-    return (
-        signed.drop("bands")
-        .join(owners, "digest", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
-        )
+    owners = scratch.save(component("node", "component_id", nodes.select("digest", "node")).select("digest", "component_id"), "owners")
+    table.delete()
+    own = signed.select("doc_id", "n_shingles", "digest", "text_key")
+    if n_differ:
+        own = own.join(small(differ, n_differ), F.col("doc_id") == F.col("d_id"), "left").withColumn("digest", F.coalesce("d", "digest")).drop("d_id", "d")
+    found = F.coalesce("component_id", "doc_id")
+    return own.join(owners, "digest", "left").select(
+        "doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), "text_key"
     )
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with four-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4).drop("text_key")
