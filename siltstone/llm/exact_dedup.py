@@ -17,8 +17,9 @@ class DigestIndex:
     that stays), ``group_size`` (documents of the load that brought it). The files
     outlive the session: open the same ``path`` again with the same ``buckets``.
 
-    Loads are deduplicated by a sort-merge anti-join: the index is read bucket by
-    bucket without a shuffle, and only the load's distinct digests move.
+    Loads are deduplicated by a sort-merge anti-join that also brings back what the index knows of the digests it holds: the index
+    is read bucket by bucket without a shuffle, and only the load's distinct digests move. What did not match is appended. ``close`` takes
+    the table out of the session's catalogue; the files stay.
     """
 
     SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT"
@@ -35,6 +36,20 @@ class DigestIndex:
         """The whole index, bucketed."""
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def matched(self, groups: DataFrame) -> DataFrame:
+        """``groups`` (``digest``, ``keep_id``, ``group_size``) as the index knows them where it does; ``fresh`` where not."""
+        known = self.digests().select(F.col("digest").alias("seen"), F.col("keep_id").alias("seen_id"), F.col("group_size").alias("seen_size"))
+        fresh = F.col("seen").isNull()
+        return groups.join(known.hint("merge"), F.col("digest") == F.col("seen"), "left").select(
+            "digest",
+            F.when(fresh, F.col("keep_id")).otherwise(F.col("seen_id")).alias("keep_id"),
+            F.when(fresh, F.col("group_size")).otherwise(F.col("seen_size")).alias("group_size"),
+            fresh.alias("fresh"),
+        )
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate ``docs`` against the index and within itself; append its new digests.
 
@@ -55,26 +70,22 @@ class DigestIndex:
             F.col(id_col).cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"),
         )
-        load = Scratch(self.spark, "digests").save(load, "load")
+        scratch = Scratch(self.spark, "digests")
+        load = scratch.save(load, "load")
         groups = load.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        new = groups.join(self.digests().hint("merge"), "digest", "left_anti")
-        new = Scratch(self.spark, "digests").save(new, "new")
+        if self.buckets != shuffle_partitions(self.spark):
+            groups = groups.repartition(self.buckets, "digest")
+        groups = scratch.save(self.matched(groups), "groups")
         (
-            new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            groups.where("fresh").drop("fresh").repartition(self.buckets, "digest").write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
-        )
-        fresh = new.select("digest", F.lit(True).alias("fresh"))
-        known = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        return (
-            load.join(known, "digest")
-            .join(fresh, "digest", "left")
-            .select(
-                "doc_id",
-                "keep_id",
-                "group_size",
-                (F.col("fresh").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-                F.lower(F.hex("digest")).alias("text_sha256"),
-            )
+        )
+        return load.join(groups, "digest").select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
@@ -82,7 +93,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one load of a fresh index."""
     path = f"{shared_dir(spark)}/siltstone/digest-index-{uuid.uuid4().hex}"
     index = DigestIndex(spark, path, buckets=shuffle_partitions(spark))
-    return index.add(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = index.add(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index.close()
+    return found
 
 
 OP2_SQL = """
