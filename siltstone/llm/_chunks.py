@@ -9,13 +9,12 @@ written tables; a chunk or a key range is all that a task holds.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Bucketed, Scratch, col
 from ._shingles import mix
 
 #: Characters of text in a chunk, about.
@@ -24,27 +23,24 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Chunks:
-    """``doc_id`` and ``text`` of all rows as a table bucketed and sorted by ``chunk``.
+    """``doc_id`` (as text, which pandas does not round) and ``text`` of all rows in files bucketed and sorted by ``chunk``.
 
-    Reading it by chunk needs no shuffle, so texts are shuffled once however often they are gone through.
+    Reading them by chunk needs no shuffle, so texts are shuffled once however often they are gone through.
+
+    ``parts`` is the number of key ranges. A range holds some chunks' worth of keys in one task, so a chunk sends a row to each of a few
+    ranges: rows grow as the input up to a gigabyte or two, and beyond that stay a hundredth of the keys they hold until some terabytes.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS):
-        spark = docs.sparkSession
         rows = docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+            col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")
         )
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(1, math.ceil(chars / chunk_chars))
-        buckets = min(self.n, 20_000)
+        self.parts = max(16, math.ceil(self.n / 8))
         chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("chunk")
-        table = f"chunks_{uuid.uuid4().hex}"
-        (
-            rows.select(chunk, "doc_id", "text").repartition(buckets, "chunk")
-            .write.format("parquet").option("compression", "zstd").option("path", f"{Scratch(spark, 'chunks').root}/texts")
-            .bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(table)
-        )
-        self.table = spark.table(table)
+        self.files = Bucketed(rows.select(chunk, "doc_id", "text"), "chunk", Scratch(docs.sparkSession, "chunks"), buckets=min(self.n, 20_000))
+        self.table = self.files.rows
 
 
 def range_edges(parts: int, bits: int) -> np.ndarray:

@@ -66,7 +66,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "substrings")
     chunks = Chunks(docs, id_col, text_col)
     block = (window + 1) // 2
-    anchor_edges, run_edges = range_edges(chunks.n, _ANCHOR_BITS), range_edges(chunks.n, 64)
+    anchor_edges, run_edges = range_edges(chunks.parts, _ANCHOR_BITS), range_edges(chunks.parts, 64)
     dealt = "part int, chunk int, keys binary, multi binary"
 
     def anchors(key, frame):
@@ -121,15 +121,16 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])))) if n else np.zeros(0, np.int64)
             spans.append([[int(a), int(b)] for a, b in edges.reshape(-1, 2)])
             texts.append(b" ".join(doc if not n else [w for w, g in zip(doc, mask) if not g]).decode())
-        return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": lengths, "n_removed": removed, "text": texts, "spans": spans})
+        return pd.DataFrame({"doc_id": frame["doc_id"], "n_words": lengths, "n_removed": removed, "text": texts, "spans": spans})
 
     by_chunk = chunks.table.groupBy("chunk")
     asked = scratch.save(by_chunk.applyInPandas(anchors, f"{dealt}, blocks binary").groupBy("part").applyInPandas(hits, "chunk int, found binary"), "hits")
     asked = by_chunk.cogroup(asked.groupBy("chunk")).applyInPandas(runs, dealt)
     found = scratch.save(asked.groupBy("part").applyInPandas(repeats, "chunk int, found binary"), "repeats")
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(
-        cleaned, "doc_id long, n_words long, n_removed long, text string, spans array<array<long>>"
+    out = by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(
+        cleaned, "doc_id string, n_words long, n_removed long, text string, spans array<array<long>>"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
