@@ -1,7 +1,9 @@
-"""Language-model scores from a log-frequency Bloom filter of word pairs."""
+"""Language-model scores from a log-frequency Bloom filter of word pairs and triples."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,70 +13,106 @@ from ._chunks import Chunks, pack, range_edges, unpack
 from ._common import Scratch
 from ._shingles import mix, word_hashes
 
-#: Bits and probes per entry of the filter: an absent entry is found with probability (1 - e^(-4/10))^4 = 1.2 %.
-BITS, PROBES = 10, 4
+#: Bits per entry of the filter, and bits that an entry sets: in each of ``WORDS`` 64-bit words, ``PROBES`` of them.
+BITS, WORDS, PROBES = 20, 2, 5
+#: How often an absent entry is found (measured; a test holds it to this).
+FALSE_RATE = 4e-4
 #: A broadcast holds one shard of the filter of at most this many bytes (but for a single larger segment, see ``Filter``).
 SHARD_BYTES = 16 << 20
-#: Weight of the single-word model in the smoothing, in counts.
-MU = 10.0
-#: Counts are held to the power of two below.
-MAX_LEVEL = 40
-_PAIR_BITS = 56
+#: Weight of the shorter context in the smoothing, in counts.
+MU = 4.0
+#: Pairs and triples seen less often have no entry (and no mass).
+LEAST = 2
+#: Levels of quantised counts; two to a doubling.
+MAX_LEVEL = 80
+#: Bits of a key: those of its context come first, so that a context's entries lie in one key range.
+_KEY = {"pairs": (28, 28), "triples": (30, 18)}
 _END = np.uint64(0xE2D0F7E87)
 _START = np.uint64(0x57A27)
-_SALT = mix(np.arange(1, MAX_LEVEL * PROBES + 1, dtype=np.uint64)).reshape(MAX_LEVEL, PROBES)
+_SALT = mix(np.arange(1, MAX_LEVEL * WORDS + 1, dtype=np.uint64)).reshape(MAX_LEVEL, WORDS)
+
+
+def level_counts() -> np.ndarray:
+    """The least count of each level: 0, 1, 2, 3, 4, 6, 8, 12, 16, ..."""
+    k = np.arange(MAX_LEVEL // 2 + 1)
+    low = np.stack((2.0**k, 1.5 * 2.0**k), axis=1).ravel()
+    return np.concatenate(([0.0, 1.0], low[2 : MAX_LEVEL + 2]))
+
+
+_COUNTS = level_counts()
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count)): the quantised count."""
-    return np.minimum(np.frexp(counts.astype(float))[1], MAX_LEVEL)
+def levels(counts: np.ndarray, up: bool = False) -> np.ndarray:
+    """The level whose least count is the next one down, or, with ``up``, the next one up."""
+    at = np.searchsorted(_COUNTS[: MAX_LEVEL + 1], counts, "left" if up else "right") - (0 if up else 1)
+    return np.minimum(at, MAX_LEVEL)
 
 
-def level_means() -> np.ndarray:
-    """The count a level stands for: the middle of its range; 0 for level 0."""
-    low = 2.0 ** np.arange(MAX_LEVEL + 1)
-    return np.concatenate(([0.0], (low[:-1] + 2 * low[:-1] - 1) / 2))
+def _place(keys: np.ndarray, level: int, i: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The word (of ``n``) and the bits in it that entry (key, ``level``) sets the ``i``-th time."""
+    h = (keys ^ _SALT[level, i]) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    word = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    return word, [(h >> np.uint64(6 * j)) & np.uint64(63) for j in range(PROBES)]
 
 
-def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def segment(keys: np.ndarray, level: np.ndarray) -> bytes:
     """The Bloom filter of a key range: entry (key, j) for each level j up to the key's."""
-    level = levels(counts)
-    m = max(64, int(level.sum()) * BITS)
-    bits = np.zeros(m, bool)
+    n = max(1, -(-int(level.sum()) * BITS // 64))
+    bits = np.zeros(n * 64, bool)
     for j in range(int(level.max(initial=0))):
         some = keys[level > j]
-        for i in range(PROBES):
-            bits[mix(some ^ _SALT[j, i]) % np.uint64(m)] = True
-    return m.to_bytes(8, "little") + np.packbits(bits).tobytes()
+        for i in range(WORDS):
+            word, places = _place(some, j, i, n)
+            for place in places:
+                bits[(word << np.uint64(6)) + place] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def probe(data: memoryview, keys: np.ndarray) -> np.ndarray:
+def probe(data: bytes, keys: np.ndarray) -> np.ndarray:
     """The level of each key: probes go on level by level until one is absent."""
-    m = np.uint64(int.from_bytes(data[:8], "little"))
-    bits = np.frombuffer(data, np.uint8, offset=8)
+    words = np.frombuffer(data, "<u8")
     out = np.zeros(len(keys), np.uint8)
-    alive = np.arange(len(keys))
+    alive, some = np.arange(len(keys)), keys
     for j in range(MAX_LEVEL):
-        for i in range(PROBES):
-            at = mix(keys[alive] ^ _SALT[j, i]) % m
-            alive = alive[(bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1]
+        for i in range(WORDS):
+            word, places = _place(some, j, i, len(words))
+            mask = np.zeros(len(some), np.uint64)
+            for place in places:
+                mask |= np.uint64(1) << place
+            there = words[word] & mask == mask
+            alive, some = alive[there], some[there]
         if not len(alive):
             break
         out[alive] = j + 1
     return out
 
 
+def entries(keys: np.ndarray, counts: np.ndarray, kind: str) -> bytes:
+    """A segment from sorted distinct ``keys``: those counted ``LEAST`` times, rounded down, and per context their sum, rounded up."""
+    kept = counts >= LEAST
+    keys, level = keys[kept], levels(counts[kept])
+    if not len(keys):
+        return segment(keys, level)
+    context = keys >> np.uint64(_KEY[kind][1])
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    sums = levels(np.add.reduceat(_COUNTS[level], first), up=True)
+    return segment(np.concatenate((mix(keys), mix(~context[first]))), np.concatenate((level, sums)))
+
+
 class Filter:
     """The whole filter as broadcast shards of bounded size.
 
-    The filter grows with the corpus; a shard does not. A worker loads one shard at a time, probes its chunk's pairs of the shard's
-    key ranges, and lets it go, so memory holds ``SHARD_BYTES`` whatever the size of the corpus.
-    A segment (key range) is sized by its own entries, and ranges are as many as chunks.
+    The filter grows with the corpus; a shard does not. A worker loads one shard at a time, probes its chunk's keys of the shard's
+    key ranges, and lets it go, so memory holds ``SHARD_BYTES`` whatever the size of the corpus. A segment (key range) is
+    sized by its own entries. All shards pass through the driver, one at a time.
     """
 
     def __init__(self, spark: SparkSession, segments: DataFrame, parts: int):
         self.parts = parts
-        sizes = dict(segments.select("part", F.octet_length("data")).collect())
+        sizes = {(r[0], r[1]): r[2] for r in segments.select("kind", "part", F.octet_length("data")).collect()}
         groups, held = [[]], 0
         for part in sorted(sizes):
             if held and held + sizes[part] > SHARD_BYTES:
@@ -84,23 +122,38 @@ class Filter:
             held += sizes[part]
         self.shards = []
         for group in filter(None, groups):
-            rows = segments.where(F.col("part").between(group[0], group[-1])).select("part", "data").collect()
-            self.shards.append((group, spark.sparkContext.broadcast({r["part"]: bytes(r["data"]) for r in rows})))
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each of sorted ``keys``."""
-        cuts = np.concatenate(([0], np.searchsorted(keys, range_edges(self.parts, _PAIR_BITS)), [len(keys)]))
-        out = np.zeros(len(keys), np.uint8)
+            rows = segments.where(F.concat("kind", "part").isin([f"{kind}{part}" for kind, part in group])).collect()
+            self.shards.append((group, spark.sparkContext.broadcast({(r["kind"], r["part"]): bytes(r["data"]) for r in rows})))
+
+    def levels(self, asked: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Of each kind's sorted keys and sorted contexts: their levels."""
+        cuts, out = {}, {}
+        for kind, (keys, contexts) in asked.items():
+            other = np.uint64(_KEY[kind][1])
+            edges = _edges(self.parts, kind)
+            cuts[kind] = _cuts(keys, edges), np.concatenate(([0], np.searchsorted(contexts << other, edges), [len(contexts)]))
+            out[kind] = np.zeros(len(keys), np.uint8), np.zeros(len(contexts), np.uint8)
         for group, shard in self.shards:
             held = shard.load_from_path(shard._path) if getattr(shard, "_path", None) else shard.value
-            for part in group:
-                a, b = cuts[part], cuts[part + 1]
-                if a < b:
-                    out[a:b] = probe(memoryview(held[part]), keys[a:b])
+            for kind, part in group:
+                for values, where, found in zip((asked[kind][0], ~asked[kind][1]), cuts[kind], out[kind]):
+                    a, b = where[part], where[part + 1]
+                    if a < b:
+                        found[a:b] = probe(held[kind, part], mix(values[a:b]))
             del held
         return out
 
 
+def _edges(parts: int, kind: str) -> np.ndarray:
+    """Where the key ranges begin, but for the first; no context is cut."""
+    bits = np.uint64(_KEY[kind][1])
+    return range_edges(parts, sum(_KEY[kind])) >> bits << bits
+
+
+def _cuts(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+
 def _tokens(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end per document), and tokens per document."""
     each = [word_hashes(t.encode().lower().split()) for t in texts]
@@ -108,11 +161,24 @@ def _tokens(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([y for x in each for y in (x, np.array([_END]))]), lengths
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every token: a key of the pair (token before it or the start, token), and the token before it."""
+def _key(context: np.ndarray, token: np.ndarray, kind: str) -> np.ndarray:
+    own, other = _KEY[kind]
+    return (context >> np.uint64(64 - own) << np.uint64(other)) | (mix(token) >> np.uint64(64 - other))
+
+
+def _grams(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: the token before it (or the start), and the keys of the pair and the triple that it ends.
+
+    A document's first token has no triple (key 0).
+    """
+    first = np.cumsum(lengths) - lengths
     before = np.concatenate(([_START], tokens[:-1]))
-    before[np.cumsum(lengths)[:-1]] = _START
-    return mix(mix(before) + tokens) >> np.uint64(64 - _PAIR_BITS), before
+    before[first] = _START
+    pairs = _key(mix(before), tokens, "pairs")
+    context = mix(mix(before) + mix(np.concatenate(([_START], before[:-1])) + np.uint64(1)))
+    triples = _key(context, tokens, "triples")
+    triples[first] = 0
+    return before, pairs, triples
 
 
 def _counts(data: np.ndarray) -> bytes:
@@ -126,100 +192,128 @@ def _uncounts(data: bytes) -> np.ndarray:
 
 
 def _in_training(ids: pd.Series, folds: int) -> np.ndarray:
-    import zlib
+    return np.array([pd.isna(i) or zlib.crc32(i.encode()) % folds != 0 for i in ids], bool)
 
-    return np.array([pd.isna(i) or zlib.crc32(str(int(i)).encode()) % folds != 0 for i in ids], bool)
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_inverse=True)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, mu: float = MU) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per row of ``docs``.
 
     Tokens are words between ASCII white space (A-Z lower-cased) and one end. Training rows are those whose crc32(id as text) is
-    not 0 mod ``folds`` (null ids train). ``base_score`` is the single-word model's log10 probability, with exact counts;
-    ``score`` is the pair model's, log10 of the product of (q(v, w) + mu * base(w)) / (c(v) + mu), where c(v) is the exact count
-    of the word before and q(v, w) (at most c(v)) the pair's count as the filter holds it: quantised to powers of two, and
-    found by probing (pair, 1), (pair, 2), ... until one is absent.
-
-    Chunks count their own words and pairs, key ranges add them up over all chunks; a range returns each chunk the exact counts of
-    its words, and turns its pairs into a segment of the filter. Null text is empty: its one token is the end. An
+    not 0 mod ``folds`` (null ids train). ``base_score`` is the single-word model's log10 probability, with exact counts.
+
+    ``score`` is log10 of the product of p3: with p1 the single-word model's probability,
+    p2(w | v) = (q(v, w) + mu p1(w)) / (Z(v) + mu + f) and p3(w | u, v) = (q(u, v, w) + mu p2(w | v)) / (Z(u, v) + mu + f). A document's
+    first token has p2 alone. q is the count of a pair or triple as the filter holds it: none under ``LEAST``, else
+    rounded down to a level, found by probing (key, 1), (key, 2), ... until one is absent. Z is the measured sum of a
+    context's q, rounded up, held in the same filter. A pair is looked up only if both words occur ``LEAST`` times, a triple only
+    if both its pairs were found, and a q over its context's Z is cut to it; f is the mass that false finds are expected to add
+    (``FALSE_RATE`` times the words that could be looked up after v). So the probabilities after a context sum to 1 at most, in
+    expectation over the filter's hashes, and to 1 where its Z is 0.
+
+    Chunks count their own words, pairs and triples, key ranges add them up over all chunks; a range returns each chunk the exact
+    counts of its words, and turns its pairs and triples into segments of the filter. Null text is empty: its one token is the end. An
     empty table gives no rows; rows that repeat are documents each. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     chunks = Chunks(docs, id_col, text_col)
-    word_edges, pair_edges = range_edges(chunks.n, 64), range_edges(chunks.n, _PAIR_BITS)
+    edges = {"words": range_edges(chunks.parts, 64)} | {kind: _edges(chunks.parts, kind) for kind in _KEY}
+    names = [f"{kind}{x}" for kind in edges for x in ("", "_n")]
 
-    def slices(keys, counts, edges):
-        cuts = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+    def slices(keys, counts, kind):
+        cuts = _cuts(keys, edges[kind])
         return [(pack(keys[a:b]), _counts(counts[a:b])) if a < b else (b"", b"") for a, b in zip(cuts[:-1], cuts[1:])]
 
     def ask(key, frame):
         tokens, lengths = _tokens(frame["text"])
         trains = np.repeat(_in_training(frame["doc_id"], folds), lengths)
         words, where = np.unique(tokens, return_inverse=True)
-        words = slices(words, np.bincount(where[trains], minlength=len(words)), word_edges)
-        pairs = slices(*np.unique(_pairs(tokens, lengths)[0][trains], return_counts=True), pair_edges)
-        rows = [(p, key[0], *w, *b) for p, (w, b) in enumerate(zip(words, pairs)) if w[0] or b[0]]
-        return pd.DataFrame(rows, columns=["part", "chunk", "words", "word_counts", "pairs", "pair_counts"])
+        sets = [slices(words, np.bincount(where[trains], minlength=len(words)), "words")]
+        _, pairs, triples = _grams(tokens, lengths)
+        for kind, keys in (("pairs", pairs[trains]), ("triples", triples[trains & (triples > 0)])):
+            sets.append(slices(*np.unique(keys, return_counts=True), kind))
+        rows = [(p, key[0], *(x for y in some for x in y)) for p, some in enumerate(zip(*sets)) if any(y[0] for y in some)]
+        return pd.DataFrame(rows, columns=["part", "chunk", *names])
+
+    def totals(group, kind):
+        has = [len(x) > 0 for x in group[kind]]
+        keys = [unpack(x) for x in group[kind][has]]
+        if not keys:
+            return has, keys, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(where, np.concatenate([_uncounts(x) for x in group[f"{kind}_n"][has]]), len(distinct))
+        return has, keys, distinct, where, n.astype(np.int64)
 
     def answer(group):
-        has = [len(x) > 0 for x in group["words"]]
-        keys = [unpack(x) for x in group["words"][has]]
-        out = []
+        part, out = group["part"].iloc[0], []
+        has, keys, distinct, where, n = totals(group, "words")
         if keys:
-            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.zeros(len(distinct), np.int64)
-            np.add.at(totals, where, np.concatenate([_uncounts(x) for x in group["word_counts"][has]]))
-            back = np.split(totals[where], np.cumsum([len(k) for k in keys])[:-1])
-            out += [("words", p, c, _counts(x), 0, 0) for p, c, x in zip(group["part"][has], group["chunk"][has], back)]
-            out.append(("sum", group["part"].iloc[0], 0, b"", int(totals.sum()), int((totals > 0).sum())))
-        has = [len(x) > 0 for x in group["pairs"]]
-        if any(has):
-            distinct, where = np.unique(np.concatenate([unpack(x) for x in group["pairs"][has]]), return_inverse=True)
-            totals = np.zeros(len(distinct), np.int64)
-            np.add.at(totals, where, np.concatenate([_uncounts(x) for x in group["pair_counts"][has]]))
-            out.append(("segment", group["part"].iloc[0], 0, segment(distinct, totals), 0, 0))
-        return pd.DataFrame(out, columns=["kind", "part", "chunk", "data", "n", "v"])
+            back = np.split(n[where], np.cumsum([len(k) for k in keys])[:-1])
+            out += [("words", part, c, _counts(x), 0, 0, 0) for c, x in zip(group["chunk"][has], back)]
+            out.append(("sum", part, 0, b"", int(n.sum()), int((n > 0).sum()), int((n >= LEAST).sum())))
+        for kind in _KEY:
+            _, keys, distinct, _, n = totals(group, kind)
+            if keys:
+                out.append((kind, part, 0, entries(distinct, n, kind), 0, 0, 0))
+        return pd.DataFrame(out, columns=["kind", "part", "chunk", "data", "n", "v", "often"])
 
     by_chunk = chunks.table.groupBy("chunk")
-    asked = by_chunk.applyInPandas(ask, "part int, chunk int, words binary, word_counts binary, pairs binary, pair_counts binary")
+    asked = by_chunk.applyInPandas(ask, f"part int, chunk int, {', '.join(f'{x} binary' for x in names)}")
     told = scratch.save(
-        asked.groupBy("part").applyInPandas(answer, "kind string, part int, chunk int, data binary, n long, v long"), "counts"
+        asked.groupBy("part").applyInPandas(answer, "kind string, part int, chunk int, data binary, n long, v long, often long"), "counts"
     )
-    n, v = told.where("kind = 'sum'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    lookup = Filter(spark, told.where("kind = 'segment'"), chunks.n)
-    means = level_means()
+    n, v, often = told.where("kind = 'sum'").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "often"))).first()
+    lookup = Filter(spark, told.where(F.col("kind").isin(*_KEY)).select("kind", "part", "data"), chunks.parts)
 
     def scored(key, frame, counts):
         tokens, lengths = _tokens(frame["text"])
         words, where = np.unique(tokens, return_inverse=True)
         c = np.concatenate([_uncounts(x) for x in counts.sort_values("part")["data"]])
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        keys, before = _pairs(tokens, lengths)
-        distinct, which = np.unique(keys, return_inverse=True)
-        q = means[lookup.levels(distinct)][which]
-        ends = c[np.searchsorted(words, _END)]
-        at = np.minimum(np.searchsorted(words, before), len(words) - 1)
-        c_before = np.where(before == _START, ends, c[at])
-        p = (np.minimum(q, c_before) + mu * 10.0 ** base[where]) / (c_before + mu)
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[where]
+        before, pairs, triples = _grams(tokens, lengths)
+        at_before = np.concatenate(([0], where[:-1]))
+        at_before[before == _START] = np.searchsorted(words, _END)
+        c_before, c = c[at_before], c[where]
+        before_last = lambda x: np.concatenate(([False], x[:-1])) & (triples > 0)
+        contexts = c_before >= LEAST
+        wanted = contexts & (c >= LEAST)
+        sets = {"pairs": (pairs, contexts, wanted), "triples": (triples, before_last(wanted), before_last(wanted) & wanted)}
+        asked = {k: (_distinct(x[w]), _distinct(x[o] >> np.uint64(_KEY[k][1]))) for k, (x, o, w) in sets.items()}
+        found = lookup.levels({k: (keys[0], contexts[0]) for k, (keys, contexts) in asked.items()})
+        p, total, q = 10.0**base, c_before, None
+        for kind, (keys, has_context, wanted) in sets.items():
+            seen, q, z = q, np.zeros(len(keys)), np.zeros(len(keys))
+            q[wanted], z[has_context] = (_COUNTS[levels_[which]] for levels_, (_, which) in zip(found[kind], asked[kind]))
+            false = FALSE_RATE * often
+            if kind == "triples":
+                q[seen == 0], total = 0, np.concatenate(([0], seen[:-1]))
+                z[total == 0], false = 0, FALSE_RATE * np.minimum(often, c_before)
+            total = np.maximum(total, z) if kind == "triples" else total
+            z = np.minimum(z, total)
+            p = np.where(has_context & (z > 0), (np.minimum(q, z) + (mu + total - z) * p) / (total + mu + false), p)
         first = np.cumsum(lengths) - lengths
         add = lambda x: np.add.reduceat(x, first)
         return pd.DataFrame(
             {
-                "doc_id": frame["doc_id"].astype("Int64"),
+                "doc_id": frame["doc_id"],
                 "held_out": ~_in_training(frame["doc_id"], folds),
                 "n_tokens": lengths,
-                "n_known": add((c[where] > 0).astype(np.int64)),
+                "n_known": add((c > 0).astype(np.int64)),
                 "train_tokens": n,
-                "base_score": add(base[where]),
+                "base_score": add(base),
                 "score": add(np.log10(p)),
             }
         )
 
     counts = told.where("kind = 'words'").select("chunk", "part", "data")
-    return by_chunk.cogroup(counts.groupBy("chunk")).applyInPandas(
-        scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = by_chunk.cogroup(counts.groupBy("chunk")).applyInPandas(
+        scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
