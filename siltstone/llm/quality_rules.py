@@ -103,13 +103,14 @@ def ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(metrics: DataFrame, spread: float = 6.0, min_docs: int = 200, k: int = 200) -> DataFrame:
+def thresholds(metrics: DataFrame, spread: float = 6.0, prior_docs: int = 200, k: int = 200) -> DataFrame:
     """``lang``, ``source`` and ``<rule>_lo``, ``<rule>_hi``, learnt from quantile sketches.
 
     A KLL sketch of each ratio is built per language and source (partial sketches before the shuffle, merged
-    after it) and merged upwards: a pair with under ``min_docs`` documents takes its language's
-    sketches, a language with under ``min_docs`` those of all. A threshold lies ``spread`` interquartile
-    ranges beyond the quartile and at least the rule's least distance from the median.
+    after it) and merged upwards to languages and to all. A language's quartiles are the mean of its own, weighed by its documents, and
+    of all documents', weighed as ``prior_docs``; a pair's are the mean of its own and its language's, alike. So a small
+    group leans on the larger one, and no group changes its rule at some size. A threshold lies ``spread`` interquartile ranges
+    beyond the quartile and at least the rule's least distance from the median.
     ``metrics`` has ``lang``, ``source`` and the ratios; null is a value of its own.
     """
     scratch = Scratch(metrics.sparkSession, "sketches")
@@ -130,12 +131,13 @@ def thresholds(metrics: DataFrame, spread: float = 6.0, min_docs: int = 200, k:
 
     def limits(rule: str) -> list[Column]:
         least, sides = RULES[rule]
-        sketch = (
-            F.when(F.col("p.n") >= min_docs, F.col(f"p.{rule}"))
-            .when(F.col("l.n") >= min_docs, F.col(f"l.{rule}"))
-            .otherwise(F.col(f"w.{rule}"))
-        )
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        quartiles = lambda of: F.kll_sketch_get_quantile_double(F.col(f"{of}.{rule}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+        def towards(of: str, prior: Column) -> Column:
+            share = F.col(f"{of}.n") / (F.col(f"{of}.n") + F.lit(float(prior_docs)))
+            return F.zip_with(quartiles(of), prior, lambda x, y: x * share + y * (1 - share))
+
+        q = towards("p", towards("l", quartiles("w")))
         out = lambda body: let(q, lambda x: body(x[0], x[1], x[2]))
         hi = out(lambda a, m, b: F.greatest(b + (b - a) * spread, m + least))
         lo = out(lambda a, m, b: F.least(a - (b - a) * spread, m - least))
@@ -145,7 +147,7 @@ def thresholds(metrics: DataFrame, spread: float = 6.0, min_docs: int = 200, k:
 
 
 def judge_quality(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 6.0, min_docs: int = 200
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 6.0, prior_docs: int = 200
 ) -> DataFrame:
     """Counts, the fixed base rules and the adaptive verdict; one row per row of ``docs``.
 
@@ -161,7 +163,7 @@ def judge_quality(
     counts = text_counts(docs.select("doc_id", "lang", "source", "text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     metrics = Scratch(docs.sparkSession, "quality").save(ratios(counts).withColumn("base_failed", failed), "metrics")
-    limits = thresholds(metrics.where(~F.col("base_failed")), spread, min_docs)
+    limits = thresholds(metrics.where(~F.col("base_failed")), spread, prior_docs)
     limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = metrics.join(
         limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left"
