@@ -18,37 +18,49 @@ END_ID = 2
 CAPACITY = 4096
 #: Pieces of up to CAPACITY / TAIL_CLASS ids are packed as they are: their class wastes a 17th of a bin at most.
 TAIL_CLASS = 16
+#: Tasks whose last bins are settled together, before what they leave is settled over all.
+GROUP = 64
 #: Words a worker remembers the ids of; then it starts anew.
 CACHED_WORDS = 800_000
 
 
 class WordTokens:
-    """Ids of whole texts, word by word: the vocabulary's rules never look across white space.
+    """Ids of whole texts, word by word where the vocabulary's rules never look across white space.
 
+    Whether that holds is tried on ``PROBE`` when the file is loaded; for a vocabulary that fails it, texts are encoded whole.
     Words (split at ASCII white space) are looked up in a bounded cache. Of those it lacks, plain ones (letters below U+0250 and at
     most one mark after them) are encoded many in one text and told apart by their last ids: they need no normaliser but
     lower case, and no pattern but white space. The others are encoded each by itself, with all the vocabulary's rules.
     """
 
     MARKS = ".,!?;:"
+    PROBE = "ab Cd, ef. GH! i? jk; lm: Straße École naïve  x1y2 don't a--b\tn_o (p) «q»\nr... 配送 э́то 12,5 U.S. aaaa zz"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        by_space, by_byte = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([by_space, by_byte])
+        self.cache: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.plain.normalizer = None
+        by_space, by_byte = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([by_space, by_byte])
         self.marks = {m.encode(): x.tobytes() for m, x in zip(self.MARKS, self._encode(self.tokenizer, list(self.MARKS)))} | {b"": b""}
+        probe = self.PROBE.encode()
+        self.by_words = bool(self.ends.any()) and self._of_words([probe]) == self._whole([probe])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        return self._of_words(texts) if self.by_words else self._whole(texts)
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self._encode(self.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
+
+    def _of_words(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         distinct = set().union(*split)
         missing = distinct.difference(self.cache)
@@ -158,7 +170,7 @@ def _batches(rows: Iterable[tuple], at_most: int = 4000) -> Iterator[pa.RecordBa
 
 
 def _worker(path: str, capacity: int, end_id: int):
-    """Tokenise, cut, and fill bins of k pieces per class k; pieces of bins that do not fill leave without a sequence."""
+    """Tokenise, cut, and fill bins of k pieces per class k; pieces of bins that do not fill leave without a sequence (and the task as offset)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -183,7 +195,7 @@ def _worker(path: str, capacity: int, end_id: int):
                             waiting[k] = []
         for k, bin_ in waiting.items():
             for piece in bin_:
-                yield *piece, None, None, k
+                yield *piece, None, TaskContext.get().partitionId(), k
 
     return lambda batches: _batches(rows(batches))
 
@@ -202,7 +214,7 @@ def _last_bins(capacity: int):
             else:
                 i = len(room)
                 room.append(capacity)
-            sequence.append((1 << 61) + i)
+            sequence.append((3 << 60) + i)
             offset.append(capacity - room[i])
             room[i] -= n
         return pieces.assign(sequence_id=sequence, offset=offset)
@@ -217,9 +229,9 @@ def pack(
 
     A document is its ids by ``tokenizer`` (a file's path on the workers) and ``end_id``; it is cut (see ``cut``) and every
     piece falls in a class by its length. Each worker fills the bins of a class with a fixed count of
-    pieces on its own. What its last bins lack is settled over all workers: the same fixed count per class, then
-    first fit for what is left, which is under one bin of each class (a constant, however large
-    the input). A sequence's pieces lie gapless from offset 0; it is padded to ``capacity`` unless its length is a power of two.
+    pieces on its own. What its last bins lack is settled over all workers: the same fixed count per class and group of tasks
+    (``GROUP`` of them), again per class over the groups, then first fit for what is left, which is under one bin of each class:
+    fewer than the sum of k - 1 over the classes that ``cut`` gives out, however large the input. A sequence's pieces lie gapless from offset 0; it is padded to ``capacity`` unless its length is a power of two.
 
     Null or empty text is ``end_id`` alone. Repeated rows are documents each. Null ids stay null. An
     empty table gives no rows. Other columns are not read.
@@ -227,23 +239,36 @@ def pack(
     scratch = Scratch(docs.sparkSession, "pack")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.save(rows.mapInArrow(_worker(tokenizer, capacity, end_id), _PIECES), "pieces")
-    full = pieces.where(F.col("sequence_id").isNotNull())
-    rest = pieces.where(F.col("sequence_id").isNull())
-    order = Window.partitionBy("class").orderBy("doc_id", "start", "ids")
-    rest = scratch.save(rest.withColumn("rank", F.row_number().over(order) - 1), "rest")
-    counts = rest.groupBy(F.col("class").alias("c")).agg(F.count("*").alias("n"))
-    rest = rest.join(F.broadcast(counts), F.col("class") == F.col("c")).withColumn("bin", F.floor(F.col("rank") / F.col("class")).cast("long"))
-    fills = (F.col("bin") + 1) * F.col("class") <= F.col("n")
+    done = [pieces.where(F.col("sequence_id").isNotNull())]
+    rest = pieces.where(F.col("sequence_id").isNull()).withColumn("group", F.floor(F.col("offset") / GROUP))
+    for level, by in ((1, ["class", "group"]), (2, ["class"])):
+        full, rest = _fill(scratch.save(_ranked(rest, by), f"rest-{level}"), by, level)
+        done.append(full)
     names = [f.name for f in _PIECES]
-    inside = Window.partitionBy("class", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    second = rest.where(fills).select(
-        "doc_id", "start", "length", "ids", "doc_tokens",
-        (F.lit(1 << 60) + F.col("class").cast("long") * F.lit(1 << 40) + F.col("bin")).alias("sequence_id"),
-        (F.sum("length").over(inside) - F.col("length")).alias("offset"),
-        "class",
-    )
-    last = rest.where(~fills).select(*names).groupBy().applyInPandas(_last_bins(capacity), _PIECES)
-    return full.unionByName(second).unionByName(last)
+    done.append(rest.select(*names).groupBy().applyInPandas(_last_bins(capacity), _PIECES))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more.select(*names))
+    return out
+
+
+def _ranked(rest: DataFrame, by: list[str]) -> DataFrame:
+    """``rest`` with its ``rank`` in its group; ids decide between pieces of one place of repeated documents."""
+    return rest.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "start", "ids")) - 1)
+
+
+def _fill(rest: DataFrame, by: list[str], level: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of bins that a group fills by the fixed count of its class, and the others."""
+    counts = rest.groupBy(*by).agg(F.count("*").alias("n")).select(*(F.col(c).alias(f"of_{c}") for c in by), "n")
+    same = [F.col(c) == F.col(f"of_{c}") for c in by]
+    rest = rest.join(counts, same).withColumn("bin", F.floor(F.col("rank") / F.col("class")).cast("long"))
+    fills = (F.col("bin") + 1) * F.col("class") <= F.col("n")
+    inside = Window.partitionBy(*by, "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    group = F.col("group").cast("long") if level == 1 else F.lit(0).cast("long")
+    # 3 bits say who made a sequence: a worker's count stays under 2^59
+    sequence = F.lit(level << 60) + F.col("class").cast("long") * F.lit(1 << 46) + group * F.lit(1 << 24) + F.col("bin")
+    full = rest.where(fills).withColumns({"sequence_id": sequence, "offset": F.sum("length").over(inside) - F.col("length")})
+    return full, rest.where(~fills).drop("rank", "bin", "n", *(f"of_{c}" for c in by))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
