@@ -77,6 +77,18 @@ def test_members_that_counts_do_not_rule_out_match_brute_force(spark, monkeypatc
     assert asked == [80]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    long = [" ".join(f"w{j}" for j in range(a, a + 40)) for a in (0, 100, 200)]
+    rows = [(1, long[0]), (2, long[0] + " more"), (7, long[1]), (7, long[2]), (7, long[1]), (8, long[1]), (9, long[2]), (None, long[0]), (None, "alone in its set"), (2**60 + 1, "far off id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df, width=4).collect()}
+    again = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df.repartition(3), width=4).collect()}
+    assert got == again and len(got) == 8
+    assert got[1, 37] == (1, True) and got[2, 38] == (1, False) and got[None, 37] == (1, False)
+    assert got[7, 37] == (7, True) and {got[8, 37][0], got[9, 37][0]} in ({7, 9}, {7, 8})  # 7 counts with one of its texts
+    assert got[None, 1] == (None, True) and got[2**60 + 1, 1] == (2**60 + 1, True)
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
@@ -90,6 +102,22 @@ def test_line_dedup_drops_what_many_pages_of_the_host_share(spark):
     assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in joined.collect()} == got
 
 
+def test_line_dedup_goes_by_the_ratio_alone(spark):
+    texts = [f"menu\nown line {i}" for i in range(4)]
+    assert [r.n_dropped for r in line_dedup.drop_boilerplate_lines(frame(spark, texts)).collect()] == [1] * 4
+    once = line_dedup.drop_boilerplate_lines(frame(spark, ["only page\nof its host"])).first()
+    assert (once.text, once.n_dropped) == ("only page\nof its host", 0)
+    rare = [f"own {i}\nshared" if i < 2 else f"own {i}" for i in range(20)]
+    assert sum(r.n_dropped for r in line_dedup.drop_boilerplate_lines(frame(spark, rare)).collect()) == 0
+
+
+def test_line_dedup_passes_columns_of_any_name(spark):
+    odd = "text string, source string, __lines string, __host string, __bad string, __stay string, `a.b` string, `c``d` long"
+    df = spark.createDataFrame([(f"menu\nown {i}", "s", "l", "h", "b", "t", "dot", i) for i in range(5)], odd)
+    got = sorted(line_dedup.drop_boilerplate_lines(df).collect(), key=lambda r: r["c`d"])
+    assert [tuple(r) for r in got] == [(f"own {i}", "s", "l", "h", "b", "t", "dot", i, 2, 1) for i in range(5)]
+
+
 def test_line_dedup_of_a_null_host_and_no_rows(spark):
     texts = [f"menu\nown {i}" for i in range(9)]
     assert {r.text for r in line_dedup.drop_boilerplate_lines(frame(spark, texts, None)).collect()} == {f"own {i}" for i in range(9)}
@@ -127,6 +155,49 @@ def test_repeated_windows_match_brute_force(spark):
     assert substring_dedup.drop_repeated_windows(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_keeps_large_and_null_ids(spark):
+    ids = [None, 2**53 + 1, 2**53 + 2, -1]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in substring_dedup.drop_repeated_windows(df).collect()} == {(i, f"text {i}") for i in ids}
+
+
+def loads(index, spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {(r.doc_id, r.text_sha256[:6]): (r.keep_id, r.group_size, r.kept) for r in index.add(df).collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()[:6]
+
+
+@pytest.mark.parametrize("buckets", [4, 3])
+def test_exact_dedup_over_loads_and_a_reopened_index(spark, tmp_path, buckets):
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets)
+    assert loads(index, spark, []) == {}
+    assert loads(index, spark, [(1, "a"), (2, "a"), (3, "b"), (None, "n"), (None, "n")]) == {
+        (1, sha("a")): (2, 2, False), (2, sha("a")): (2, 2, True), (3, sha("b")): (3, 1, True), (None, sha("n")): (None, 2, True),
+    }
+    second = {(2, sha("b")): (3, 1, False), (9, sha("a")): (2, 2, False), (5, sha("c")): (5, 1, True)}
+    assert loads(index, spark, [(2, "b"), (9, "a"), (5, "c")]) == second
+    index.close()
+    index = exact_dedup.DigestIndex(spark, path, buckets)
+    assert index.digests().count() == 4
+    assert loads(index, spark, [(7, "c"), (8, "d")]) == {(7, sha("c")): (5, 1, False), (8, sha("d")): (8, 1, True)}
+    assert loads(index, spark, []) == {} and index.digests().count() == 5
+    index.close()
+
+
+def test_exact_dedup_reads_the_index_without_a_shuffle(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    loads(index, spark, [(i, str(i)) for i in range(100)])
+    groups = spark.createDataFrame([(b"x", 1, 1)], "digest binary, keep_id long, group_size long").groupBy("digest").agg({"keep_id": "max", "group_size": "max"})
+    plan = index.matched(groups.toDF("digest", "keep_id", "group_size"))._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    side = plan[plan.index("SortMergeJoin") :]
+    assert "Bucketed: true" in side and side.count("Exchange") == 1
+
+
 def test_exact_dedup_query(spark, tmp_path):
     texts = ["a", "b", "a", None, "", "a ", "x" * 200_000, "x" * 200_000]
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))

@@ -9,8 +9,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from pyspark.sql import Row
+
 import corpus_pipeline
 from siltstone.llm import chat_format, lm_score, mixing, packing, quality_model, quality_rules
 from siltstone.llm._common import Scratch
@@ -31,6 +34,80 @@ def some_rows(n=60):
     return rows + [(n, None, None, None), (n + 1, "", "fr", "c"), (n + 2, "lone", "fr", None), (n + 3, "y " * 9000, "en", "a")]
 
 
+class BruteModel:
+    """The model of ``lm_scores`` on plain dicts."""
+
+    def __init__(self, documents, mu=lm_score.MU):
+        self.mu, self.words, self.grams = mu, Counter(), {2: Counter(), 3: Counter()}
+        for tokens in documents:
+            self.words.update(tokens)
+            for i, w in enumerate(tokens):
+                before = (tokens[i - 2] if i > 1 else "<s>", tokens[i - 1] if i else "<s>")
+                self.grams[2][before[1], w] += 1
+                if i:
+                    self.grams[3][*before, w] += 1
+        self.n, self.often = sum(self.words.values()), sum(c > 1 for c in self.words.values())
+        low = [0, 1] + [x for k in range(1, 40) for x in (2**k, 3 * 2 ** (k - 1))]
+        down = lambda c: max(x for x in low if x <= c)
+        self.q = {g: down(c) for n in (2, 3) for g, c in self.grams[n].items() if c > 1}
+        sums = Counter()
+        for g, c in self.q.items():
+            sums[g[:-1]] += c
+        self.z = {g: min(x for x in low if x >= c) for g, c in sums.items()}
+
+    def base(self, w):
+        return (self.words[w] + 0.1) / (self.n + 0.1 * (len(self.words) + 1))
+
+    def smooth(self, q, z, total, false, p):
+        z = min(z, total)
+        return (min(q, z) + (self.mu + total - z) * p) / (total + self.mu + false) if z else p
+
+    def p(self, w, v, u=None):
+        c = self.words[v] if v != "<s>" else self.words[None]
+        q2 = self.q.get((v, w), 0) if c > 1 and self.words[w] > 1 else 0
+        p = self.smooth(q2, self.z.get((v,), 0) if c > 1 else 0, c, lm_score.FALSE_RATE * self.often, self.base(w))
+        if u is None:
+            return p
+        total = self.q.get((u, v), 0)
+        z = self.z.get((u, v), 0) if total else 0
+        return self.smooth(self.q.get((u, v, w), 0) if q2 else 0, z, max(total, z), lm_score.FALSE_RATE * min(self.often, c), p)
+
+    def score(self, tokens):
+        before = ["<s>", *tokens[:-1]]
+        return sum(math.log10(self.p(w, v, before[i - 1] if i else None)) for i, (v, w) in enumerate(zip(before, tokens)))
+
+
+def test_lm_scores_match_brute_force(spark):
+    rows = some_rows()
+    got = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+    tokens = {i: [w.lower() for w in WORDS.findall(t or "")] + [None] for i, t, *_ in rows}
+    model = BruteModel([ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10])
+    for i, ws in tokens.items():
+        assert got[i].score == pytest.approx(model.score(ws), abs=0.02 * len(ws) ** 0.5), i
+    exact = sum(abs(got[i].score - model.score(ws)) < 1e-6 for i, ws in tokens.items())
+    assert exact > 0.8 * len(tokens)  # the others hold a false find
+    for u, v in [("<s>", "w1"), ("w1", "w2"), ("w3", "w9"), ("y", "y"), ("none", "such")]:
+        assert sum(model.p(w, v, u) for w in [*model.words, "unseen"]) <= 1 + 1e-9
+        assert sum(model.p(w, v) for w in [*model.words, "unseen"]) <= 1 + 1e-9
+
+
+def test_filter_finds_all_entries_and_few_others():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 62, 100_000, dtype=np.uint64))
+    level = rng.integers(1, 9, len(keys))
+    data = lm_score.segment(keys, level)
+    assert (lm_score.probe(data, keys) >= level).all()
+    absent = rng.integers(1 << 62, 1 << 63, 1_000_000, dtype=np.uint64)
+    assert (lm_score.probe(data, absent) > 0).mean() < 1.2 * lm_score.FALSE_RATE
+
+
+def test_lm_keeps_large_and_null_ids(spark):
+    ids = [None, 2**53 + 1, 2**53 + 2, -1]
+    got = lm_score.lm_scores(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(ids)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in got)
+
+
 def test_lm_counts_and_base_scores_match_brute_force(spark):
     rows = some_rows()
     got = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
@@ -66,6 +143,71 @@ def test_quality_counts_match_brute_force(spark):
     assert quality_rules.judge_quality(frame(spark, [])).count() == 0
 
 
+def brute_quality(metrics, prior=200, spread=6.0):
+    """Verdicts from exact quartiles (sketches of under ``k`` values are exact)."""
+
+    def quartiles(some, rule):
+        x = sorted(r[rule] for r in some)
+        return np.array([x[max(0, math.ceil(p * len(x)) - 1)] for p in (0.25, 0.5, 0.75)])
+
+    kept, taught = {}, [r for r in metrics if not r.base_failed]
+    for r in metrics:
+        failed = r.base_failed
+        for rule, (least, sides) in quality_rules.RULES.items():
+            q = quartiles(taught, rule)
+            for of in ([t for t in taught if t.lang == r.lang], [t for t in taught if (t.lang, t.source) == (r.lang, r.source)]):
+                share = len(of) / (len(of) + prior)
+                q = share * quartiles(of, rule) + (1 - share) * q if of else q
+            width = spread * (q[2] - q[0])
+            failed |= r[rule] > max(q[2] + width, q[1] + least) + 1e-12
+            failed |= sides == "both" and r[rule] < min(q[0] - width, q[1] - least) - 1e-12
+        kept[r.doc_id] = not failed
+    return kept
+
+
+@pytest.mark.parametrize("prior", [1, 200])
+def test_quality_verdicts_match_exact_quartiles(spark, prior):
+    rng, rows = random.Random(8), []
+    for i in range(150):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("fr", "a"), (None, "c")])
+        marks = rng.choice([0, 0, 0, 3]) if source == "a" else rng.randrange(12, 20) if source == "b" else 0
+        marks = 40 if i % 29 == 0 else marks
+        text = [f"{'long' * (3 if lang == 'fr' else 1)}{rng.random()}" for _ in range(60)]
+        rows.append((i, " ".join(text + ["#"] * marks), lang, source))
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in quality_rules.judge_quality(df, prior_docs=prior).collect()}
+    metrics = quality_rules.ratios(quality_rules.text_counts(df.select("doc_id", "lang", "source", "text"))).collect()
+    metrics = [Row(**m.asDict(), base_failed=got[m.doc_id].base_failed) for m in metrics]
+    assert {i: r.kept for i, r in got.items()} == brute_quality(metrics, prior)
+    assert 0 < sum(not r.kept for r in got.values()) < 60
+
+
+def brute_targets(sizes, most=3):
+    """Shares by weight; what lies over a cap is shared again by weight among the others until nothing does."""
+    sources = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, left, open_ = dict.fromkeys(sources, 0.0), float(sum(sizes.values())), set(sources)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] > most * sizes[s]}
+        for s in over or open_:
+            target[s] = most * sizes[s] if over else share * weight[s]
+            left -= target[s]
+        open_ -= over or open_
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_targets_match_resharing(spark, seed):
+    rng = random.Random(seed)
+    names = [*"abcdefg", "\ue000", "\U0001f600", None][: 4 + 3 * seed]
+    sizes = {s: rng.choice([0, 1, 50, 5000, 100_000]) for s in names}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-6) for s in want)
+
+
 def test_mix_comes_near_its_targets_and_agrees_on_reruns(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(1, 60), "en", rng.choice("aaaab") if i % 7 else "c") for i in range(1500)] + [(1500, None, None, None)]
@@ -132,6 +274,49 @@ def test_packing_covers_each_id_once(spark, tmp_path):
     check_packing(packing.op9_packing(spark, str(tmp_path)).collect(), texts)
 
 
+def test_packing_pads_little_and_settles_leftovers_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 2)
+    rng = random.Random(6)
+    texts = {i: " ".join(["word"] * rng.choice([3, 40, 300, 900, 2500, 6000])) for i in range(600)}
+    df = frame(spark, [(i, t, "en", "a") for i, t in texts.items()]).repartition(7)
+    rows = packing.pack(df, packing.default_tokenizer()).collect()
+    used, covered = Counter(), Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+        covered[r.doc_id] += r.length
+    assert all(covered[r.doc_id] == r.doc_tokens for r in rows) and len(covered) == 600 and max(used.values()) <= 4096
+    full = [n for n in used.values() if n & (n - 1)]
+    assert sum(4096 - n for n in full) < 0.03 * sum(used.values())
+    assert {r.sequence_id >> 60 for r in rows} == {0, 1, 2, 3}
+
+
+def test_packing_of_no_rows_and_of_a_vocabulary_that_looks_across_words(spark, tmp_path):
+    assert packing.pack(frame(spark, []), packing.default_tokenizer()).count() == 0
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({c: i + 3 for i, c in enumerate(pre_tokenizers.ByteLevel.alphabet())} | {"a</w>": 400}, []))
+    other.pre_tokenizer, other.decoder = pre_tokenizers.ByteLevel(add_prefix_space=True), decoders.ByteLevel()
+    other.save(path := str(tmp_path / "other.json"))
+    tokens = packing.WordTokens(path)
+    assert not tokens.by_words and packing.WordTokens(packing.default_tokenizer()).by_words
+    assert tokens([b"ab  cd"]) == [np.array(other.encode("ab  cd", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_classifier_and_pipeline_of_no_rows(spark, tmp_path):
+    frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert quality_model.op10_quality_classifier(spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    same = " ".join(f"w{j}" for j in range(40))
+    rows = [(1, same), (1, same), (None, same), (4, same + " x"), (5, None), (5, None), (6, "alone"), (None, "of null id"), (None, "of null id")]
+    df = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "of null id"), (1, same), (5, ""), (5, ""), (6, "alone")]
+
+
 def test_classifier_on_held_out_labels(spark):
     got = {r.doc_id: r for r in quality_model.op10_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
