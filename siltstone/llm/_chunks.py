@@ -37,7 +37,7 @@ class Chunks:
         )
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(1, math.ceil(chars / chunk_chars))
-        self.parts = max(16, math.ceil(self.n / 8))
+        self.parts = max(16, math.ceil(self.n / 4))
         chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("chunk")
         self.files = Bucketed(rows.select(chunk, "doc_id", "text"), "chunk", Scratch(docs.sparkSession, "chunks"), buckets=min(self.n, 20_000))
         self.table = self.files.rows

@@ -91,9 +91,8 @@ def probe(data: bytes, keys: np.ndarray) -> np.ndarray:
 
 
 def entries(keys: np.ndarray, counts: np.ndarray, kind: str) -> bytes:
-    """A segment from sorted distinct ``keys``: those counted ``LEAST`` times, rounded down, and per context their sum, rounded up."""
-    kept = counts >= LEAST
-    keys, level = keys[kept], levels(counts[kept])
+    """A segment from sorted distinct ``keys``: their counts rounded down, and per context the sum of these, rounded up."""
+    level = levels(counts)
     if not len(keys):
         return segment(keys, level)
     context = keys >> np.uint64(_KEY[kind][1])
@@ -191,6 +190,28 @@ def _uncounts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _often(packed: pd.Series, packed_n: pd.Series, token_bits: int, pieces: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that are counted ``LEAST`` times over all slices, and their counts; worked out in pieces of the range that cut no context."""
+    has = [len(x) > 0 for x in packed]
+    keys, counts = [unpack(x) for x in packed[has]], [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in packed_n[has]]
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, high = (int(f(k[i] for k in keys)) >> token_bits for f, i in ((min, 0), (max, -1)))
+    edges = np.array([(low + (high - low) * i // pieces) << token_bits for i in range(1, pieces)], np.uint64)
+    cuts = [_cuts(k, edges) for k in keys]
+    kept, n = [], []
+    for a in range(pieces):
+        some = np.concatenate([k[c[a] : c[a + 1]] for k, c in zip(keys, cuts)])
+        if len(some):
+            order = np.argsort(some)
+            some, count = some[order], np.concatenate([x[c[a] : c[a + 1]] for x, c in zip(counts, cuts)])[order]
+            first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            total = np.add.reduceat(count, first, dtype=np.int64)
+            kept.append(some[first[total >= LEAST]])
+            n.append(total[total >= LEAST])
+    return np.concatenate(kept), np.concatenate(n)
+
+
 def _in_training(ids: pd.Series, folds: int) -> np.ndarray:
     return np.array([pd.isna(i) or zlib.crc32(i.encode()) % folds != 0 for i in ids], bool)
 
@@ -239,26 +260,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         rows = [(p, key[0], *(x for y in some for x in y)) for p, some in enumerate(zip(*sets)) if any(y[0] for y in some)]
         return pd.DataFrame(rows, columns=["part", "chunk", *names])
 
-    def totals(group, kind):
-        has = [len(x) > 0 for x in group[kind]]
-        keys = [unpack(x) for x in group[kind][has]]
-        if not keys:
-            return has, keys, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(where, np.concatenate([_uncounts(x) for x in group[f"{kind}_n"][has]]), len(distinct))
-        return has, keys, distinct, where, n.astype(np.int64)
-
     def answer(group):
         part, out = group["part"].iloc[0], []
-        has, keys, distinct, where, n = totals(group, "words")
+        has = [len(x) > 0 for x in group["words"]]
+        keys = [unpack(x) for x in group["words"][has]]
         if keys:
+            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(where, np.concatenate([_uncounts(x) for x in group["words_n"][has]]), len(distinct)).astype(np.int64)
             back = np.split(n[where], np.cumsum([len(k) for k in keys])[:-1])
             out += [("words", part, c, _counts(x), 0, 0, 0) for c, x in zip(group["chunk"][has], back)]
             out.append(("sum", part, 0, b"", int(n.sum()), int((n > 0).sum()), int((n >= LEAST).sum())))
         for kind in _KEY:
-            _, keys, distinct, _, n = totals(group, kind)
-            if keys:
-                out.append((kind, part, 0, entries(distinct, n, kind), 0, 0, 0))
+            keys, n = _often(group[kind], group[f"{kind}_n"], _KEY[kind][1])
+            out.append((kind, part, 0, entries(keys, n, kind), 0, 0, 0))
         return pd.DataFrame(out, columns=["kind", "part", "chunk", "data", "n", "v", "often"])
 
     by_chunk = chunks.table.groupBy("chunk")
