@@ -27,8 +27,8 @@ class Chunks:
 
     Reading them by chunk needs no shuffle, so texts are shuffled once however often they are gone through.
 
-    ``parts`` is the number of key ranges. A range holds some chunks' worth of keys in one task, so a chunk sends a row to each of a few
-    ranges: rows grow as the input up to a gigabyte or two, and beyond that stay a hundredth of the keys they hold until some terabytes.
+    ``parts`` is the number of key ranges. A range holds two chunks' worth of keys in one task, and a chunk sends one row of packed keys to each
+    range: their number is chunks times ranges, as the blocks of any shuffle, and never over the number of keys.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS):
@@ -37,7 +37,7 @@ class Chunks:
         )
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(1, math.ceil(chars / chunk_chars))
-        self.parts = max(16, math.ceil(self.n / 4))
+        self.parts = max(32, math.ceil(self.n / 2))
         chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("chunk")
         self.files = Bucketed(rows.select(chunk, "doc_id", "text"), "chunk", Scratch(docs.sparkSession, "chunks"), buckets=min(self.n, 20_000))
         self.table = self.files.rows
