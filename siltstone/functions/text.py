@@ -21,6 +21,17 @@ SUFFIXES = {
     "nl": ["heden", "heid", "ingen", "ing", "en", "er", "e", "s"],
 }
 
+# English function words that are no index terms. Callers pass those of other languages.
+STOP_WORDS = {
+    "en": [
+        "the", "and", "for", "are", "was", "were", "this", "that", "with", "from", "have", "has", "had", "not", "but", "you", "your", "our", "can", "will",
+        "all", "any", "its", "his", "her", "they", "them", "been", "more", "other", "into", "than", "then", "when", "what", "which", "who", "how", "out",
+        "about", "also", "to", "of", "in", "on", "at", "is", "it", "as", "be", "by", "do", "does", "did", "or", "if", "so", "up", "an", "we", "us", "me",
+        "my", "am", "i", "a", "no", "yes", "get", "got", "there", "here", "where", "why", "much", "many", "some", "would", "could", "should", "please",
+        "want", "need", "like", "know", "tell", "give", "show", "find", "just", "very", "really",
+    ],
+}
+
 # Phrases that mark an attempt to redirect the assistant.
 INJECTION_MARKERS = [
     "ignore previous instructions", "ignore all previous", "ignore the above", "disregard", "system prompt", "you are now", "act as", "pretend you are",
@@ -74,13 +85,20 @@ def stem(token: Column, lang: Column) -> Column:
     return found.otherwise(token)
 
 
-def tokenize(text: Column, lang: Column, stopwords: list[str] | None = None, stemmed: bool = True) -> Column:
-    """Index terms: words, CJK bigrams, 2 to 48 characters, without stop words, stemmed by language."""
-    kept = F.filter(expand_cjk(raw_tokens(text)), lambda w: (F.length(w) >= 2) & (F.length(w) <= 48))
-    if stopwords:
-        stop = F.array(*map(F.lit, stopwords))
-        kept = F.filter(kept, lambda w: ~F.array_contains(stop, w))
-    return F.transform(kept, lambda w: stem(w, lang)) if stemmed else kept
+def index_words(text: Column, lang: Column, stop_words: dict[str, list[str]] | None = None) -> Column:
+    """Words and CJK bigrams of 2 to 48 characters without the language's stop words, not yet stemmed."""
+    stop = STOP_WORDS if stop_words is None else stop_words
+
+    def kept(w: Column) -> Column:
+        long = (F.length(w) >= 2) & (F.length(w) <= 48)
+        return reduce(lambda ok, code: ok & ~((lang == code) & w.isin(stop[code])), stop, long)
+
+    return F.filter(expand_cjk(raw_tokens(text)), kept)
+
+
+def tokenize(text: Column, lang: Column, stop_words: dict[str, list[str]] | None = None) -> Column:
+    """Index terms in order: ``index_words``, stemmed by language."""
+    return F.transform(index_words(text, lang, stop_words), lambda w: stem(w, lang))
 
 
 def words_of(text: Column, least: int = 2) -> Column:

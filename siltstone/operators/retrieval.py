@@ -11,9 +11,14 @@ K1, B = 1.2, 0.75
 TERM_LENGTH, TF_LIMIT = 48, 65535
 
 
-def postings(chunks: DataFrame, terms: Column) -> DataFrame:
-    """``term``, ``chunk_id``, ``lang``, ``tf``: one row per term and chunk; terms cut at 48 characters, tf at 65,535."""
+def postings(chunks: DataFrame, terms: Column, finish=None) -> DataFrame:
+    """``term``, ``chunk_id``, ``lang``, ``tf``: one row per term and chunk; terms cut at 48 characters, tf at 65,535.
+
+    ``finish(term, lang)`` makes a term of each word after words are exploded (a stemmer there is compiled; within the array it is not).
+    """
     each = chunks.select("chunk_id", "lang", F.explode(terms).alias("term"))
+    if finish is not None:
+        each = each.withColumn("term", finish(F.col("term"), F.col("lang")))
     return (
         each.groupBy(F.substring("term", 1, TERM_LENGTH).alias("term"), "chunk_id", "lang")
         .agg(F.least(F.count("*"), F.lit(TF_LIMIT)).alias("tf"))
@@ -46,7 +51,7 @@ def bm25(
     idf = F.greatest(F.lit(0.0), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     length = F.col("avg_len") if avg_len is None else F.lit(float(avg_len))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("token_est") / length))
-    weights = df.join(F.broadcast(n_chunks), F.col("df") >= 0)
+    weights = df.crossJoin(F.broadcast(n_chunks))  # one row
     scored = (
         terms.join(visible, "term")
         .join(weights, "term")
@@ -64,6 +69,11 @@ def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return union.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.lit(float(k)) / (k + F.col("rank"))), 12).alias("rrf"))
 
 
+def dense_coverage(similarity: Column) -> Column:
+    """What share of the query's terms a cosine stands for: 0.55 none, 0.85 all."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce(similarity, F.lit(0.0)) - 0.55) / 0.30))
+
+
 def boost(rrf: Column, weight: Column, coverage: Column, kind: Column) -> Column:
     """Fused score by document weight, share of query terms found and chunk kind, to four decimals."""
     return F.round(
@@ -71,6 +81,18 @@ def boost(rrf: Column, weight: Column, coverage: Column, kind: Column) -> Column
     )
 
 
+def in_scope(top: DataFrame, threshold: float = 0.35, least_coverage: float = 0.34) -> DataFrame:
+    """``query_id``, ``refused``: why a query is out of the base's scope ('low_coverage', 'low_score') or null, from its best row.
+
+    ``top`` has one row per query: ``score``, ``coverage``, ``matched_terms`` (null where nothing was found) and ``cross_lingual`` (the
+    query is in another language than the base; only shared words can match then, so the score and a thin match do not count).
+    """
+    none = F.coalesce("matched_terms", F.lit(0)) == 0
+    thin = ~F.col("cross_lingual") & (F.coalesce("coverage", F.lit(0.0)) < least_coverage) & (F.coalesce("matched_terms", F.lit(0)) < 2)
+    low = ~F.col("cross_lingual") & (F.coalesce("score", F.lit(0.0)) < threshold)
+    return top.select("query_id", F.when(none | thin, "low_coverage").when(low, "low_score").alias("refused"))
+
+
 def best_per_document(rows: DataFrame, limit: int) -> DataFrame:
     """The best document of a query keeps two chunks, every other one; ``limit`` rows a query, ``rank`` from 1."""
     order = (F.desc("score"), F.col("chunk_id"))

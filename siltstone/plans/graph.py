@@ -13,38 +13,6 @@ from ..operators import linkgraph as g
 from .registry import query
 
 _COCITE = """
-ask AS (SELECT DISTINCT doc_id FROM kb WHERE doc_id % 10 = 0),
-pairs AS (SELECT a.to_doc AS doc_id, b.to_doc AS related, count(*) AS hits FROM links a JOIN ask ON ask.doc_id = a.to_doc JOIN links b ON a.from_doc = b.from_doc AND a.to_doc <> b.to_doc GROUP BY 1, 2),
-co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, related) AS rank FROM pairs) WHERE rank <= 10)"""
-
-
-def _asked(s, d):
-    return t.kb_documents(s, d).where("doc_id % 10 = 0").select("doc_id")
-
-
-@query("join06_cocitation", t.with_("kb", "links", body=f", {_COCITE} SELECT * FROM co"))
-def join06(s, d):
-    return g.cocitation(t.links(s, d), _asked(s, d))
-
-
-@query("agg14_cocitation_counts", t.with_("kb", "links", body=f", {_COCITE} SELECT doc_id, sum(hits)::BIGINT AS hits, count(*) AS n FROM pairs GROUP BY 1"))
-def agg14(s, d):
-    asked = t.links(s, d).join(_asked(s, d).withColumnRenamed("doc_id", "to_doc"), "to_doc").select("from_doc", F.col("to_doc").alias("doc_id"))
-    pairs = asked.join(t.links(s, d).select("from_doc", F.col("to_doc").alias("related")), "from_doc").where("related <> doc_id")
-    return pairs.groupBy("doc_id", "related").agg(F.count("*").alias("h")).groupBy("doc_id").agg(F.sum("h").alias("hits"), F.count("*").alias("n"))
-
-
-@query("df08_related", t.with_("kb", "links", body=f""", {_COCITE},
-newest AS (SELECT source, doc_id AS related, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY indexed_at DESC, doc_id) AS pos FROM kb WHERE status = 'active') WHERE pos <= 10),
-u AS (SELECT co.doc_id, co.related, 0 AS tier, rank AS pos FROM co JOIN kb ON kb.doc_id = co.related WHERE kb.status = 'active'
-  UNION ALL SELECT kb.doc_id, n.related, 1, n.pos FROM kb JOIN newest n ON n.source = kb.source AND n.related <> kb.doc_id WHERE kb.doc_id % 10 = 0),
-o AS (SELECT doc_id, related, min((tier, pos)) AS k FROM u GROUP BY 1, 2)
-SELECT doc_id, related, k[1] AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, related) AS rank FROM o) WHERE rank <= 5"""))
-def df08(s, d):
-    return g.related(g.cocitation(t.links(s, d), _asked(s, d)), t.kb_documents(s, d), _asked(s, d))
-
-
-_COCITE_ALL = """
 pairs AS (SELECT a.to_doc AS doc_id, b.to_doc AS related, count(*) AS hits FROM links a JOIN links b ON a.from_doc = b.from_doc AND a.to_doc <> b.to_doc WHERE a.to_doc IN (SELECT doc_id FROM kb) GROUP BY 1, 2),
 co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, related) AS rank FROM pairs) WHERE rank <= 10)"""
 
@@ -53,26 +21,23 @@ def _all(s, d):
     return t.kb_documents(s, d).select("doc_id")
 
 
-@query("join06_cocitation_all", t.with_("kb", "links", body=f", {_COCITE_ALL} SELECT * FROM co"))
-def join06_all(s, d):
-    """join06 for every document."""
+@query("join06_cocitation", t.with_("kb", "links", body=f", {_COCITE} SELECT * FROM co"))
+def join06(s, d):
     return g.cocitation(t.links(s, d), _all(s, d))
 
 
-@query("agg14_cocitation_counts_all", t.with_("kb", "links", body=f", {_COCITE_ALL} SELECT doc_id, sum(hits)::BIGINT AS hits, count(*) AS n FROM pairs GROUP BY 1"))
-def agg14_all(s, d):
-    """agg14 for every document."""
+@query("agg14_cocitation_counts", t.with_("kb", "links", body=f", {_COCITE} SELECT doc_id, sum(hits)::BIGINT AS hits, count(*) AS n FROM pairs GROUP BY 1"))
+def agg14(s, d):
     return g.cocited_pairs(t.links(s, d), _all(s, d)).groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.count("*").alias("n"))
 
 
-@query("df08_related_all", t.with_("kb", "links", body=f""", {_COCITE_ALL},
+@query("df08_related", t.with_("kb", "links", body=f""", {_COCITE},
 newest AS (SELECT source, doc_id AS related, pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY indexed_at DESC, doc_id) AS pos FROM kb WHERE status = 'active') WHERE pos <= 10),
 u AS (SELECT co.doc_id, co.related, 0 AS tier, rank AS pos FROM co JOIN kb ON kb.doc_id = co.related WHERE kb.status = 'active'
   UNION ALL SELECT kb.doc_id, n.related, 1, n.pos FROM kb JOIN newest n ON n.source = kb.source AND n.related <> kb.doc_id),
 o AS (SELECT doc_id, related, min((tier, pos)) AS k FROM u GROUP BY 1, 2)
 SELECT doc_id, related, k[1] AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, related) AS rank FROM o) WHERE rank <= 5"""))
-def df08_all(s, d):
-    """df08 for every document."""
+def df08(s, d):
     return g.related(g.cocitation(t.links(s, d), _all(s, d)), t.kb_documents(s, d), _all(s, d))
 
 

@@ -115,10 +115,3 @@ def join15(s, d):
     old = _store(s, d).select("external_id", F.col("content_hash").alias("a"))
     both = old.join(_incoming(s, d).select("external_id", F.col("content_hash").alias("b")), "external_id", "full_outer")
     return both.select("external_id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("change"))
-
-
-@query("snk02_postings_written", t.with_("kb", body="SELECT lang, count(*) AS chunks, sum(token_est)::BIGINT AS tokens FROM kb GROUP BY 1"))
-def snk02(s, d):
-    """Chunks per language after duplicates of (chunk) are dropped."""
-    kb = t.kb_documents(s, d)
-    return kb.unionByName(kb).dropDuplicates(["doc_id"]).groupBy("lang").agg(F.count("*").alias("chunks"), F.sum("token_est").alias("tokens"))

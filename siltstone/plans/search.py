@@ -13,57 +13,101 @@ from .graph import _saver
 from .registry import query
 
 _WORD = r"[\p{L}\p{N}]+(?:[''\-.][\p{L}\p{N}]+)*"
-#: Terms without stems, so that SQL can follow.
-_TERMS = rf"list_filter(regexp_extract_all(lower(text), '{_WORD}'), lambda w: length(w) BETWEEN 2 AND 48)"
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _stem_sql(w: str, lang: str) -> str:
+    """The stemmer in SQL: the first suffix of the language's list that leaves four bytes."""
+    of = lambda suffixes: " ".join(
+        f"WHEN ends_with({w}, '{s}') AND strlen({w}) - {len(s.encode())} >= 4 THEN left({w}, length({w}) - {len(s)})" for s in suffixes
+    )
+    return "CASE " + " ".join(f"WHEN {lang} = '{code}' THEN CASE {of(x.SUFFIXES[code])} ELSE {w} END" for code in x.SUFFIXES) + f" ELSE {w} END"
+
+
+def _terms_sql(text: str, lang: str) -> str:
+    """Index terms in SQL (the test data holds no CJK)."""
+    stop = " OR ".join(f"({lang} = '{code}' AND w IN ({_quoted(words)}))" for code, words in x.STOP_WORDS.items())
+    kept = f"list_filter(regexp_extract_all(lower({text}), '{_WORD}'), lambda w: length(w) BETWEEN 2 AND 48 AND NOT ({stop}))"
+    return f"list_transform({kept}, lambda w: {_stem_sql('w', lang)})"
+
+
 _QUERY_TERMS = f"""
-qt AS (SELECT item_id AS query_id, unnest(list_slice(list_distinct_ordered, 1, 12)) AS term FROM (
-  SELECT item_id, list_filter(ts, lambda w, i: list_position(ts, w) = i) AS list_distinct_ordered FROM (
-    SELECT item_id, {_TERMS} AS ts FROM benchmark WHERE item_id < 20)))"""
+qa AS (SELECT item_id AS query_id, list_slice(list_filter(ts, lambda w, i: list_position(ts, w) = i), 1, 12) AS terms
+  FROM (SELECT item_id, {_terms_sql("text", "'en'")} AS ts FROM benchmark)),
+qt AS (SELECT query_id, unnest(terms) AS term FROM qa)"""
 _POSTINGS = f"""
-post AS (SELECT term, doc_id AS chunk_id, least(count(*), 65535) AS tf FROM (
-  SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY 1, 2)"""
+post AS (SELECT term, doc_id AS chunk_id, lang, least(count(*), 65535) AS tf FROM (
+  SELECT doc_id, lang, unnest({_terms_sql("text", "lang")}) AS term FROM documents) GROUP BY ALL)"""
 _BM25 = """
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-vis AS (SELECT * FROM (SELECT p.term, p.chunk_id, p.tf, k.token_est,
-    row_number() OVER (PARTITION BY p.term ORDER BY p.tf DESC, p.chunk_id) AS r
-  FROM post p JOIN kb k ON k.doc_id = p.chunk_id WHERE k.status = 'active' AND p.term IN (SELECT term FROM qt)) WHERE r <= 2000),
-n AS (SELECT greatest(count(*), 1)::DOUBLE AS n FROM kb WHERE status = 'active'),
+vis AS (SELECT p.term, p.chunk_id, p.tf, k.token_est FROM post p JOIN kb k ON k.doc_id = p.chunk_id WHERE k.status = 'active' AND p.term IN (SELECT term FROM qt)),
+n AS (SELECT greatest(count(*), 1)::DOUBLE AS n, avg(token_est) AS avg_len FROM kb WHERE status = 'active'),
 scored AS (SELECT query_id, chunk_id, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2
-    / (tf + 1.2 * (0.25 + 0.75 * token_est / 200.0))), 9) AS score, count(*) AS matched
+    / (tf + 1.2 * (0.25 + 0.75 * token_est / avg_len))), 9) AS score, count(*) AS matched
   FROM qt JOIN vis USING (term) JOIN df USING (term), n GROUP BY 1, 2),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 200)"""
+_DENSE = """
+dense AS (SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS similarity
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 30)"""
+_FUSED = f"""{_DENSE},
+lists AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, vec_id, rank FROM dense),
+rrf AS (SELECT query_id, chunk_id, round(sum(60.0::DOUBLE / (60 + rank)), 12) AS rrf FROM lists GROUP BY 1, 2)"""
 
 
-def _terms(column: str = "text"):
-    return F.filter(x.raw_tokens(F.col(column)), lambda w: (F.length(w) >= 2) & (F.length(w) <= 48))
+def _queries(spark, d) -> DataFrame:
+    """All benchmark rows, as questions in the base's language."""
+    return t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("en").alias("lang"))
 
 
-def _queries(spark, d) -> DataFrame:
-    return t.load(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+def _query_terms(spark, d) -> DataFrame:
+    return r.query_terms(_queries(spark, d), x.tokenize(F.col("text"), F.col("lang")))
 
 
-def _bm25(spark, d) -> DataFrame:
-    kb = t.kb_documents(spark, d)
-    chunks = kb.withColumn("chunk_id", F.col("doc_id"))
-    active = chunks.where("status = 'active'")
-    n = active.agg(F.count("*").alias("n"))
-    return r.bm25(r.query_terms(_queries(spark, d), _terms()), r.postings(chunks, _terms()), active, n, 200.0)
+def _chunks(spark, d) -> DataFrame:
+    return t.kb_documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
 
 
-@query("agg27_term_frequency", t.with_("kb", body=f"SELECT doc_id AS chunk_id, lang, term, least(count(*), 65535) AS tf FROM (SELECT doc_id, lang, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL"))
+def _postings(spark, d) -> DataFrame:
+    return r.postings(_chunks(spark, d), x.index_words(F.col("text"), F.col("lang")), x.stem)
+
+
+def _bm25(spark, d, index: DataFrame | None = None) -> DataFrame:
+    active = _chunks(spark, d).where("status = 'active'")
+    n = active.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len"))
+    return r.bm25(_query_terms(spark, d), index if index is not None else _postings(spark, d), active, n, per_term=None)
+
+
+def _dense(spark, d, top=30) -> DataFrame:
+    """Vectors whose id is divisible by 100 against all."""
+    vectors = t.load(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.nearest_in_blocks(queries, vectors, top)
+
+
+@query("agg27_term_frequency", f"WITH {_POSTINGS} SELECT * FROM post")
 def agg27(spark, d):
-    return r.postings(t.kb_documents(spark, d).withColumn("chunk_id", F.col("doc_id")), _terms())
+    return _postings(spark, d)
+
+
+@query("snk02_postings_written", f"WITH {_POSTINGS} SELECT * FROM post")
+def snk02(spark, d):
+    """The index of all chunks, written to the shared folder by term; what a search reads."""
+    return _saver(spark)(_postings(spark, d).repartition("term").sortWithinPartitions("term", "chunk_id"))
 
 
 @query("agg09_document_frequency", f"""
 WITH {_POSTINGS}, n AS (SELECT count(*) AS n FROM documents)
-SELECT term, count(*) AS df FROM post, n GROUP BY term, n HAVING count(*) > 0.2 * n ORDER BY df DESC, term LIMIT 200""")
+SELECT term, count(*) AS df FROM post, n GROUP BY term, n HAVING count(*) > 0.2 * n AND n > 500 ORDER BY df DESC, term LIMIT 200""")
 def agg09(spark, d):
-    """Terms of over a fifth of the chunks: the corpus's own stop words."""
-    chunks = t.kb_documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
-    n = chunks.agg(F.count("*").alias("n"))
-    df = r.postings(chunks, _terms()).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), F.col("df") > F.col("n") * 0.2).select("term", "df").orderBy(F.desc("df"), "term").limit(200)
+    """Terms of over a fifth of the chunks: the corpus's own stop words (only where the corpus has over 500 chunks)."""
+    n = _chunks(spark, d).agg(F.count("*").alias("n"))
+    df = _postings(spark, d).groupBy("term").agg(F.count("*").alias("df"))
+    wide = df.crossJoin(F.broadcast(n)).where((F.col("df") > F.col("n") * 0.2) & (F.col("n") > 500))
+    return wide.select("term", "df").orderBy(F.desc("df"), "term").limit(200)
 
 
 @query("mth01_bm25", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25} SELECT query_id, chunk_id, score, matched, rank FROM bm"))
@@ -71,18 +115,6 @@ def mth01(spark, d):
     return _bm25(spark, d)
 
 
-def _dense(spark, d, top=30) -> DataFrame:
-    vectors = t.load(spark, d, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.nearest(queries, vectors, top)
-
-
-_DENSE = """
-dense AS (SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS similarity
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q)) WHERE rank <= 30)"""
-
-
 @query("join19_dense_search", f"WITH {_DENSE} SELECT query_id, vec_id, similarity, rank FROM dense")
 def join19(spark, d):
     return _dense(spark, d)
@@ -93,123 +125,60 @@ def top04(spark, d):
     return _dense(spark, d).groupBy("query_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("worst"), F.count("*").alias("n"))
 
 
-_FUSED = f"""{_DENSE},
-lists AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, vec_id, rank FROM dense),
-rrf AS (SELECT query_id, chunk_id, round(sum(60.0::DOUBLE / (60 + rank)), 12) AS rrf FROM lists GROUP BY 1, 2)"""
-
-
-def _fused(spark, d) -> DataFrame:
-    dense = _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")
-    return r.fuse([_bm25(spark, d), dense])
+_SEARCH = f"""{{bm}}, {_FUSED},
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
+found AS (SELECT c.query_id, c.chunk_id, c.rrf, k.doc_id, k.title, k.permalink, k.weight, k.kind, coalesce(similarity, 0.0) AS sim, greatest(len(coalesce(terms, [])), 1) AS n_terms,
+    len(list_intersect(coalesce(terms, []), {_terms_sql("k.text", "'en'")})) AS hits
+  FROM cut c JOIN kb k ON k.doc_id = c.chunk_id LEFT JOIN qa ON qa.query_id = c.query_id LEFT JOIN dense d ON d.query_id = c.query_id AND d.vec_id = c.chunk_id
+  WHERE k.status = 'active'),
+covered AS (SELECT *, hits / n_terms::DOUBLE AS cov, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sim - 0.55) / 0.30::DOUBLE)) AS dcov FROM found),
+boosted AS (SELECT query_id, chunk_id, doc_id, title, permalink, kind,
+    round(rrf * (0.8 + weight / 250.0::DOUBLE) * (0.5 + 0.5 * greatest(cov, dcov)) * CASE WHEN kind = 'spec' THEN 1.15 ELSE 1.0 END, 4) AS score,
+    round(greatest(cov, dcov), 3) AS coverage, (CASE WHEN dcov > cov AND hits = 0 AND dcov >= 0.5 THEN 1 ELSE hits END)::BIGINT AS matched_terms, round(sim, 3) AS dense FROM covered),
+keep AS (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS best, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS nth FROM boosted),
+res AS (SELECT * EXCLUDE (best, nth) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM keep
+  WHERE nth <= CASE WHEN doc_id = best THEN 2 ELSE 1 END) WHERE rank <= 8)"""
+SEARCH_SQL = f", {_QUERY_TERMS}, {_POSTINGS}, {_SEARCH.replace('{bm}', _BM25)}"
 
 
 @query("mth02_rank_fusion", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, {_FUSED} SELECT query_id, chunk_id, rrf FROM rrf"))
 def mth02(spark, d):
-    return _fused(spark, d)
+    return r.fuse([_bm25(spark, d), _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")])
 
 
-@query("df03_search", t.with_("kb", body=f""", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, {_FUSED},
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
-nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY 1),
-boosted AS (SELECT c.query_id, c.chunk_id, k.doc_id, k.title, k.permalink,
-    round(rrf * (0.8 + weight / 250.0::DOUBLE) * (0.5 + 0.5 * coalesce(matched, 0) / n_terms::DOUBLE) * CASE WHEN kind = 'spec' THEN 1.15 ELSE 1.0 END, 4) AS score
-  FROM cut c JOIN kb k ON k.doc_id = c.chunk_id JOIN nt USING (query_id) LEFT JOIN bm ON bm.query_id = c.query_id AND bm.chunk_id = c.chunk_id
-  WHERE k.status = 'active')
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted) WHERE rank <= 8"""))
+@query("df03_search", t.with_("kb", body=f"{SEARCH_SQL} SELECT * EXCLUDE (kind) FROM res"))
 def df03(spark, d):
-    """Lexical and dense lists, fused, cut, hydrated, boosted, one document once."""
-    return _search(spark, d, _bm25(spark, d), r.query_terms(_queries(spark, d), _terms()), _dense(spark, d))
+    """Lexical and dense lists of all queries, fused, cut, hydrated, boosted by coverage, one document once."""
+    return search(spark, d).drop("kind")
 
 
-def _search(spark, d, bm: DataFrame, terms: DataFrame, dense: DataFrame) -> DataFrame:
+def search(spark, d) -> DataFrame:
+    """The reference's hybrid search for all benchmark rows: eight rows a query at most."""
+    bm, dense = _saver(spark)(_bm25(spark, d)), _saver(spark)(_dense(spark, d))
     fused = r.fuse([bm, dense.withColumnRenamed("vec_id", "chunk_id")])
     w = r.Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")
     cut = fused.withColumn("fr", F.row_number().over(w)).where("fr <= 32")
-    visible = t.kb_documents(spark, d).where("status = 'active'").select(F.col("doc_id").alias("chunk_id"), "doc_id", "title", "permalink", "weight", "kind")
-    n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    rows = (
-        cut.join(visible, "chunk_id")
-        .join(n_terms, "query_id")
-        .join(bm.select("query_id", "chunk_id", "matched"), ["query_id", "chunk_id"], "left")
-        .withColumn("score", r.boost(F.col("rrf"), F.col("weight"), F.coalesce("matched", F.lit(0)) / F.col("n_terms"), F.col("kind")))
-        .select("query_id", "chunk_id", "doc_id", "title", "permalink", "score")
-    )
+    visible = t.kb_documents(spark, d).where("status = 'active'").select(F.col("doc_id").alias("chunk_id"), "doc_id", "title", "permalink", "weight", "kind", "text")
+    terms = _queries(spark, d).select("query_id", F.slice(F.array_distinct(x.tokenize(F.col("text"), F.col("lang"))), 1, 12).alias("terms"))
+    sims = dense.select("query_id", F.col("vec_id").alias("chunk_id"), "similarity")
+    found = (
+        cut.join(visible, "chunk_id").join(terms, "query_id", "left").join(sims, ["query_id", "chunk_id"], "left")
+        .withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        .withColumn("hits", F.size(F.array_intersect("terms", x.tokenize(F.col("text"), F.lit("en")))).cast("long"))
+        .withColumn("cov", F.col("hits") / F.greatest(F.size("terms"), F.lit(1)))
+        .withColumn("dcov", r.dense_coverage(F.col("similarity")))
+        .withColumn("coverage", F.greatest("cov", "dcov"))
+    )
+    semantic = (F.col("dcov") > F.col("cov")) & (F.col("hits") == 0) & (F.col("dcov") >= 0.5)
+    rows = found.select(
+        "query_id", "chunk_id", "doc_id", "title", "permalink", "kind",
+        r.boost(F.col("rrf"), F.col("weight"), F.col("coverage"), F.col("kind")).alias("score"),
+        F.round("coverage", 3).alias("coverage"), F.when(semantic, F.lit(1).cast("long")).otherwise(F.col("hits")).alias("matched_terms"),
+        F.round(F.coalesce("similarity", F.lit(0.0)), 3).alias("dense"),
+    )
     return r.best_per_document(rows, 8)
 
 
-# The same searches over all benchmark rows, every vector whose id is divisible by 100, all postings and the corpus's own mean length.
-_QUERY_TERMS_ALL = f"""
-qt AS (SELECT item_id AS query_id, unnest(list_slice(list_distinct_ordered, 1, 12)) AS term FROM (
-  SELECT item_id, list_filter(ts, lambda w, i: list_position(ts, w) = i) AS list_distinct_ordered FROM (
-    SELECT item_id, {_TERMS} AS ts FROM benchmark)))"""
-_BM25_ALL = """
-df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-vis AS (SELECT p.term, p.chunk_id, p.tf, k.token_est FROM post p JOIN kb k ON k.doc_id = p.chunk_id WHERE k.status = 'active' AND p.term IN (SELECT term FROM qt)),
-n AS (SELECT greatest(count(*), 1)::DOUBLE AS n, avg(token_est) AS avg_len FROM kb WHERE status = 'active'),
-scored AS (SELECT query_id, chunk_id, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2
-    / (tf + 1.2 * (0.25 + 0.75 * token_est / avg_len))), 9) AS score, count(*) AS matched
-  FROM qt JOIN vis USING (term) JOIN df USING (term), n GROUP BY 1, 2),
-bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 200)"""
-_DENSE_ALL = """
-dense AS (SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS similarity
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 30)"""
-_FUSED_ALL = f"""{_DENSE_ALL},
-lists AS (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, vec_id, rank FROM dense),
-rrf AS (SELECT query_id, chunk_id, round(sum(60.0::DOUBLE / (60 + rank)), 12) AS rrf FROM lists GROUP BY 1, 2)"""
-
-
-def _queries_all(spark, d) -> DataFrame:
-    return t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-def _bm25_all(spark, d) -> DataFrame:
-    chunks = t.kb_documents(spark, d).withColumn("chunk_id", F.col("doc_id"))
-    active = chunks.where("status = 'active'")
-    n = active.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len"))
-    return r.bm25(r.query_terms(_queries_all(spark, d), _terms()), r.postings(chunks, _terms()), active, n, per_term=None)
-
-
-def _dense_all(spark, d, top=30) -> DataFrame:
-    vectors = t.load(spark, d, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.nearest_in_blocks(queries, vectors, top)
-
-
-@query("mth01_bm25_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL} SELECT query_id, chunk_id, score, matched, rank FROM bm"))
-def mth01_all(spark, d):
-    return _bm25_all(spark, d)
-
-
-@query("join19_dense_search_all", f"WITH {_DENSE_ALL} SELECT query_id, vec_id, similarity, rank FROM dense")
-def join19_all(spark, d):
-    return _dense_all(spark, d)
-
-
-@query("top04_dense_top_all", f"WITH {_DENSE_ALL} SELECT query_id, max(similarity) AS best, min(similarity) AS worst, count(*) AS n FROM dense GROUP BY 1")
-def top04_all(spark, d):
-    return _dense_all(spark, d).groupBy("query_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("worst"), F.count("*").alias("n"))
-
-
-@query("mth02_rank_fusion_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, {_FUSED_ALL} SELECT query_id, chunk_id, rrf FROM rrf"))
-def mth02_all(spark, d):
-    return r.fuse([_bm25_all(spark, d), _dense_all(spark, d).withColumnRenamed("vec_id", "chunk_id")])
-
-
-@query("df03_search_all", t.with_("kb", body=f""", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, {_FUSED_ALL},
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
-nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY 1),
-boosted AS (SELECT c.query_id, c.chunk_id, k.doc_id, k.title, k.permalink,
-    round(rrf * (0.8 + weight / 250.0::DOUBLE) * (0.5 + 0.5 * coalesce(matched, 0) / n_terms::DOUBLE) * CASE WHEN kind = 'spec' THEN 1.15 ELSE 1.0 END, 4) AS score
-  FROM cut c JOIN kb k ON k.doc_id = c.chunk_id JOIN nt USING (query_id) LEFT JOIN bm ON bm.query_id = c.query_id AND bm.chunk_id = c.chunk_id
-  WHERE k.status = 'active')
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM boosted) WHERE rank <= 8"""))
-def df03_all(spark, d):
-    """Lexical and dense lists of all queries, fused, cut, hydrated, boosted, one document once."""
-    bm = _saver(spark)(_bm25_all(spark, d))  # read twice
-    return _search(spark, d, bm, r.query_terms(_queries_all(spark, d), _terms()), _dense_all(spark, d))
-
-
 @query("df05_title_lookup", r"""
 WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS words FROM benchmark),
 ti AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(split_part(text, chr(10), 1), 1, 255)), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS words FROM documents),
@@ -253,20 +222,8 @@ def join04(spark, d):
 
 @query("agg26_score_threshold", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, tops AS (SELECT list_sort(list(score)) AS s FROM bm WHERE rank = 1) SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"))
 def agg26(spark, d):
-    """Half the fifth percentile of the best scores, within [0.05, 1.5]; null for fewer than five."""
-    return _threshold(_bm25(spark, d))
-
-
-def _threshold(bm: DataFrame) -> DataFrame:
-    tops = bm.where("rank = 1").agg(F.collect_list("score").alias("s"))
-    low = x.at_fraction(F.col("s"), 0.05) * 0.5
-    return tops.select(F.when(F.size("s") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), low)), 6)).alias("threshold"))
-
-
-@query("agg26_score_threshold_all", t.with_("kb", body=f", {_QUERY_TERMS_ALL}, {_POSTINGS}, {_BM25_ALL}, tops AS (SELECT list_sort(list(score)) AS s FROM bm WHERE rank = 1) SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"))
-def agg26_all(spark, d):
-    """agg26 over the best scores of all queries, counted instead of collected."""
-    hist = _bm25_all(spark, d).where("rank = 1").groupBy("score").agg(F.count("*").alias("c"))
+    """Half the fifth percentile of the best scores, within [0.05, 1.5]; null for fewer than five. Scores are counted, not collected."""
+    hist = _bm25(spark, d).where("rank = 1").groupBy("score").agg(F.count("*").alias("c"))
     w = r.Window.orderBy("score").rowsBetween(r.Window.unboundedPreceding, 0)
     ranked = hist.withColumn("upto", F.sum("c").over(w)).crossJoin(hist.agg(F.sum("c").alias("n")))
     at = F.min(F.when(F.col("upto") > F.floor(F.lit(0.05) * (F.col("n") - 1)), F.col("score")))
@@ -274,15 +231,8 @@ def agg26_all(spark, d):
     return low.select(F.when(F.col("n") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), F.col("s") * 0.5)), 6)).alias("threshold"))
 
 
-@query("set01_query_terms", f"WITH {_QUERY_TERMS} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('the', 'and', 'of') GROUP BY 1")
+@query("set01_query_terms", f"WITH {_QUERY_TERMS} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('est', 'ing') GROUP BY 1")
 def set01(spark, d):
     """Distinct terms in first-seen order minus noise terms."""
-    terms = r.query_terms(_queries(spark, d), _terms()).where(~F.col("term").isin("the", "and", "of"))
-    return terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
-
-
-@query("set01_query_terms_all", f"WITH {_QUERY_TERMS_ALL} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('the', 'and', 'of') GROUP BY 1")
-def set01_all(spark, d):
-    """set01 of all queries."""
-    terms = r.query_terms(_queries_all(spark, d), _terms()).where(~F.col("term").isin("the", "and", "of"))
+    terms = _query_terms(spark, d).where(~F.col("term").isin("est", "ing"))
     return terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))

@@ -58,24 +58,34 @@ def stm02(s, d):
     return sliding_counts(rows, "user_id", "second", 86400).select("event_id", F.col("in_window").alias("attempts"), (F.col("in_window") <= 3).alias("allowed"))
 
 
-@query("stm08_replays", "SELECT user_id, event_type, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 GROUP BY 1, 2")
+def _first_in(rows: str, seconds: int) -> str:
+    """SQL: ``acc`` (key, second), the seconds at which a key is taken anew, ``seconds`` after the last time at the earliest."""
+    return f"""WITH RECURSIVE e AS ({rows}),
+acc AS (SELECT key, min(second) AS second FROM e GROUP BY 1
+  UNION ALL SELECT a.key, min(e.second) FROM acc a JOIN e ON e.key = a.key AND e.second >= a.second + {seconds} GROUP BY a.key, a.second),
+firsts AS (SELECT e.key, e.second, min(event_id) AS event_id FROM e JOIN acc USING (key, second) GROUP BY 1, 2)"""
+
+
+_MESSAGES = "SELECT event_id, user_id || ':' || event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
+_LOOKUPS = "SELECT event_id, event_type || ':' || (props->>'$.k') AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
+
+
+@query("stm08_replays", _first_in(_MESSAGES, 60) + " SELECT e.event_id, f.event_id IS NULL AS replayed FROM e LEFT JOIN firsts f USING (event_id)")
 def stm08(s, d):
-    """One message a client id and hour."""
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
-    w = Window.partitionBy("user_id", "event_type", hour).orderBy("ts", "event_id")
-    rows = t.load(s, d, "events").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
+    """A message id that comes again within 60 seconds of the time it was answered gets that answer."""
+    rows = t.load(s, d, "events").select(
+        F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id"
+    )
+    return st.limited(rows, 60.0, 1).select("event_id", (~F.col("allowed")).alias("replayed"))
 
 
-@query("stm09_response_cache", t.with_("calls", body=""", k AS (SELECT call_id, ts, provider || ':' || tokens_in AS key FROM calls),
-l AS (SELECT *, lag(ts) OVER (PARTITION BY key ORDER BY ts, call_id) AS prev FROM k)
-SELECT call_id, key, prev IS NOT NULL AND ts < prev + INTERVAL 24 HOUR AS hit FROM l"""))
+@query("stm09_response_cache", _first_in(_LOOKUPS, 86400) + " SELECT e.event_id AS call_id, e.key, f.event_id IS NULL AS hit FROM e LEFT JOIN firsts f USING (event_id)")
 def stm09(s, d):
-    """A lookup hits where the key was asked for within the last day."""
-    w = Window.partitionBy("key").orderBy("ts", "call_id")
-    rows = t.inference_log(s, d).withColumn("key", F.concat(F.col("provider"), F.lit(":"), F.col("tokens_in").cast("string")))
-    prev = F.lag("ts").over(w)
-    return rows.select("call_id", "key", (prev.isNotNull() & (F.col("ts") < prev + F.make_dt_interval(hours=F.lit(24)))).alias("hit"))
+    """A lookup hits within a day of the store; a miss stores anew, a hit renews nothing."""
+    calls = t.inference_log(s, d)
+    key = F.concat(F.col("provider"), F.lit(":"), F.col("tokens_in").cast("string"))
+    rows = calls.select(key.alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), F.col("call_id").alias("event_id"))
+    return st.limited(rows, 86400.0, 1).select(F.col("event_id").alias("call_id"), "key", (~F.col("allowed")).alias("hit"))
 
 
 @query("stm10_memory", t.with_("calls", body=", m AS (SELECT user_id % 50 AS key, arg_max(latency_ms, (ts, call_id)) AS value, count(*) AS hits, max(ts) AS updated_at FROM calls GROUP BY 1) SELECT key, value, hits, greatest(0, 90 - 5 * (date_diff('day', updated_at::DATE, DATE '2024-03-01') // 7)) AS importance FROM m WHERE greatest(0, 90 - 5 * (date_diff('day', updated_at::DATE, DATE '2024-03-01') // 7)) > 0"))

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_linked_document_is_asked_about(spark, monkeypatch):
-    ids = {x.doc_id for x in registry.queries()["agg14_cocitation_counts_all"](spark, SF).collect()}
+    ids = {x.doc_id for x in registry.queries()["agg14_cocitation_counts"](spark, SF).collect()}
     assert {i % 10 for i in ids} == set(range(10))
     links = spark.createDataFrame([(p, to) for p in range(3) for to in [*range(p, 30), p, p]], "from_doc long, to_doc long")
     docs = spark.range(30).select(F.col("id").alias("doc_id"))
@@ -24,11 +24,11 @@ def test_every_linked_document_is_asked_about(spark, monkeypatch):
 
 def test_every_query_is_searched(spark):
     asked = {x.item_id for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    assert {x.query_id for x in registry.queries()["set01_query_terms_all"](spark, SF).collect()} == asked
+    assert {x.query_id for x in registry.queries()["set01_query_terms"](spark, SF).collect()} == asked
 
 
 def test_dense_blocks_agree_with_one_broadcast(spark, monkeypatch):
-    whole = sorted(registry.queries()["join19_dense_search_all"](spark, SF).collect())
+    whole = sorted(registry.queries()["join19_dense_search"](spark, SF).collect())
     assert {x.query_id % 100 for x in whole} == {0} and max(x.query_id for x in whole) >= 100
     monkeypatch.setattr(v, "QUERY_BLOCK", 1)
-    assert sorted(registry.queries()["join19_dense_search_all"](spark, SF).collect()) == whole
+    assert sorted(registry.queries()["join19_dense_search"](spark, SF).collect()) == whole
