@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bucketed, Scratch, col
+from ._common import Bucketed, Scratch, col, release
 from ._shingles import mix
 
 #: Characters of text in a chunk, about.
@@ -41,6 +41,7 @@ class Chunks:
         chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("chunk")
         self.files = Bucketed(rows.select(chunk, "doc_id", "text"), "chunk", Scratch(docs.sparkSession, "chunks"), buckets=min(self.n, 20_000))
         self.table = self.files.rows
+        release(docs.sparkSession)
 
 
 def range_edges(parts: int, bits: int) -> np.ndarray:

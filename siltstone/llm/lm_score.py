@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import Chunks, pack, range_edges, unpack
-from ._common import Scratch
+from ._common import Scratch, release
 from ._shingles import mix, word_hashes
 
 #: Bits per entry of the filter, and bits that an entry sets: in each of ``WORDS`` 64-bit words, ``PROBES`` of them.
@@ -280,6 +280,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     told = scratch.save(
         asked.groupBy("part").applyInPandas(answer, "kind string, part int, chunk int, data binary, n long, v long, often long"), "counts"
     )
+    release(spark)
     n, v, often = told.where("kind = 'sum'").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "often"))).first()
     lookup = Filter(spark, told.where(F.col("kind").isin(*_KEY)).select("kind", "part", "data"), chunks.parts)
 

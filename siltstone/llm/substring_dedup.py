@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import Chunks, contains, inside, pack, range_edges, rolling, unpack
-from ._common import Scratch
+from ._common import Scratch, release
 from ._shingles import word_hashes
 
 #: Words of a window. A repeated window holds a whole aligned block of either of its two places if 2 * block - 1 <= window.
@@ -125,6 +125,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     by_chunk = chunks.table.groupBy("chunk")
     asked = scratch.save(by_chunk.applyInPandas(anchors, f"{dealt}, blocks binary").groupBy("part").applyInPandas(hits, "chunk int, found binary"), "hits")
+    release(spark)
     asked = by_chunk.cogroup(asked.groupBy("chunk")).applyInPandas(runs, dealt)
     found = scratch.save(asked.groupBy("part").applyInPandas(repeats, "chunk int, found binary"), "repeats")
     out = by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(
