@@ -96,7 +96,11 @@ def top12(s, d):
 
 def _saver(s):
     """Writes tables to the folder the executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
 
     def save(df):
         path = f"{base.rstrip('/')}/siltstone/graph-{uuid.uuid4().hex}"
