@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -251,6 +253,32 @@ def excerpt(text: Column, title: Column, limit: int = 140, least: int = 60) -> C
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("…")))
 
 
+def _fact_lines(value, label: str = "") -> list[str]:
+    """Leaves of nested facts as ``key sub: value``."""
+    if isinstance(value, dict | list):
+        items = value.items() if isinstance(value, dict) else enumerate(value)
+        return [line for k, v in items for line in _fact_lines(v, f"{label} {k}" if label else str(k))]
+    if value is None or value == "":
+        return []
+    return [f"{label}: {('yes' if value else 'no') if isinstance(value, bool) else value}"]
+
+
+def flat_facts(facts: Column) -> Column:
+    """JSON facts of any nesting as lines of text; null for null, nothing for a text that is no JSON object or array."""
+
+    def flat(text):
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return ""
+        return "\n".join(_fact_lines(found)) if isinstance(found, dict | list) else ""
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(flat, na_action="ignore")
+
+    return F.pandas_udf(batch, "string")(facts)
+
+
 def luminance(color: Column) -> Column:
     """Relative luminance of #rrggbb (WCAG)."""
 

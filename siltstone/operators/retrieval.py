@@ -105,8 +105,8 @@ def best_per_document(rows: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= limit).drop("best", "nth")
 
 
-def title_matches(queries: DataFrame, titles: DataFrame, share: float = 0.6, most: int = 3) -> DataFrame:
-    """Titles that share words with a query: ``query_id``, ``doc_id``, ``score``; within ``share`` of the query's best, ``most`` at most.
+def title_scores(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """``query_id``, ``doc_id``, ``hits``, ``score`` of every title that shares a word with a query.
 
     ``queries`` has ``query_id``, ``words``; ``titles`` has ``doc_id``, ``words``. Both are exploded to words and equi-joined; no pairs without a
     shared word are made.
@@ -114,7 +114,13 @@ def title_matches(queries: DataFrame, titles: DataFrame, share: float = 0.6, mos
     q = queries.select("query_id", F.size("words").alias("n_query"), F.explode("words").alias("word"))
     t = titles.select("doc_id", F.size("words").alias("n_title"), F.explode("words").alias("word"))
     hits = q.join(t, "word").groupBy("query_id", "doc_id", "n_query", "n_title").agg(F.count("*").alias("hits"))
-    scored = hits.withColumn("score", F.round(F.col("hits") * (F.lit(0.5) / F.col("n_query") + F.lit(0.5) / F.col("n_title")), 6))
+    score = F.round(F.col("hits") * (F.lit(0.5) / F.col("n_query") + F.lit(0.5) / F.col("n_title")), 6)
+    return hits.select("query_id", "doc_id", "hits", score.alias("score"))
+
+
+def title_matches(queries: DataFrame, titles: DataFrame, share: float = 0.6, most: int = 3) -> DataFrame:
+    """Titles that share words with a query: ``title_scores`` within ``share`` of the query's best, ``most`` at most."""
+    scored = title_scores(queries, titles)
     w = Window.partitionBy("query_id")
     return (
         scored.withColumn("best", F.max("score").over(w))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("search", "knowledge", "answers", "stats", "graph", "lifecycle", "queue", "texts", "state", "documents")
+_MODULES = ("search", "knowledge", "answers", "site", "stats", "graph", "lifecycle", "queue", "texts", "state", "documents")
 
 
 def query(name: str, sql: str | None = None):

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import text as x
 from .registry import query
+from .search import _terms_sql
 
-_W = r"[\p{L}\p{N}]+(?:[''\-.][\p{L}\p{N}]+)*"
 
-
-@query("str01_tokens", rf"SELECT doc_id, len(ts) AS n, ts[1] AS first FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_W}'), lambda w: length(w) BETWEEN 2 AND 48) AS ts FROM documents)")
+@query("str01_tokens", f"SELECT doc_id, len(ts) AS n, ts[1] AS first, md5(array_to_string(ts, ' ')) AS terms FROM (SELECT doc_id, {_terms_sql('text', 'lang')} AS ts FROM documents)")
 def str01(s, d):
-    toks = x.tokenize(F.col("text"), F.col("lang"), stemmed=False)
-    return t.load(s, d, "documents").select("doc_id", toks.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"))
+    """Index terms of each document: words without stop words, stemmed by language."""
+    found = t.load(s, d, "documents").select("doc_id", x.tokenize(F.col("text"), F.col("lang")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"), F.md5(F.array_join("t", " ")).alias("terms"))
 
 
 @query("str03_stems", r"""

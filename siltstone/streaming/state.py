@@ -131,6 +131,20 @@ def replay_stream(messages: DataFrame, seconds: int = 60) -> DataFrame:
     return messages.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["session", "msg_id"])
 
 
+def applied_changes(changes: DataFrame) -> DataFrame:
+    """``item``, ``action``, ``newest``, ``changes``: the last change of each item of a stream of ``item``, ``event_id``, ``action`` (for complete mode)."""
+    return changes.groupBy("item").agg(F.max_by("action", "event_id").alias("action"), F.max("event_id").alias("newest"), F.count("*").alias("changes"))
+
+
+def appended(loads: list[DataFrame], kind: str = "parquet") -> DataFrame:
+    """Loads of one schema appended one after the other to a log under the folder the executors share, and the log as it is then."""
+    spark = loads[0].sparkSession
+    path = f"{_shared_dir(spark)}/siltstone/log-{uuid.uuid4().hex}"
+    for load in loads:
+        load.write.mode("append").format(kind).save(path)
+    return spark.read.schema(loads[0].schema).format(kind).load(path)
+
+
 def run_available(stream: DataFrame, mode: str = "append", empty_batches: bool = True) -> DataFrame:
     """Run a stream over what is available into Parquet under the folder the executors share, and read that back.
 
@@ -160,4 +174,7 @@ def run_available(stream: DataFrame, mode: str = "append", empty_batches: bool =
 
 def _shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where ``spark.checkpoint.dir`` is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}").rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or f"file://{tempfile.mkdtemp(prefix='siltstone-')}").rstrip("/")
