@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat_format, exact_dedup, fill_in_middle, line_dedup, lm_score, minhash, mixing, packing, quality_model, quality_rules, substring_dedup
+from . import chat_format, exact_dedup, fill_in_middle, line_dedup, lm_score, minhash, mixing, packing, quality_model, quality_rules, substring_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_classifier": quality_model.op10_quality_classifier,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
@@ -28,5 +29,6 @@ def oracle_sql() -> dict:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
         "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     }
