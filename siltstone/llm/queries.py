@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat_format, exact_dedup, fill_in_middle, line_dedup, lm_score, minhash, mixing, packing, quality_model, quality_rules, substring_dedup, vector_codes
+from . import chat_format, exact_dedup, fill_in_middle, line_dedup, lm_score, minhash, mixing, packing, quality_model, quality_rules, sequence_files, substring_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_quality_classifier": quality_model.op10_quality_classifier,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_token_files": sequence_files.op12_token_files,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
