@@ -1,0 +1,123 @@
+"""Ids of a batch of texts at once: words split, told apart and put back in order by Arrow and numpy, so that Python sees each distinct word only."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .packing import WordTokens
+
+#: Words of a generation: what was not asked for during a whole generation is forgotten.
+GENERATION = 400_000
+#: Words that are encoded as one text.
+GROUP = 100
+#: Words that are put in order at a time.
+BLOCK = 1 << 19
+#: Latin letters whose lower case is one letter of the same kind.
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
+
+
+class _Known:
+    """Ids of words as bytes, of at most two generations."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, words: list[bytes], learn) -> list[bytes]:
+        if len(self.new) > GENERATION:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, words))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking and self.old:
+            for i in lacking:
+                found[i] = self.old.get(words[i])
+            self.new.update((words[i], found[i]) for i in lacking if found[i] is not None)
+            lacking = [i for i in lacking if found[i] is None]
+        if lacking:
+            asked = [words[i] for i in lacking]
+            made = learn(asked)
+            self.new.update(zip(asked, made))
+            for i, x in zip(lacking, made):
+                found[i] = x
+        return found
+
+
+class BatchTokens(WordTokens):
+    """The ids that ``WordTokens`` gives. Plain words (Latin letters, at most one mark after them) are known by their letters in lower case."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self._cores, self._others = _Known(), _Known()
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (binary; null is empty) one after the other, and how many each text has."""
+        texts = texts.fill_null(b"")
+        try:
+            if self.by_words:
+                return self._by_words(texts)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8: text by text
+            pass
+        made = [np.frombuffer(x, "<u4") for x in self(texts.to_pylist())]
+        return np.concatenate([np.zeros(0, np.uint32), *made]), np.array([len(x) for x in made], np.int64)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts.view(pa.string() if pa.types.is_binary(texts.type) else pa.large_string()))
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        words.validate(full=True)
+        cores = pc.utf8_rtrim(words, characters=self.MARKS)
+        after = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy()
+        plain = np.asarray(pc.match_substring_regex(cores, _PLAIN)) & (after <= 1)
+        lowered = pc.utf8_lower(cores.filter(pa.array(plain))).dictionary_encode()
+        distinct = lowered.dictionary.cast(pa.binary()).to_pylist() if len(lowered) else []
+        others = words.filter(pa.array(~plain)).cast(pa.binary()).to_pylist()
+        marks = [m.encode() for m in self.MARKS]
+        pieces = [*self._cores.of(distinct, self._plain_words), *self._others.of(others, self._other_words), *(self.marks[m] for m in marks), b""]
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(pieces), "<u4")
+        # a word is two pieces: its letters (or all of it) and its mark (or nothing)
+        piece = np.full((len(words), 2), len(pieces) - 1, np.int64)
+        piece[plain, 0] = lowered.indices.to_numpy() if len(lowered) else 0
+        piece[~plain, 0] = len(distinct) + np.arange(len(others))
+        marked = plain & (after == 1)
+        ends = pc.binary_slice(words.filter(pa.array(marked)).cast(pa.binary()), -1).to_pylist()
+        at = {m: len(distinct) + len(others) + i for i, m in enumerate(marks)}
+        piece[marked, 1] = [at[m] for m in ends]
+        totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[piece].sum(axis=1)[which])))
+        ids = np.empty(totals[-1], np.uint32)
+        for at in range(0, len(which), BLOCK):
+            run = piece[which[at : at + BLOCK]].ravel()
+            n = lengths[run]
+            upto = np.cumsum(n)
+            ids[totals[at] : totals[at] + upto[-1]] = data[np.repeat(starts[run] - upto + n, n) + np.arange(upto[-1])]
+        return ids, np.diff(totals[offsets - offsets[0]])
+
+    def _plain_words(self, words: list[bytes]) -> list[bytes]:
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._encode(self.plain, [b" ".join(g).decode() for g in groups])):
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(cuts) == len(group):
+                out += map(data.__getitem__, map(slice, [0, *cuts], cuts))
+            else:
+                out += (x.tobytes() for x in self._encode(self.tokenizer, [w.decode() for w in group]))
+        return out
+
+    def _other_words(self, words: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self._encode(self.tokenizer, [w.decode("utf-8", "replace") for w in words])]
+
+
+_TOKENS: dict[str, BatchTokens] = {}
+
+
+def batch_tokens(path: str) -> BatchTokens:
+    """One tokeniser (with its words) a Python worker."""
+    if path not in _TOKENS:
+        _TOKENS[path] = BatchTokens(path)
+    return _TOKENS[path]
