@@ -11,16 +11,16 @@ K1, B = 1.2, 0.75
 TERM_LENGTH, TF_LIMIT = 48, 65535
 
 
-def postings(chunks: DataFrame, terms: Column, finish=None) -> DataFrame:
-    """``term``, ``chunk_id``, ``lang``, ``tf``: one row per term and chunk; terms cut at 48 characters, tf at 65,535.
+def postings(chunks: DataFrame, terms: Column, finish=None, keys: tuple[str, ...] = ("chunk_id", "lang")) -> DataFrame:
+    """``term``, ``chunk_id``, ``lang`` (``keys``, that is), ``tf``: one row per term and chunk; terms cut at 48 characters, tf at 65,535.
 
     ``finish(term, lang)`` makes a term of each word after words are exploded (a stemmer there is compiled; within the array it is not).
     """
-    each = chunks.select("chunk_id", "lang", F.explode(terms).alias("term"))
+    each = chunks.select(*keys, F.explode(terms).alias("term"))
     if finish is not None:
         each = each.withColumn("term", finish(F.col("term"), F.col("lang")))
     return (
-        each.groupBy(F.substring("term", 1, TERM_LENGTH).alias("term"), "chunk_id", "lang")
+        each.groupBy(F.substring("term", 1, TERM_LENGTH).alias("term"), *keys)
         .agg(F.least(F.count("*"), F.lit(TF_LIMIT)).alias("tf"))
     )
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text as x
 from ..operators import linkgraph as g
+from ..scratch import saver
 from .registry import query
 
 _COCITE = """
@@ -94,22 +92,6 @@ def top12(s, d):
     return top_rows(rows, ["topic"], [F.desc("score"), F.col("to_doc")], 3).select("topic", "to_doc", "score")
 
 
-def _saver(s):
-    """Writes tables to the folder the executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp()}"
-
-    def save(df):
-        path = f"{base.rstrip('/')}/siltstone/graph-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return s.read.schema(df.schema).parquet(path)
-
-    return save
-
-
 def _hashed(s, d):
     terms = F.filter(x.raw_tokens(F.col("text")), lambda w: (F.length(w) >= 2) & (F.length(w) <= 48))
     return t.kb_documents(s, d).select(F.col("doc_id").alias("chunk_id"), "doc_id", g.simhash(terms).alias("simhash"))
@@ -122,14 +104,14 @@ def str10(s, d):
 
 @query("join18_near_pairs")
 def join18(s, d):
-    save = _saver(s)
+    save = saver(s)
     return g.near_pairs(save(_hashed(s, d)), save)
 
 
 @query("agg12_duplicate_clusters")
 def agg12(s, d):
     """Clusters of two chunks or more among the SimHash pairs."""
-    save = _saver(s)
+    save = saver(s)
     found = g.clusters(g.near_pairs(save(_hashed(s, d)), save), save)
     return found.groupBy("cluster").agg(F.count("*").alias("size"))
 

@@ -124,7 +124,7 @@ def prj04(s, d):
 def join01(s, d):
     """Postings of the asked terms with their chunks, of active documents."""
     active = t.kb_documents(s, d).where("status = 'active'").select(F.col("doc_id").alias("chunk_id"), "token_est")
-    own = search._postings(s, d).join(search._query_terms(s, d).select("term").distinct(), "term", "left_semi")
+    own = search._index(s, d).postings(search._query_terms(s, d))
     return own.join(active, "chunk_id").select("term", "chunk_id", "tf", "token_est")
 
 
@@ -213,7 +213,7 @@ def agg11(s, d):
 def win02(s, d):
     """A term's 2,000 postings of highest tf (the reference's own limit)."""
     w = Window.partitionBy("term").orderBy(F.desc("tf"), "chunk_id")
-    return search._postings(s, d).withColumn("r", F.row_number().over(w)).where("r <= 2000").select("term", "chunk_id", "tf", "r")
+    return search._index(s, d).postings().withColumn("r", F.row_number().over(w)).where("r <= 2000").select("term", "chunk_id", "tf", "r")
 
 
 _LISTS = """lists AS (SELECT query_id, 'dense' AS list, vec_id AS chunk_id, rank - 1 AS pos FROM dense

@@ -12,9 +12,9 @@ from ..functions import intents
 from ..functions import text as x
 from ..operators import retrieval as r
 from ..operators import site
+from ..scratch import saver
 from ..streaming import state as st
 from . import search
-from .graph import _saver
 from .registry import query
 
 _W = r"[^\p{L}\p{N}_\p{M}]"
@@ -176,7 +176,7 @@ def src14(s, d):
     made = t.load(s, d, "nation").groupBy("n_regionkey").agg(providers.alias("providers"))  # a region has five nations
     schema, sequence = F.when(reg == 3, 2).otherwise(1), F.when(reg == 4, 1).otherwise(reg)
     payload = F.to_json(F.struct(schema.alias("schema"), sequence.alias("sequence"), "providers"))
-    files = _saver(s)(made.select(reg.alias("arrived"), (reg != 1).alias("verified"), payload.alias("payload")))
+    files = saver(s)(made.select(reg.alias("arrived"), (reg != 1).alias("verified"), payload.alias("payload")))
     return site.registry_models(files)
 
 

@@ -6,8 +6,6 @@ number of rows. The streams use the same step functions.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import new_folder
+
 # What a circuit breaker counts and how long it stays open (seconds).
 BREAKER_FAILS, BREAKER_OPEN, RATE_OPEN = 3, 900, 60
 
@@ -139,7 +139,7 @@ def applied_changes(changes: DataFrame) -> DataFrame:
 def appended(loads: list[DataFrame], kind: str = "parquet") -> DataFrame:
     """Loads of one schema appended one after the other to a log under the folder the executors share, and the log as it is then."""
     spark = loads[0].sparkSession
-    path = f"{_shared_dir(spark)}/siltstone/log-{uuid.uuid4().hex}"
+    path = new_folder(spark, "log")
     for load in loads:
         load.write.mode("append").format(kind).save(path)
     return spark.read.schema(loads[0].schema).format(kind).load(path)
@@ -152,7 +152,7 @@ def run_available(stream: DataFrame, mode: str = "append", empty_batches: bool =
     ends are part of it. Processing-time timeouts ask for empty batches for ever; ``empty_batches`` off lets such a stream end.
     """
     spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
-    root = f"{_shared_dir(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     out, last = f"{root}/out", [None]
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
 
@@ -170,11 +170,3 @@ def run_available(stream: DataFrame, mode: str = "append", empty_batches: bool =
     if mode != "complete":
         return spark.read.schema(stream.schema).parquet(out)
     return spark.read.schema(stream.schema).parquet(last[0]) if last[0] else spark.createDataFrame([], stream.schema)
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where ``spark.checkpoint.dir`` is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (base or f"file://{tempfile.mkdtemp(prefix='siltstone-')}").rstrip("/")
