@@ -76,9 +76,11 @@ def cron_next(expression: str, after: dt.datetime) -> dt.datetime | None:
 
 
 def cron_next_udf(expressions: Column, after: Column) -> Column:
-    """``cron_next`` of two columns."""
+    """``cron_next`` of two columns; null where either is."""
 
     def work(expressions: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([cron_next(e, a.to_pydatetime()) for e, a in zip(expressions, after)], dtype="datetime64[us]")
+        asked = [None if e is None or pd.isna(a) else (e, a.to_pydatetime().replace(second=0, microsecond=0)) for e, a in zip(expressions, after)]
+        found = {q: cron_next(*q) for q in set(asked) - {None}}  # each expression and minute once
+        return pd.Series([q and found[q] for q in asked], dtype="datetime64[us]")
 
     return F.pandas_udf(work, "timestamp_ntz")(expressions, after)

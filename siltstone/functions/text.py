@@ -23,16 +23,41 @@ SUFFIXES = {
     "nl": ["heden", "heid", "ingen", "ing", "en", "er", "e", "s"],
 }
 
-# English function words that are no index terms. Callers pass those of other languages.
+# Function words that are no index terms, by language.
 STOP_WORDS = {
-    "en": [
-        "the", "and", "for", "are", "was", "were", "this", "that", "with", "from", "have", "has", "had", "not", "but", "you", "your", "our", "can", "will",
-        "all", "any", "its", "his", "her", "they", "them", "been", "more", "other", "into", "than", "then", "when", "what", "which", "who", "how", "out",
-        "about", "also", "to", "of", "in", "on", "at", "is", "it", "as", "be", "by", "do", "does", "did", "or", "if", "so", "up", "an", "we", "us", "me",
-        "my", "am", "i", "a", "no", "yes", "get", "got", "there", "here", "where", "why", "much", "many", "some", "would", "could", "should", "please",
-        "want", "need", "like", "know", "tell", "give", "show", "find", "just", "very", "really",
-    ],
-}
+    "en": (
+        "the and for are was were this that with from have has had not but you your our can will all any its his her they them been more other into than "
+        "then when what which who how out about also to of in on at is it as be by do does did or if so up an we us me my am i a no yes get got there here "
+        "where why much many some would could should please want need like know tell give show find just very really"
+    ).split(),
+    "it": (
+        "il lo la le gli un una uno di da in su per con tra fra che chi cui non come dove quando anche ancora della delle dello degli del dei nel nella sono "
+        "essere questo questa questi queste quello più molto tutto tutti al ai agli alla alle allo e o ma se si ci vi ne mi ti lui lei noi voi loro ho hai ha "
+        "è era sia quanto quanti quale quali cosa vorrei voglio posso puoi può grazie prego ecco"
+    ).split(),
+    "de": (
+        "der die das den dem des ein eine einen einem und oder aber mit von für auf aus bei nach ist sind war nicht auch wenn wie wir sie ich sich werden "
+        "wurde kann haben hat zu im am an in es er du ihr mir mich uns euch was wo wer wann warum noch schon sehr bitte danke können möchte kein keine diese "
+        "dieser dieses"
+    ).split(),
+    "fr": (
+        "le la les un une des du de et ou mais dans sur pour avec par pas est sont que qui quoi dont nous vous ils elles être avoir cette ces son ses leur "
+        "plus tout tous à au aux en y je tu il elle on me te se ne ce cet ma mon mes votre vos où quand comment pourquoi combien quel quelle quels quelles "
+        "très aussi merci bonjour voudrais peux peut faut"
+    ).split(),
+    "es": (
+        "el la los las un una unos unas de del en por para con sin que como donde cuando y o pero no es son está están ser estar este esta estos estas ese "
+        "esa más todo todos a al lo le les se me te mi tu su sus yo él ella nos hay muy qué cuál cuánto cómo dónde quiero puedo puede tengo tiene gracias hola sí"
+    ).split(),
+    "pt": (
+        "o a os as um uma uns umas de do da dos das em no na nos nas por para com sem que como quando e ou mas não é são ser estar este esta esse essa mais "
+        "todo todos ao aos à às se me te meu minha seu sua eu ele ela você vocês muito qual quanto onde quero posso pode tenho tem obrigado obrigada olá sim"
+    ).split(),
+    "nl": (
+        "de het een en of maar van voor met op in aan bij naar uit is zijn was niet ook als dat die dit deze wij zij je hebben heeft kan worden meer alle te "
+        "er ik jij u we ze hij mij me ons jullie wat waar hoe wanneer waarom welke wel nog graag kunnen kunt wil moet bedankt hallo ja nee"
+    ).split(),
+}
 
 # Phrases that mark an attempt to redirect the assistant.
 INJECTION_MARKERS = [
@@ -43,15 +68,38 @@ INJECTION_MARKERS = [
 
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}"
 
-#: A few function words per language; callers pass fuller lists (language -> words).
+# Marker words of languages in Latin script.
 MARKERS = {
-    "en": ["the", "and", "you", "what", "where", "how", "this", "that", "with", "from", "are", "which"],
-    "it": ["che", "di", "per", "sono", "questo", "della", "anche", "grazie", "vorrei", "gli"],
-    "de": ["der", "das", "und", "ich", "nicht", "ist", "sind", "mit", "für", "auf", "wir"],
-    "fr": ["les", "une", "est", "et", "vous", "nous", "pas", "pour", "avec", "dans", "sur"],
-    "es": ["el", "los", "las", "pero", "donde", "hola", "gracias", "muy", "también", "hay"],
-    "pt": ["não", "você", "obrigado", "onde", "muito", "isso", "uma", "meu", "seu", "ele"],
-    "nl": ["het", "een", "niet", "ik", "jij", "wij", "voor", "van", "naar", "ook"],
+    "en": (
+        "the and you your what where when why how can could would should have has does this that with please thanks hello which will about from are price "
+        "cost shipping delivery return returns order product products available hours phone much many sell buy any"
+    ).split(),
+    "it": (
+        "che di per sono questo questa come dove della delle nella degli anche ciao grazie prego vorrei posso avete quanto quale perché più cosa siamo è "
+        "costa costano quanti quante quanta qual gli nel sul dal alla allo spedizione consegna reso resi prezzo prezzi ordine prodotto prodotti disponibile "
+        "disponibili orari contatti telefono potete cerco buongiorno buonasera salve"
+    ).split(),
+    "de": (
+        "der das und ich nicht ist sind wie wo wann kann können haben eine einen mit für auf aus bei nach wir ihr sie mir mich dieses diese dieser noch auch "
+        "danke hallo bitte möchte gibt preis kostet kosten versand lieferung rückgabe bestellung produkt verfügbar öffnungszeiten kontakt telefon wieviel "
+        "welche welcher habt dauert"
+    ).split(),
+    "fr": (
+        "les une est et où vous nous pas pour avec dans sur comment quand bonjour merci être avoir cette votre aussi très voudrais ça quel quelle prix coûte "
+        "combien livraison expédition commande produit produits horaires téléphone avez peux puis est-ce faut"
+    ).split(),
+    "es": (
+        "el los las pero donde cuando hola gracias tengo quiero puedo tiene tienen usted cuánto cuál dónde cómo muy también aquí hay necesito ayuda algún sí "
+        "precio cuesta cuestan envío devolución pedido producto productos horario teléfono tienes quisiera venden ustedes"
+    ).split(),
+    "pt": (
+        "não você vocês obrigado obrigada olá onde quero tenho preciso gostaria muito também isso essa esse uma meu minha seu sua ele ela fazer pode qual é "
+        "preço custa custam envio devolução produto produtos disponível horário telefone têm vendem quais"
+    ).split(),
+    "nl": (
+        "het een niet ik jij wij jullie dat dit deze met voor van naar uit ook maar hoe waar wanneer kunnen hebben heeft zijn bedankt graag hoi prijs kost "
+        "verzending levering bestelling beschikbaar openingstijden telefoon hoeveel kunt wilt verkopen"
+    ).split(),
 }
 
 
@@ -89,11 +137,11 @@ def stem(token: Column, lang: Column) -> Column:
 
 def index_words(text: Column, lang: Column, stop_words: dict[str, list[str]] | None = None) -> Column:
     """Words and CJK bigrams of 2 to 48 characters without the language's stop words, not yet stemmed."""
-    stop = STOP_WORDS if stop_words is None else stop_words
+    stop = [f"{code} {w}" for code, words in (STOP_WORDS if stop_words is None else stop_words).items() for w in words]
+    of = F.concat(F.coalesce(lang, F.lit("")), F.lit(" "))
 
     def kept(w: Column) -> Column:
-        long = (F.length(w) >= 2) & (F.length(w) <= 48)
-        return reduce(lambda ok, code: ok & ~((lang == code) & w.isin(stop[code])), stop, long)
+        return (F.length(w) >= 2) & (F.length(w) <= 48) & ~F.concat(of, w).isin(stop)  # one look-up in a set, whatever the number of languages
 
     return F.filter(expand_cjk(raw_tokens(text)), kept)
 
@@ -174,19 +222,21 @@ def detect_language(text: Column, markers: dict[str, list[str]] | None = None) -
     def one_of(words: list[str]):
         return lambda w: w.isin(words)
 
-    def latin(tokens: Column) -> Column:
+    def latin(found: Column) -> Column:  # (how many tokens, those that are a marker of any language)
         hits = F.array(
             *(
-                F.struct(F.size(F.filter(tokens, one_of(words))).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+                F.struct(F.size(F.filter(found["marks"], one_of(words))).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
                 for i, (lang, words) in enumerate(markers.items())
             )
         )
         best = F.array_max(hits)
-        ratio = F.coalesce(F.try_divide(best["hits"].cast("double"), F.size(tokens)), F.lit(0.0))
+        ratio = F.coalesce(F.try_divide(best["hits"].cast("double"), found["n"]), F.lit(0.0))
         confidence = F.round(F.least(F.lit(0.95), ratio * 2.5, best["hits"] * F.lit(0.3)), 2)
         return F.when(best["hits"] > 0, made(best["lang"], confidence)).otherwise(made(F.lit(""), F.lit(0.0)))
 
-    return found.otherwise(F.transform(F.array(tokens), latin).getItem(0))
+    every = sorted(set().union(*markers.values()))
+    counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, one_of(every)).alias("marks")))
+    return found.otherwise(F.transform(counted, latin).getItem(0))
 
 
 def luhn(digits: Column) -> Column:
@@ -208,35 +258,87 @@ def iban(code: Column) -> Column:
     return form & (F.aggregate(digits, F.lit(0), step) == 1)
 
 
-def price_bound(text: Column, words: str) -> Column:
-    """The number after one of ``words`` (a regex alternation), comma or point before the decimals."""
-    found = F.regexp_extract(F.lower(text), rf"(?:{words})\s*[€$£]?\s*([0-9]+(?:[.,][0-9]{{1,2}})?)", 1)
-    return F.when(found != "", F.replace(found, F.lit(","), F.lit(".")).cast("double"))
+# Words before the most and the least a visitor wants to pay.
+AT_MOST = (
+    r"(?:under|below|less\s+than|cheaper\s+than|max(?:imum)?|sotto(?:\s+i)?|meno\s+di|al\s+massimo|unter|weniger\s+als|h[öo]chstens|moins\s+de|maximum"
+    r"|menos\s+de|como\s+m[áa]ximo|abaixo\s+de|minder\s+dan|maximaal)"
+)
+AT_LEAST = (
+    r"(?:over|above|more\s+than|at\s+least|sopra(?:\s+i)?|pi[ùu]\s+di|almeno|[üu]ber|mehr\s+als|mindestens|plus\s+de|au\s+moins|m[áa]s\s+de|al\s+menos"
+    r"|mais\s+de|pelo\s+menos|meer\s+dan|minstens)"
+)
+
+
+def price_bounds(text: Column) -> Column:
+    """struct(min, max): the first number after words for the least and for the most; null where there is none."""
+
+    def after(words: str) -> Column:
+        found = F.regexp_extract(F.lower(text), rf"(?U)\b{words}\s*(?:[€$£]\s*)?(\d+(?:[.,]\d{{1,2}})?)", 1)
+        return F.when(found != "", F.replace(found, F.lit(","), F.lit(".")).try_cast("double"))
+
+    return F.struct(after(AT_LEAST).alias("min"), after(AT_MOST).alias("max"))
 
 
 def skus(text: Column) -> Column:
-    """Codes of capitals and digits, both in them."""
-    codes = F.regexp_extract_all(text, F.lit(r"\b[A-Z0-9][A-Z0-9\-]{3,19}\b"), F.lit(0))
-    return F.array_distinct(F.filter(codes, lambda c: c.rlike("[A-Z]") & c.rlike("[0-9]")))
+    """Distinct codes of capitals and digits with a hyphen after two of them at least, and a letter somewhere."""
+    codes = F.regexp_extract_all(text, F.lit(r"\b[A-Z0-9]{2,}-[A-Z0-9-]{2,}\b"), F.lit(0))
+    return F.array_distinct(F.filter(codes, lambda c: c.rlike("[A-Z]")))
+
+
+# Short names of commands.
+COMMAND_ALIASES = {
+    "kb.add": "kb.add_entry", "kb.new": "kb.add_entry", "kb.edit": "kb.update", "kb.remove": "kb.delete", "kb.trash": "kb.delete", "kb.undo": "kb.restore",
+    "kb.ls": "kb.list", "kb.crawl": "kb.reindex", "stats.show": "stats.query", "memory.list": "memory.query", "memory.show": "memory.query",
+}
+_ARGUMENT = r"""(?i)([a-z_]+):(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|(\S+))"""
 
 
 def slash_command(text: Column) -> Column:
-    """struct(group, verb, args) of ``/group verb key:value key:"a value"``; null for other texts."""
-    pairs = F.regexp_extract_all(text, F.lit(r'([A-Za-z_]+):("[^"]*"|\S+)'), F.lit(0))
-    keys = F.transform(pairs, lambda p: F.lower(F.substring_index(p, ":", 1)))
-    values = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(p, r"^[A-Za-z_]+:", ""), '^"|"$', ""))
+    """struct(action, args, help) of ``/group verb key:value key:"a b" rest``; null for texts that do not start with a slash.
+
+    Names are in lower case, hyphens of a verb are underscores, and short names stand for others. A value may be bare or in either kind of quotes, with
+    backslash escapes in it; the last of a repeated key wins, and what follows the last pair (or all, without pairs) is ``_tail``. ``/help`` sets ``help``;
+    a slash that no command follows has an empty action.
+    """
+    said = F.trim(text)
+    form = r"(?is)^/([a-z]+)\s+([a-z\-_]+)\s*(.*)$"
+    name = F.concat(F.lower(F.regexp_extract(said, form, 1)), F.lit("."), F.replace(F.lower(F.regexp_extract(said, form, 2)), F.lit("-"), F.lit("_")))
+    aliases = F.create_map(*(F.lit(x) for pair in COMMAND_ALIASES.items() for x in pair))
+    rest = F.trim(F.regexp_extract(said, form, 3))
+    pairs = F.regexp_extract_all(rest, F.lit(_ARGUMENT), F.lit(0))
+
+    def entry(pair: Column) -> Column:
+        bare = F.regexp_extract(pair, _ARGUMENT, 4)
+        quoted = F.concat(F.regexp_extract(pair, _ARGUMENT, 2), F.regexp_extract(pair, _ARGUMENT, 3))
+        value = F.when(quoted != "", quoted).otherwise(bare)
+        # a backslash goes; n, t, r, v, f after it stand for white space
+        for letter, char in {"n": "\n", "t": "\t", "r": "\r", "v": "\v", "f": "\f"}.items():
+            value = F.regexp_replace(value, rf"(?<!\\)((?:\\\\)*)\\{letter}", rf"$1{char}")
+        return F.struct(F.lower(F.regexp_extract(pair, _ARGUMENT, 1)).alias("key"), F.regexp_replace(value, r"(?s)\\(.)", "$1").alias("value"))
+
+    found = F.transform(pairs, entry)
+    # the last of equal keys: the first when read backwards
+    backwards = F.reverse(found)
+    keys = F.transform(backwards, lambda e: e["key"])
+    last = F.filter(backwards, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    cut = F.regexp_replace(rest, rf"(?s)^.*{_ARGUMENT}", "")
+    tail = F.trim(F.when(F.size(pairs) > 0, cut).otherwise(rest))
+    extra = F.when((tail != "") & ~F.array_contains(keys, F.lit("_tail")), F.array(F.struct(F.lit("_tail").alias("key"), tail.alias("value"))))
+    args = F.map_from_entries(F.concat(F.reverse(last), F.coalesce(extra, F.array().cast("array<struct<key:string,value:string>>"))))
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    asks_help, fits = said.rlike(r"(?i)^/help\b"), said.rlike(form)
     made = F.struct(
-        F.lower(F.regexp_extract(text, r"^/(\w+)", 1)).alias("group"),
-        F.lower(F.regexp_extract(text, r"^/\w+\s+(\w+)(?:\s|$)", 1)).alias("verb"),
-        F.map_from_entries(F.array_distinct(F.arrays_zip(keys.alias("key"), values.alias("value")))).alias("args"),
+        F.when(fits & ~asks_help, F.coalesce(F.try_element_at(aliases, name), name)).otherwise("").alias("action"),
+        F.when(fits & ~asks_help, args).otherwise(none).alias("args"),
+        asks_help.alias("help"),
     )
-    return F.when(text.rlike(r"^/\w+"), made)
+    return F.when(F.startswith(said, F.lit("/")), made)
 
 
 def citations(text: Column) -> Column:
-    """Distinct numbers cited as [#n], in order."""
+    """Distinct numbers cited as [#n], in order; numbers beyond an int cite nothing."""
     found = F.regexp_extract_all(text, F.lit(r"\[#(\d+)\]"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda n: n.isNotNull()))
 
 
 def without_citations(text: Column) -> Column:
@@ -287,10 +389,3 @@ def luminance(color: Column) -> Column:
         return F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
     return channel(2) * 0.2126 + channel(4) * 0.7152 + channel(6) * 0.0722
-
-
-def at_fraction(values: Column, fraction: float) -> Column:
-    """The value at floor(fraction * (n - 1)) of the sorted array; null for none."""
-    ordered = F.array_sort(values)
-    at = F.floor(F.lit(fraction) * (F.size(values) - 1)).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(ordered, F.greatest(at, F.lit(1))))

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..streaming.state import fold_sorted
-
-_CENT = Decimal("0.01")
+from ..streaming.state import average_step, fold_runs
 
 
 def daily_rollup(messages: DataFrame) -> DataFrame:
@@ -107,15 +102,16 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: str, keep
     names = [f"o{i}" for i in range(len(order))]
     steps = rows.select(F.col(key).alias("key"), *(F.col(c).alias(n) for c, n in zip(order, names)), F.col(value).cast("double").alias("v"))
 
-    def step(state, row):
-        nth, last = state
-        v = None if pd.isna(row.v) else row.v
-        # A null breaks the average; it starts anew with the next value.
-        now = v if last is None else None if v is None else last * keep + v * (1 - keep)
-        now = now if now is None or not math.isfinite(now) else float(Decimal(repr(now)).quantize(_CENT, ROUND_HALF_UP))
-        return (nth + 1, now), [float(nth), now]
+    def run(state, columns):
+        (nth, last), out = state, []
+        for v in columns["v"].to_pylist():
+            # A null breaks the average; it starts anew with the next value.
+            last = None if v is None or v != v else average_step(last, v, keep)
+            out.append([float(nth), last])
+            nth += 1
+        return (nth, last), out
 
-    done = fold_sorted(steps, "key", [*names, "v"], step, lambda: (0, None), "done", "array<double>")
+    done = fold_runs(steps, "key", [*names, "v"], run, lambda: (0, None), "done", T.ArrayType(T.DoubleType()))
     return done.groupBy(F.col("key").alias(key)).agg(F.max_by(F.col("done")[1], F.col("done")[0]).alias("ema"))
 
 

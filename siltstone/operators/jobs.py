@@ -13,7 +13,9 @@ def enqueue_unique(queue: DataFrame, new: DataFrame) -> DataFrame:
     busy = queue.where(F.col("status").isin("pending", "running")).select(*IDENTITY)
     w = Window.partitionBy(*IDENTITY).orderBy("action_id")
     first = new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return first.join(busy, IDENTITY, "left_anti")
+    busy = busy.toDF(*(f"busy_{c}" for c in IDENTITY))
+    same = [F.col(c).eqNullSafe(F.col(f"busy_{c}")) for c in IDENTITY]  # a missing group is the same group as a missing one
+    return first.join(busy, same, "left_anti")
 
 
 def claim(queue: DataFrame, now, batch: int, claim_id: int) -> DataFrame:

@@ -14,10 +14,11 @@ HOT_LINKS = 1000
 def resolve(links: DataFrame, documents: DataFrame) -> DataFrame:
     """``links`` (``url``) with ``to_doc``: the document at exactly that URL, else at its variant with or without a last slash, else 0.
 
-    Two equi-joins instead of one with an OR, so both can be hashed or merged.
+    Of documents that share a URL the one of the smallest id is linked to. Two equi-joins instead of one with an OR, so both can be hashed or merged.
     """
-    exact = documents.select(F.col("permalink").alias("u1"), F.col("doc_id").alias("d1"))
-    other = documents.select(F.col("permalink").alias("u2"), F.col("doc_id").alias("d2"))
+    places = documents.groupBy("permalink").agg(F.min("doc_id").alias("doc_id"))
+    exact = places.select(F.col("permalink").alias("u1"), F.col("doc_id").alias("d1"))
+    other = places.select(F.col("permalink").alias("u2"), F.col("doc_id").alias("d2"))
     variant = F.when(F.col("url").endswith("/"), F.regexp_replace("url", "/+$", "")).otherwise(F.concat("url", F.lit("/")))
     return (
         links.join(exact, F.col("url") == F.col("u1"), "left")

@@ -107,12 +107,17 @@ def src11(s, d):
     return t.load(s, d, "documents").select("doc_id", F.size(pieces).alias("pieces"))
 
 
-@query("src11b_csv_entries", "SELECT p_partkey, 'p_name: ' || p_name || chr(10) || 'p_type: ' || p_type AS content FROM part")
+@query("src11b_csv_entries", """
+SELECT 'part' AS load, p_partkey AS row, substr(p_name, 1, 120) AS title, substr(p_type, 1, 4000) AS content, 'file' AS type FROM part
+UNION ALL SELECT 'nation', n_nationkey, substr(trim(n_name), 1, 120), 'Q: ' || trim(n_name) || chr(10) || 'A: ' || n_regionkey, 'faq' FROM nation
+UNION ALL SELECT 'supplier', s_suppkey, substr(trim(s_name), 1, 120), 'S_name: ' || trim(s_name) || chr(10) || 'S_nationkey: ' || s_nationkey, 'file' FROM supplier""")
 def src11b(s, d):
-    part = t.load(s, d, "part")
-    rows = files.table_entries(part.select("p_name", "p_type"))
-    keyed = part.select("p_partkey", F.concat_ws("\n", F.concat(F.lit("p_name: "), F.trim("p_name")), F.concat(F.lit("p_type: "), F.trim("p_type"))).alias("k"))
-    return keyed.join(rows.select("content").distinct(), F.col("k") == F.col("content")).select("p_partkey", "content")
+    """Tables as entries: by a title and a content column, by question and answer, and by lines of header and value where there are none."""
+    part = t.load(s, d, "part").select(F.col("p_partkey").alias("row"), F.lit("part").alias("load"), F.col("p_name").alias("Titolo "), F.col("p_type").alias("TEXT"))
+    nation = t.load(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.lit("nation").alias("load"), F.col("n_name").alias("Domanda"), F.col("n_regionkey").alias("a"))
+    supplier = t.load(s, d, "supplier").select(F.col("s_suppkey").alias("row"), F.lit("supplier").alias("load"), "s_name", "s_nationkey")
+    made = [files.table_entries(rows, also=("row", "load")) for rows in (part, nation, supplier)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query("src15_sse_events", "SELECT conv_id, count(*) AS events FROM conversations GROUP BY 1")

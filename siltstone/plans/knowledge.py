@@ -89,10 +89,10 @@ def denied_category(text: Column, policy: dict[str, tuple[bool, list[str]]], gua
 _POLICY = {"legal": (False, ["sue the", "lawyer"]), "secrets": (True, ["password", "api key"]), "common": (True, ["the", "and"]), "guarded": (False, ["of"])}
 
 
-@query("flt13_denied", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(?:password|api key)\b') THEN 'secrets' WHEN regexp_matches(text, '(?i)\b(?:the|and)\b') THEN 'common' ELSE '' END AS always_on FROM documents WHERE lang = 'en'")
+@query("flt13_denied", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(?:password|api key)\b') THEN 'secrets' WHEN regexp_matches(text, '(?i)\b(?:the|and)\b') THEN 'common' ELSE '' END AS always_on FROM documents")
 def flt13(s, d):
     """The category of what a text may not be asked; guarded categories are off here."""
-    return t.load(s, d, "documents").where("lang = 'en'").select("doc_id", denied_category(F.col("text"), _POLICY, False).alias("always_on"))
+    return t.load(s, d, "documents").select("doc_id", denied_category(F.col("text"), _POLICY, False).alias("always_on"))
 
 
 @query("flt16_bad_links", "SELECT l_orderkey AS from_doc, l_partkey AS to_doc, (200 + 101 * (l_suppkey % 4))::INT AS http_status FROM lineitem WHERE 200 + 101 * (l_suppkey % 4) >= 400")
@@ -252,10 +252,10 @@ def top09(s, d):
     return t.kb_documents(s, d).where("status = 'active' AND title <> ''").orderBy(F.desc("weight"), F.desc("indexed_at"), "doc_id").select("doc_id", "title").limit(12)
 
 
-@query("set02_first_seen", "SELECT doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS words FROM (SELECT doc_id, string_split(substr(lower(text), 1, 2000), ' ') AS ws FROM documents WHERE lang = 'es')".replace("substr(lower(text), 1, 2000)", "lower(text)"))
+@query("set02_first_seen", "SELECT doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS words FROM (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents)")
 def set02(s, d):
     """Distinct words in the order in which they are first seen."""
-    return t.load(s, d, "documents").where("lang = 'es'").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
+    return t.load(s, d, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
 
 
 @query("set03_type_order", "WITH x AS (SELECT source, list(DISTINCT lang) AS types FROM documents GROUP BY 1) SELECT source, list_filter(['fr', 'en'], lambda y: list_contains(types, y)) || list_sort(list_filter(types, lambda y: y NOT IN ('fr', 'en'))) AS types FROM x")
@@ -311,10 +311,10 @@ def str25(s, d):
     return rows.select("conv_id", parts.alias("p")).where(F.size("p") > 0).select("conv_id", F.array_join("p", "\n\n").alias("text"))
 
 
-@query("map01_term_map", f"WITH p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'fr') GROUP BY 1, 2) SELECT doc_id, count(*) AS terms, max(tf) AS most, string_agg(w || '=' || tf, ';' ORDER BY w) AS tfs FROM p GROUP BY 1")
+@query("map01_term_map", f"WITH p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY 1, 2) SELECT doc_id, count(*) AS terms, max(tf) AS most, string_agg(w || '=' || tf, ';' ORDER BY w) AS tfs FROM p GROUP BY 1")
 def map01(s, d):
     """A document's words with their counts as a map."""
-    words = t.load(s, d, "documents").where("lang = 'fr'").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    words = t.load(s, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
     maps = words.groupBy("doc_id", "w").agg(F.count("*").alias("tf")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("w", "tf")))).alias("m"))
     shown = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return maps.select("doc_id", F.size("m").cast("long").alias("terms"), F.array_max(F.map_values("m")).alias("most"), shown.alias("tfs"))

@@ -6,12 +6,36 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as t
+from ..scratch import new_folder
+from ..streaming import processors
 from ..streaming import state as st
+from ..streaming.merge import MergedTable
 from .registry import query
 
 
+# Errors of calls: what the provider says, for those events that failed.
+_ERRORS = ("timeout: no answer", "auth: bad key", "rate_limit: slow down", "refusal: cannot say", "server", "empty: nothing said", "timeout: no answer")
+_ERRORS_SQL = "[" + ", ".join(f"'{e}'" for e in _ERRORS) + "]"
+
+
 def _events(s, d):
-    return t.load(s, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id", (F.col("event_type") != "error").alias("ok"), "event_type")
+    failed = F.col("event_type").isin("error", "view")
+    error = F.when(failed, F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS) + 1).cast("int")))
+    return t.load(s, d, "events").select(
+        F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id", (~failed).alias("ok"), error.alias("error"),
+        "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+def _in_batches(s, d, rows, batches=4):
+    """Events as a stream of several batches, a stretch of time each."""
+    n = t.load(s, d, "events").agg(F.max("event_id").alias("n")).first().n or 0
+    return st.as_stream(rows, F.floor(F.col("event_id") * batches / (n + 1)), batches)
+
+
+def _run(s, stream):
+    with processors.with_rocksdb(s):
+        return st.run_available(stream)
 
 
 @query("stm03_limiter")
@@ -22,10 +46,8 @@ def stm03(s, d):
 
 @query("stm03s_limiter_stream")
 def stm03s(s, d):
-    """The same on a stream of one batch."""
-    stream = s.readStream.schema(t.load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    rows = stream.select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id")
-    return st.run_available(st.limited_stream(rows, 86400.0, 2), empty_batches=False)
+    """The same on a stream of four batches."""
+    return _run(s, processors.limited_stream(_in_batches(s, d, _events(s, d).select("key", "ts", "second", "event_id")), 86400.0, 2))
 
 
 @query("stm04_session_stream")
@@ -36,15 +58,99 @@ def stm04(s, d):
     return st.run_available(st.session_stream(rows), "complete")
 
 
-@query("stm05_circuit_breaker")
+def _first_in(rows: str, seconds: int) -> str:
+    """SQL: ``acc`` (key, second), the seconds at which a key is taken anew, ``seconds`` after the last time at the earliest."""
+    return f"""WITH RECURSIVE e AS ({rows}),
+acc AS (SELECT key, min(second) AS second FROM e GROUP BY 1
+  UNION ALL SELECT a.key, min(e.second) FROM acc a JOIN e ON e.key = a.key AND e.second >= a.second + {seconds} GROUP BY a.key, a.second),
+firsts AS (SELECT e.key, e.second, min(event_id) AS event_id FROM e JOIN acc USING (key, second) GROUP BY 1, 2)"""
+
+
+_BREAKER = f"""
+WITH RECURSIVE e AS (SELECT user_id % 4 AS key, event_id, epoch(date_trunc('second', ts))::DOUBLE AS s, event_type NOT IN ('error', 'view') AS ok,
+    CASE WHEN event_type IN ('error', 'view') THEN split_part({_ERRORS_SQL}[event_id % {len(_ERRORS)} + 1], ':', 1) END AS code,
+    row_number() OVER (PARTITION BY user_id % 4 ORDER BY date_trunc('second', ts), event_id) AS n FROM events),
+r AS (SELECT DISTINCT key, 0::BIGINT AS n, -1::BIGINT AS event_id, true AS let_through, 0 AS fails, 0.0::DOUBLE AS until, 0.0::DOUBLE AS expires FROM e
+  UNION ALL
+  SELECT key, n, event_id, through, CASE WHEN NOT through THEN f WHEN ok THEN 0 WHEN content THEN f ELSE f + 1 END,
+    CASE WHEN NOT through THEN u WHEN ok THEN 0.0 WHEN content THEN u WHEN code = 'auth' THEN s + 900 WHEN code = 'rate_limit' THEN s + 60 WHEN f + 1 >= 3 THEN s + 900 ELSE 0.0 END,
+    CASE WHEN NOT through THEN x WHEN ok THEN 0.0 WHEN content THEN x ELSE s + 900 END
+  FROM (SELECT *, s >= u AS through, code IN ('refusal', 'empty', 'aborted', 'parse', 'no_key', 'no_model') AS content
+    FROM (SELECT e.*, CASE WHEN e.s >= r.expires THEN 0 ELSE r.fails END AS f, CASE WHEN e.s >= r.expires THEN 0.0 ELSE r.until END AS u,
+        CASE WHEN e.s >= r.expires THEN 0.0 ELSE r.expires END AS x
+      FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))
+SELECT key, event_id, let_through FROM r WHERE n > 0"""
+
+
+def _calls(s, d):
+    """Calls of four providers."""
+    return _events(s, d).withColumn("key", F.col("key") % 4).select("key", "second", "event_id", "ok", "error", "ts")
+
+
+@query("stm05_circuit_breaker", _BREAKER)
 def stm05(s, d):
-    return st.circuit(_events(s, d).select("key", "second", "event_id", "ok"))
+    """Which calls a circuit breaker lets through; failures are forgotten after 15 minutes, errors of content never count."""
+    return st.circuit(_calls(s, d).drop("ts")).select("key", "event_id", "let_through")
+
+
+@query("stm05s_breaker_stream", _BREAKER)
+def stm05s(s, d):
+    """The same on a stream of four batches, state and timers in the state store."""
+    return _run(s, processors.circuit_stream(_in_batches(s, d, _calls(s, d))))
 
 
-@query("stm01_debounce")
+@query("stm06_average_stream")
+def stm06(s, d):
+    """Moving average of latency by kind of event, on a stream of four batches: what it was after each call."""
+    values = _events(s, d).select(F.col("event_type").alias("key"), "second", "event_id", "value")
+    return _run(s, processors.average_stream(_in_batches(s, d, values)))
+
+
+_CHANGES = "SELECT event_id, event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events WHERE event_id % 3 <> 0"
+_DELETES = "SELECT event_type AS key, event_id, 'delete' AS action, epoch(date_trunc('second', ts))::DOUBLE AS due FROM events WHERE event_id % 3 = 0"
+
+
+def _changes(s, d):
+    action = F.when(F.col("event_id") % 3 == 0, "delete").otherwise("upsert")
+    return _events(s, d).select(F.col("event_type").alias("key"), "second", "event_id", action.alias("action"), "ts")
+
+
+@query("stm01_debounce", _first_in(_CHANGES, st.DEBOUNCE) + f" SELECT key, event_id, 'upsert' AS action, (second + {st.DEBOUNCE})::DOUBLE AS due FROM firsts UNION ALL {_DELETES}")
 def stm01(s, d):
-    action = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
-    return st.debounced(_events(s, d).select("key", "second", "event_id", action.alias("action")), 7200.0)
+    """Upserts of an item wait 30 seconds for others, deletes go at once."""
+    return st.debounced(_changes(s, d).drop("ts"))
+
+
+@query("stm01s_debounce_stream", _first_in(_CHANGES, st.DEBOUNCE) + f""", seen AS (SELECT max(ts) - INTERVAL 1 MINUTE AS upto FROM events)
+SELECT key, event_id, 'upsert' AS action, (second + {st.DEBOUNCE})::DOUBLE AS due FROM firsts f, seen
+WHERE make_timestamp((second + {st.DEBOUNCE}) * 1000000) <= upto OR EXISTS (SELECT 1 FROM events e WHERE e.event_type = f.key AND epoch(date_trunc('second', ts)) >= f.second + {st.DEBOUNCE})
+UNION ALL {_DELETES}""")
+def stm01s(s, d):
+    """The same on a stream of four batches: what is due comes out by timers; what waits when the stream ends stays in its state."""
+    return _run(s, processors.debounced_stream(_in_batches(s, d, _changes(s, d))))
+
+
+@query("src16b_changes_applied", """
+SELECT user_id AS item, max(event_id) AS event_id, max_by(value, event_id) AS value, count(*) AS changes FROM events GROUP BY 1 HAVING max_by(event_type, event_id) <> 'error'""")
+def src16b(s, d):
+    """A stream of changes in four batches merged into a table of items; deleted ones are tombstones."""
+    columns = t.load(s, d, "events").select(F.col("user_id").alias("item"), "event_id", "value")
+    changes = t.load(s, d, "events").select(F.col("user_id").alias("item"), "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"))
+    table = MergedTable(s, new_folder(s, "items"), columns.schema, "item", "event_id")
+    table.follow(_in_batches(s, d, changes), new_folder(s, "checkpoint"))
+    return table.rows()
+
+
+@query("stm14_growing_answers")
+def stm14(s, d):
+    """Answers that arrive in pieces of 40 characters, checked against the question as they grow: what may be shown of them."""
+    m = t.messages(s, d)
+    asked = m.where("role = 'user'").groupBy("conv_id").agg(F.concat_ws(" ", F.max_by("text", "turn"), F.count("*").cast("string")).alias("facts"))
+    said = F.concat("text", F.when(F.col("msg_id") % 3 == 0, F.concat(F.lit(" It costs $"), F.col("turn").cast("string"), F.lit(".50 now."))).otherwise(""))
+    answers = m.where("role = 'assistant'").select("msg_id", "conv_id", said.alias("said")).join(asked, "conv_id", "left")
+    pieces = F.posexplode(F.filter(F.split("said", r"(?<=\G(?s:.{40}))"), lambda x: x != "")).alias("position", "delta")
+    deltas = answers.select(F.col("msg_id").alias("answer_id"), F.coalesce("facts", F.lit("")).alias("facts"), pieces).withColumn("position", F.col("position").cast("long"))
+    return _run(s, processors.checked_answers(st.as_stream(deltas, F.floor(F.least(F.col("position"), F.lit(11)) / 4), 3)))
 
 
 @query("stm02_limiter_logged", """
@@ -58,25 +164,28 @@ def stm02(s, d):
     return sliding_counts(rows, "user_id", "second", 86400).select("event_id", F.col("in_window").alias("attempts"), (F.col("in_window") <= 3).alias("allowed"))
 
 
-def _first_in(rows: str, seconds: int) -> str:
-    """SQL: ``acc`` (key, second), the seconds at which a key is taken anew, ``seconds`` after the last time at the earliest."""
-    return f"""WITH RECURSIVE e AS ({rows}),
-acc AS (SELECT key, min(second) AS second FROM e GROUP BY 1
-  UNION ALL SELECT a.key, min(e.second) FROM acc a JOIN e ON e.key = a.key AND e.second >= a.second + {seconds} GROUP BY a.key, a.second),
-firsts AS (SELECT e.key, e.second, min(event_id) AS event_id FROM e JOIN acc USING (key, second) GROUP BY 1, 2)"""
-
-
 _MESSAGES = "SELECT event_id, user_id || ':' || event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
 _LOOKUPS = "SELECT event_id, event_type || ':' || (props->>'$.k') AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
 
 
-@query("stm08_replays", _first_in(_MESSAGES, 60) + " SELECT e.event_id, f.event_id IS NULL AS replayed FROM e LEFT JOIN firsts f USING (event_id)")
+_REPLAYS = _first_in(_MESSAGES, 60) + " SELECT e.event_id, f.event_id IS NULL AS replayed FROM e LEFT JOIN firsts f USING (event_id)"
+
+
+def _messages(s, d):
+    return _events(s, d).withColumn("key", F.concat_ws(":", F.col("key").cast("string"), "event_type")).select("key", "ts", "second", "event_id")
+
+
+@query("stm08_replays", _REPLAYS)
 def stm08(s, d):
     """A message id that comes again within 60 seconds of the time it was answered gets that answer."""
-    rows = t.load(s, d, "events").select(
-        F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), "event_id"
-    )
-    return st.limited(rows, 60.0, 1).select("event_id", (~F.col("allowed")).alias("replayed"))
+    return st.limited(_messages(s, d).drop("ts"), 60.0, 1).select("event_id", (~F.col("allowed")).alias("replayed"))
+
+
+@query("stm08s_replay_stream", _REPLAYS)
+def stm08s(s, d):
+    """The same on a stream of four batches."""
+    found = _run(s, processors.limited_stream(_in_batches(s, d, _messages(s, d)), 60.0, 1))
+    return found.select("event_id", (~F.col("allowed")).alias("replayed"))
 
 
 @query("stm09_response_cache", _first_in(_LOOKUPS, 86400) + " SELECT e.event_id AS call_id, e.key, f.event_id IS NULL AS hit FROM e LEFT JOIN firsts f USING (event_id)")

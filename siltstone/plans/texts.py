@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import text as x
 from .registry import query
-from .search import _terms_sql
+from .search import _stem_sql, _terms_sql
 
 
 @query("str01_tokens", f"SELECT doc_id, len(ts) AS n, ts[1] AS first, md5(array_to_string(ts, ' ')) AS terms FROM (SELECT doc_id, {_terms_sql('text', 'lang')} AS ts FROM documents)")
@@ -17,12 +17,13 @@ def str01(s, d):
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"), F.md5(F.array_join("t", " ")).alias("terms"))
 
 
-@query("str03_stems", r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents WHERE lang = 'en')
-SELECT stem, count(*) AS n FROM (SELECT CASE """ + " ".join(f"WHEN w LIKE '%{sfx}' AND strlen(w) - {len(sfx)} >= 4 THEN left(w, length(w) - {len(sfx)})" for sfx in x.SUFFIXES["en"]) + " ELSE w END AS stem FROM w) GROUP BY 1")
+@query("str03_stems", rf"""
+WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents)
+SELECT lang, stem, count(*) AS n FROM (SELECT lang, {_stem_sql('w', 'lang')} AS stem FROM w) GROUP BY 1, 2""")
 def str03(s, d):
-    words = t.load(s, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.select(x.stem(F.col("w"), F.lit("en")).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    """Words of all documents stemmed by the document's language."""
+    words = t.load(s, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
+    return words.select("lang", x.stem(F.col("w"), F.col("lang")).alias("stem")).groupBy("lang", "stem").agg(F.count("*").alias("n"))
 
 
 @query("str04_words", r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3))) AS n FROM documents")
@@ -83,23 +84,46 @@ def str23(s, d):
     return docs.select("doc_id", F.when(sure, F.col("l.lang")).otherwise(F.col("lang")).alias("session_lang"))
 
 
-@query("str21_prices_skus", r"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\b[A-Z0-9][A-Z0-9\-]{3,19}\b'), lambda c: regexp_matches(c, '[A-Z]') AND regexp_matches(c, '[0-9]')))) AS n_skus FROM documents")
+@query("str21_prices_skus", r"""
+SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text || ' AB-' || doc_id || ' 12-34 ' || doc_id || 'X', '\b[A-Z0-9]{2,}-[A-Z0-9-]{2,}\b'), lambda c: regexp_matches(c, '[A-Z]')))) AS n_skus,
+  CASE WHEN doc_id % 3 <> 1 THEN doc_id % 50 + 0.25 END AS least, CASE WHEN doc_id % 3 <> 2 THEN (doc_id % 90)::DOUBLE END AS most
+FROM (SELECT doc_id, regexp_replace(text, '[0-9]+', '', 'g') AS text FROM documents)""")
 def str21(s, d):
-    return t.load(s, d, "documents").select("doc_id", F.size(x.skus(F.col("text"))).cast("long").alias("n_skus"))
-
-
-@query("str27_citations", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text || ' [#' || doc_id % 5 || '] [#' || doc_id % 3 || ']', '\[#(\d+)\]', 1))) AS cited FROM documents")
+    """Codes in texts, and price bounds in a question that ends them."""
+    i = F.col("doc_id")
+    bare = F.regexp_replace("text", "[0-9]+", "")
+    text = F.concat(bare, F.lit(" AB-"), i.cast("string"), F.lit(" 12-34 "), i.cast("string"), F.lit("X"))
+    least = F.when(i % 3 != 1, F.concat(F.lit(" at least € "), (i % 50).cast("string"), F.lit(",25"))).otherwise("")
+    most = F.when(i % 3 != 2, F.concat(F.lit(" meno di "), (i % 90).cast("string"), F.lit("€"))).otherwise("")
+    bounds = x.price_bounds(F.concat(bare, least, most))
+    return t.load(s, d, "documents").select(i, F.size(x.skus(text)).cast("long").alias("n_skus"), bounds["min"].alias("least"), bounds["max"].alias("most"))
+
+
+@query("str27_citations", r"""
+WITH c AS (SELECT doc_id, text || ' [#' || doc_id % 5 || '] [#' || doc_id % 3 || '] [#99999999999]' AS text FROM documents)
+SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[#(\d+)\]', 1), lambda n: TRY_CAST(n AS INT)), lambda n: n IS NOT NULL))) AS cited,
+  md5(trim(regexp_replace(regexp_replace(text, '[ \t\n\v\f\r]*\[#\d+\]', '', 'g'), '[ \t]{2,}', ' ', 'g'))) AS without FROM c""")
 def str27(s, d):
-    with_marks = F.concat("text", F.lit(" [#"), (F.col("doc_id") % 5).cast("string"), F.lit("] [#"), (F.col("doc_id") % 3).cast("string"), F.lit("]"))
-    return t.load(s, d, "documents").select("doc_id", F.size(x.citations(with_marks)).cast("long").alias("cited"))
+    """Citations of texts that end with three, one of which numbers nothing; and the texts without them."""
+    i = F.col("doc_id")
+    marked = F.concat("text", F.lit(" [#"), (i % 5).cast("string"), F.lit("] [#"), (i % 3).cast("string"), F.lit("] [#99999999999]"))
+    return t.load(s, d, "documents").select(i, F.size(x.citations(marked)).cast("long").alias("cited"), F.md5(x.without_citations(marked)).alias("without"))
 
 
-@query("str26_slash_commands", "SELECT user_id, count(*) AS n, 'kb' AS grp, 'search' AS verb FROM events GROUP BY 1")
+@query("str26_slash_commands", r"""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'kb.add_entry' WHEN 1 THEN 'kb.re_index' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'memory.teach' END AS action,
+  CASE event_id % 5 WHEN 0 THEN 'key=' || user_id || 'b' WHEN 1 THEN '_tail=rest of it,source=a "b" ' || user_id WHEN 4 THEN '_tail=the fact ' || user_id ELSE '' END AS args, event_id % 5 = 2 AS help FROM events""")
 def str26(s, d):
-    """Commands parsed from text: /kb search user:<id> mode:"x y"."""
-    said = F.concat(F.lit("/KB Search user:"), F.col("user_id").cast("string"), F.lit(' mode:"x y" rest'))
-    cmd = t.load(s, d, "events").select(x.slash_command(said).alias("c"))
-    return cmd.where(F.col("c.args")["mode"] == "x y").groupBy(F.col("c.args")["user"].cast("long").alias("user_id"), F.col("c.group").alias("grp"), F.col("c.verb").alias("verb")).agg(F.count("*").alias("n"))
+    """Commands in every form: repeated keys, both kinds of quotes, hyphens, a tail, help, none that is known."""
+    i, u = F.col("event_id"), F.col("user_id").cast("string")
+    said = (
+        F.when(i % 5 == 0, F.concat(F.lit(" /kb ADD key:a key:"), u, F.lit("b")))
+        .when(i % 5 == 1, F.concat(F.lit("/KB re-index source:'a \"b\" "), u, F.lit("' rest of it")))
+        .when(i % 5 == 2, F.lit("/help kb")).when(i % 5 == 3, F.lit("/ nothing")).otherwise(F.concat(F.lit("/memory teach  the fact "), u))
+    )
+    c = F.col("c")
+    pairs = F.array_sort(F.transform(F.map_entries(c["args"]), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return t.load(s, d, "events").select(i, x.slash_command(said).alias("c")).select(i, c["action"].alias("action"), F.array_join(pairs, ",").alias("args"), c["help"].alias("help"))
 
 
 @query("prj05_excerpt")

@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Header names a CSV column may go by.
-QUESTION = ["question", "domanda", "q", "faq", "pregunta", "frage", "pergunta"]
-ANSWER = ["answer", "risposta", "a", "respuesta", "antwort", "resposta", "content", "text"]
+# Header names of a title column, a question column (a title column too) and a content column, the first found counts.
+TITLE = ["title", "question", "q", "domanda", "titolo", "name", "nome"]
+QUESTION = ["question", "q", "domanda"]
+CONTENT = ["content", "answer", "a", "risposta", "contenuto", "text", "testo", "description", "descrizione", "body"]
+MAX_TITLE, MAX_ENTRY = 120, 4000
 
 
 def split_text(content: Column, piece: int = 4000) -> Column:
@@ -30,15 +32,29 @@ def split_text(content: Column, piece: int = 4000) -> Column:
     return F.when(F.regexp_count(content, F.lit(r"(?m)^#{1,6} ")) >= 2, headed).otherwise(packed)
 
 
-def table_entries(rows: DataFrame) -> DataFrame:
-    """``question``, ``content`` of a table: a question column makes FAQ entries, else ``Header: value`` lines."""
-    lower = {c.strip().lower(): c for c in rows.columns}
-    q = next((lower[c] for c in QUESTION if c in lower), None)
-    a = next((lower[c] for c in ANSWER if c in lower), None)
-    if q and a:
-        return rows.select(F.trim(q).alias("question"), F.trim(a).alias("content")).where("question <> ''")
-    named = [F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.concat(F.lit(f"{c}: "), F.trim(F.col(f"`{c}`").cast("string")))) for c in rows.columns]
-    return rows.select(F.lit(None).cast("string").alias("question"), F.concat_ws("\n", *named).alias("content"))
+def table_entries(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``title``, ``content``, ``type`` of a table's rows (and the columns of ``also``, as they are).
+
+    With a title and a content column these make the entry, else its ``Header: value`` lines do, and the title is the first value that is no number.
+    A table with a question column has entries of type ``faq``: ``Q: ...`` and ``A: ...``. Empty rows and entries without content are left out.
+    """
+    columns = [c for c in rows.columns if c not in also]
+    lower = {c.strip().lower(): c for c in reversed(columns)}  # the first of equal names
+    value = {c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns}
+    first = lambda names: next((lower[n] for n in names if n in lower), None)
+    title, content, faq = first(TITLE), first(CONTENT), first(QUESTION) is not None
+    if title and content:
+        said, body = value[title], value[content]
+    else:
+        texts = F.array(*value.values())
+        said = F.coalesce(F.get(F.filter(texts, lambda v: (v != "") & v.try_cast("double").isNull()), F.lit(0)), F.lit(""))
+        named = [F.when(value[c] != "", F.concat(F.lit(c.strip().lower()[:1].upper() + c.strip().lower()[1:] + ": "), value[c])) for c in columns if c.strip()]
+        longest = F.aggregate(texts, F.lit(""), lambda a, v: F.when(F.length(v) > F.length(a), v).otherwise(a))
+        body = F.concat_ws("\n", *named) if named else longest
+    whole = F.concat(F.lit("Q: "), said, F.lit("\nA: "), body) if faq and title else F.substring(body, 1, MAX_ENTRY)
+    shown = F.substring(F.when(said != "", said).otherwise(body), 1, MAX_TITLE)
+    kept = rows.where(F.concat(*value.values()) != "").where(F.trim(body) != "")
+    return kept.select(*also, shown.alias("title"), whole.alias("content"), F.lit("faq" if faq else "file").alias("type"))
 
 
 def sse_events(lines: DataFrame, key: str = "stream_id", order: str = "line_no") -> DataFrame:
