@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import Scratch
+from ._tokens import word_tokens
 
 END_ID = 2
 CAPACITY = 4096
@@ -20,98 +20,6 @@ CAPACITY = 4096
 TAIL_CLASS = 16
 #: Tasks whose last bins are settled together, before what they leave is settled over all.
 GROUP = 64
-#: Words a worker remembers the ids of; then it starts anew.
-CACHED_WORDS = 800_000
-
-
-class WordTokens:
-    """Ids of whole texts, word by word where the vocabulary's rules never look across white space.
-
-    Whether that holds is tried on ``PROBE`` when the file is loaded; for a vocabulary that fails it, texts are encoded whole.
-    Words (split at ASCII white space) are looked up in a bounded cache. Of those it lacks, plain ones (letters below U+0250 and at
-    most one mark after them) are encoded many in one text and told apart by their last ids: they need no normaliser but
-    lower case, and no pattern but white space. The others are encoded each by itself, with all the vocabulary's rules.
-    """
-
-    MARKS = ".,!?;:"
-    PROBE = "ab Cd, ef. GH! i? jk; lm: Straße École naïve  x1y2 don't a--b\tn_o (p) «q»\nr... 配送 э́то 12,5 U.S. aaaa zz"
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.plain.normalizer = None
-        by_space, by_byte = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([by_space, by_byte])
-        self.marks = {m.encode(): x.tobytes() for m, x in zip(self.MARKS, self._encode(self.tokenizer, list(self.MARKS)))} | {b"": b""}
-        probe = self.PROBE.encode()
-        self.by_words = bool(self.ends.any()) and self._of_words([probe]) == self._whole([probe])
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        return self._of_words(texts) if self.by_words else self._whole(texts)
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        return [x.tobytes() for x in self._encode(self.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
-
-    def _of_words(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        distinct = set().union(*split)
-        missing = distinct.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHED_WORDS:
-            self.cache = {word: self.cache[word] for word in distinct.difference(missing)}
-            self.cores = {}
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    @staticmethod
-    def _encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4") for x in found]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        plain, other, marks = [], [], self.MARKS.encode()
-        for word in missing:
-            core = word.rstrip(marks)
-            if len(word) - len(core) > 1:
-                other.append(word)
-            elif core.isalpha():  # ASCII letters
-                plain.append((word, core.lower(), word[len(core) :]))
-            elif (text := core.decode("utf-8", "replace").lower()).isalpha() and max(text) < "\u0250":
-                plain.append((word, text.encode(), word[len(core) :]))
-            else:
-                other.append(word)
-        cores = list({core for _, core, _ in plain}.difference(self.cores))
-        for i in range(0, len(cores), 100):
-            group = cores[i : i + 100]
-            (ids,) = self._encode(self.plain, [b" ".join(group).decode()])
-            data, cuts = ids.tobytes(), (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
-            if len(cuts) == len(group):
-                self.cores.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
-            else:
-                self.cores.update((c, x.tobytes()) for c, x in zip(group, self._encode(self.tokenizer, [c.decode() for c in group])))
-        cores, after = self.cores, self.marks
-        self.cache.update((word, cores[core] + after[mark]) for word, core, mark in plain)
-        found = self._encode(self.tokenizer, [word.decode("utf-8", "replace") for word in other])
-        self.cache.update((word, ids.tobytes()) for word, ids in zip(other, found))
-
-
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """One tokeniser (with its cache) a Python worker."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
 
 
 def cut(n: int, capacity: int = CAPACITY, tail_class: int = TAIL_CLASS) -> Iterator[tuple[int, int, int]]:
@@ -179,9 +87,10 @@ def _worker(path: str, capacity: int, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                texts = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(some.column(0).to_pylist(), tokens(texts)):
-                    ids += end
+                found, counts = tokens.batch(some.column(1).cast(pa.binary()))
+                upto = np.cumsum(counts)
+                for doc_id, first_id, last_id in zip(some.column(0).to_pylist(), (upto - counts).tolist(), upto.tolist()):
+                    ids = found[first_id:last_id].astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     for start, length, k in cut(n, capacity):
                         bin_ = waiting.setdefault(k, [])

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ._batch_tokens import batch_tokens
 from ._common import col, shared_dir
+from ._tokens import word_tokens
 from .packing import default_tokenizer
 
 END_ID = 1
@@ -165,7 +165,7 @@ def _some_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _encoded(batch: pa.RecordBatch, tokenizer: str, end_id: int) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """Ids of texts with ``end_id`` after each."""
     for some in _some_texts(batch):
-        found, counts = batch_tokens(tokenizer).batch(some.column("text").cast(pa.binary()))
+        found, counts = word_tokens(tokenizer).batch(some.column("text").cast(pa.binary()))
         counts = counts + 1
         ids = np.full(len(found) + len(counts), end_id, np.uint32)
         inside = np.ones(len(ids), bool)

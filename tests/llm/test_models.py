@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import Row
@@ -17,6 +18,7 @@ from pyspark.sql import Row
 import corpus_pipeline
 from siltstone.llm import chat_format, lm_score, mixing, packing, quality_model, quality_rules
 from siltstone.llm._common import Scratch
+from siltstone.llm._tokens import WordTokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -297,9 +299,11 @@ def test_packing_of_no_rows_and_of_a_vocabulary_that_looks_across_words(spark, t
     other = Tokenizer(models.BPE({c: i + 3 for i, c in enumerate(pre_tokenizers.ByteLevel.alphabet())} | {"a</w>": 400}, []))
     other.pre_tokenizer, other.decoder = pre_tokenizers.ByteLevel(add_prefix_space=True), decoders.ByteLevel()
     other.save(path := str(tmp_path / "other.json"))
-    tokens = packing.WordTokens(path)
-    assert not tokens.by_words and packing.WordTokens(packing.default_tokenizer()).by_words
-    assert tokens([b"ab  cd"]) == [np.array(other.encode("ab  cd", add_special_tokens=False).ids, "<u4").tobytes()]
+    tokens = WordTokens(path)
+    assert not tokens.by_words and WordTokens(packing.default_tokenizer()).by_words
+    ids, counts = tokens.batch(pa.array([b"ab  cd", None, b"e"], pa.binary()))
+    want = [other.encode(x, add_special_tokens=False).ids for x in ("ab  cd", "", "e")]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
 
 
 def test_classifier_and_pipeline_of_no_rows(spark, tmp_path):

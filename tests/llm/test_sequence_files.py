@@ -82,7 +82,7 @@ def test_any_sequence_is_a_view_of_the_mapped_file(spark, tmp_path):
 def test_batches_of_texts_have_the_ids_of_whole_texts(monkeypatch, texts_bytes):
     from tokenizers import Tokenizer
 
-    from siltstone.llm import _batch_tokens as bt
+    from siltstone.llm import _tokens as bt
 
     monkeypatch.setattr(bt, "GENERATION", 20)
     monkeypatch.setattr(bt, "BLOCK", 7)
@@ -91,7 +91,7 @@ def test_batches_of_texts_have_the_ids_of_whole_texts(monkeypatch, texts_bytes):
     odd = ["İstanbul IĞDIR ſo Ÿ ŉa ǅ ﬁ", "a.b c,, d! ?", ".", "e\u0301t\u00e9, ÉTÉ.", "ab\x0bcd\x0cef\x1cgh\x85ij", "  lead  and trail  ", "x" * 5000 + " y"]
     said = [*odd, *(t for t in texts().values() if t != ODD[4]), *odd]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(said))), "text": pa.array(said, pa.string())})
-    tokens = bt.BatchTokens(default_tokenizer())
+    tokens = bt.WordTokens(default_tokenizer())
     monkeypatch.setitem(bt._TOKENS, default_tokenizer(), tokens)
     at = 0
     for doc_ids, ids, counts in sf._encoded(batch, default_tokenizer(), 1):
