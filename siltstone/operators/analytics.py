@@ -31,6 +31,20 @@ def daily_rollup(messages: DataFrame) -> DataFrame:
     return joined.select(*rows.columns[:-1], F.coalesce("at", F.lit(0)).cast("long").alias("p95_latency"), "tokens_out")
 
 
+def write_days(rollup: DataFrame, path: str, day: str = "stat_date") -> None:
+    """Write a rollup by day: the days that it has replace what ``path`` has of them, other days' files stay as they are.
+
+    So a day can be worked out again as often as one likes; a tier that a day no longer has goes with the day's old rows. The setting is the write's own,
+    not the session's. A null day is a day.
+    """
+    rollup.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def pruned_days(spark, path: str, schema, keep_from: str) -> DataFrame:
+    """The written rollup from the day ``keep_from`` on; older partitions are not listed."""
+    return spark.read.schema(schema).parquet(path).where(F.col("stat_date") >= F.lit(keep_from).cast("date"))
+
+
 def discrete_fraction(rows: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
     """``keys`` and ``at``: the value at floor(fraction * (n - 1)) of each key's sorted values, nulls left out.
 

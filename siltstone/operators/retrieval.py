@@ -62,6 +62,25 @@ def bm25(
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def fulltext(terms: DataFrame, fields: list[tuple[DataFrame, float]], chunks: DataFrame, n_chunks: DataFrame, top: int = 50) -> DataFrame:
+    """``query_id``, ``chunk_id``, ``score``, ``rank``: a stand-in for a database's full-text list over several fields, off by default.
+
+    ``fields`` are postings of each field and its weight; ``chunks`` are the visible ones (``chunk_id``) and ``n_chunks`` has their number ``n``. A term weighs
+    tf * idf^2 with idf = log10(n / df), tf the weighted sum over the fields and df the chunks that have it in any field, as InnoDB documents its ranking. An
+    approximation: terms are the index's (stemmed, without stop words), not the database's.
+    """
+    wanted = terms.select("term").distinct()
+    each = [p.join(wanted, "term", "left_semi").select("term", "chunk_id", (F.col("tf") * F.lit(float(w))).alias("tf")) for p, w in fields]
+    own = reduce(DataFrame.unionByName, each).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
+    visible = own.join(chunks.select("chunk_id"), "chunk_id")
+    df = visible.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_chunks.select("n")))  # one row
+    idf = F.log10(F.greatest(F.col("n"), F.lit(1)).cast("double") / F.col("df"))
+    weighted = df.select("term", (idf * idf).alias("w"))
+    scored = terms.join(visible, "term").join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") * F.col("w")), 9).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """``query_id``, ``chunk_id``, ``rrf``: reciprocal ranks of all lists added up; each gives k / (k + rank)."""
     tagged = [x.select("query_id", "chunk_id", "rank") for x in lists]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import redaction, schedule
-from ..sources import files, html
+from ..sources import builder, crawl, files, html, menus
+from ..streaming import state as st
 from .registry import query
 
 
@@ -60,6 +61,44 @@ def df01(s, d):
     return pages.join(counts, "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.when(F.col("chunks").isNull(), "delete").otherwise("upsert").alias("action"))
 
 
+_MENU_SQL = """
+WITH RECURSIVE i AS (SELECT lang AS menu_id, doc_id AS item_id, CASE WHEN doc_id = 3 THEN 24 ELSE doc_id // 2 END AS parent_id, 'Item ' || doc_id AS label,
+    CASE WHEN doc_id % 5 = 0 THEN '#' WHEN doc_id % 7 = 0 THEN '' ELSE 'https://kb.example.com/' || doc_id END AS url FROM documents),
+up AS (SELECT menu_id, item_id, parent_id AS next, []::VARCHAR[] AS path FROM i
+  UNION ALL SELECT up.menu_id, up.item_id, i.parent_id, list_prepend(i.label, path) FROM up JOIN i ON i.menu_id = up.menu_id AND i.item_id = up.next AND up.next > 0 WHERE len(path) < 10),
+full_path AS (SELECT menu_id, item_id, arg_max(path, len(path)) AS path FROM up GROUP BY 1, 2)
+SELECT menu_id, item_id, '• ' || label || CASE WHEN url NOT IN ('', '#') THEN ' → ' || url ELSE '' END || CASE WHEN len(path) > 0 THEN ' (' || array_to_string(path, ' › ') || ')' ELSE '' END AS line,
+  CASE WHEN url NOT IN ('', '#') THEN url END AS link FROM i JOIN full_path USING (menu_id, item_id)"""
+
+
+@query("src04b_menu_tree", _MENU_SQL)
+def src04b(s, d):
+    """Menus of documents by language, every item below another; some stand below one of another menu, some in a circle."""
+    i = F.col("doc_id")
+    parent = F.when(i == 3, 24).otherwise(F.floor(i / 2))
+    url = F.when(i % 5 == 0, "#").when(i % 7 == 0, "").otherwise(F.concat(F.lit("https://kb.example.com/"), i.cast("string")))
+    label = F.concat(F.lit(" <b>Item "), i.cast("string"), F.lit("</b>"))
+    items = t.load(s, d, "documents").select(F.col("lang").alias("menu_id"), i.alias("item_id"), parent.alias("parent_id"), label.alias("title"), url.alias("url"))
+    return menus.menu_lines(items)
+
+
+_PAGES_SQL = r"""
+SELECT page_id::VARCHAR AS external_id, url, replace(replace(trim(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&amp;', '&') AS title,
+  sha1(html) AS fingerprint FROM pages WHERE html IS NOT NULL"""
+
+
+@query("src01_site_pages", _PAGES_SQL)
+def src01(s, d):
+    """The site's pages by the data source, 100 a partition."""
+    return crawl.pages(s, f"{d}/pages.parquet", batch=100).drop("html")
+
+
+@query("src01s_site_stream", _PAGES_SQL)
+def src01s(s, d):
+    """The same as a stream that follows the site."""
+    return st.run_available(crawl.pages(s, f"{d}/pages.parquet", batch=100, stream=True).drop("html"))
+
+
 @query("src05_terms", "SELECT source AS term, 'Contains ' || count(*) || ' item(s)' AS text, count(*) AS items FROM documents GROUP BY 1")
 def src05(s, d):
     n = F.count("*")
@@ -92,12 +131,25 @@ def src09(s, d):
     return t.kb_documents(s, d).where("status = 'active' AND source = 'src3'").select("doc_id", F.col("content_hash").alias("fingerprint")).orderBy("doc_id").offset(5).limit(25)
 
 
-@query("src10_builder_trees")
+@query("src10_builder_trees", r"""
+WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\x{1c}-\x{1f}\x{85}\x{a0}]+', ' ', 'g')) AS text FROM documents),
+own AS (SELECT doc_id, text FROM x WHERE length(text) > 25 AND NOT regexp_matches(text, '^(?:https?://|\[[\p{L}\p{N}_]+|[.#]?[\p{L}\p{N}_\-]+\s*\{)')),
+part AS (SELECT p_partkey, 'This template speaks of ' || p_name || ' at length.' AS text FROM part),
+has AS (SELECT doc_id, doc_id % 50 + 1 AS a, (doc_id % 50 + 1) % 60 + 1 AS b, ((doc_id % 50 + 1) % 60 + 1) % 60 + 1 AS c FROM documents)
+SELECT doc_id, 0 AS nth, text FROM own UNION ALL SELECT doc_id, n + (SELECT count(*) FROM own o WHERE o.doc_id = h.doc_id), p.text FROM (
+  SELECT doc_id, 0 AS n, a AS t FROM has UNION ALL SELECT doc_id, 1, b FROM has UNION ALL SELECT doc_id, 2, c FROM has) h JOIN part p ON p.p_partkey = h.t""")
 def src10(s, d):
-    """Texts of page-builder trees (documents wrapped in nested widgets)."""
-    widget = F.struct(F.lit("heading").alias("type"), F.struct(F.col("text").alias("title"), F.lit("https://x.example").alias("link")).alias("settings"))
-    tree = F.to_json(F.struct(F.array(F.struct(F.array(widget).alias("elements"))).alias("elements")))
-    return files.builder_blocks(t.load(s, d, "documents").select("doc_id", tree.alias("tree"))).select("doc_id", F.size("texts").alias("n"), F.get("texts", F.lit(0)).alias("first"))
+    """Texts of page-builder trees (documents in nested widgets) with their templates in place: each names the next, three within each other, and itself."""
+    i = F.col("doc_id")
+    ref = lambda of: F.struct(F.lit("template").alias("elType"), F.struct(of.cast("string").alias("template_id")).alias("settings"))
+    title = F.struct(F.lit("string").alias("$$type"), F.col("text").alias("value"))
+    widget = F.struct(F.lit("widget").alias("elType"), F.struct(title.alias("title"), F.lit("https://x.example/a/long/address").alias("link")).alias("settings"))
+    tree = lambda *nodes: F.concat(F.lit("["), F.concat_ws(",", *map(F.to_json, nodes)), F.lit("]"))
+    pages = t.load(s, d, "documents").select(i.alias("tree_id"), tree(F.struct(F.array(widget).alias("elements")), ref(i % 50 + 1), ref(i % 50 + 1)).alias("tree"))
+    k = F.col("p_partkey")
+    text = F.struct(F.concat(F.lit("This template speaks of "), "p_name", F.lit(" at length.")).alias("editor"))
+    made = F.when(k <= 60, tree(text, ref(k % 60 + 1), ref(k))).otherwise(tree(text))
+    return builder.inlined(pages, t.load(s, d, "part").select(k.alias("tree_id"), made.alias("tree"))).select(F.col("tree_id").alias("doc_id"), "nth", "text")
 
 
 @query("src11_text_files")

@@ -144,6 +144,29 @@ def top04(spark, d):
     return _dense(spark, d).groupBy("query_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("worst"), F.count("*").alias("n"))
 
 
+_FULLTEXT = f"""
+heads AS (SELECT term, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest({_terms_sql("title", "lang")}) AS term FROM kb) GROUP BY ALL),
+both_fields AS (SELECT term, chunk_id, sum(tf) AS tf FROM (SELECT term, chunk_id, 2.0 * tf AS tf FROM heads UNION ALL SELECT term, chunk_id, tf FROM post) GROUP BY ALL),
+seen AS (SELECT b.* FROM both_fields b JOIN kb ON kb.doc_id = b.chunk_id WHERE status = 'active' AND term IN (SELECT term FROM qt)),
+idf AS (SELECT term, pow(log10((SELECT greatest(count(*), 1) FROM kb WHERE status = 'active')::DOUBLE / count(*)), 2) AS w FROM seen GROUP BY 1),
+ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(tf * w), 9) AS score FROM qt JOIN seen USING (term) JOIN idf USING (term) GROUP BY 1, 2) WHERE score > 0) WHERE rank <= 50)"""
+
+
+def _fulltext(spark, d) -> DataFrame:
+    """The weighted list over titles (twice) and contents; titles are the index's stored ones."""
+    index, terms = _index(spark, d), _query_terms(spark, d)
+    visible = _visible(spark, d, index)
+    heads = r.postings(index.chunks(), x.index_words(F.col("title"), F.col("lang")), x.stem)
+    return r.fulltext(terms, [(heads, 2.0), (index.postings(terms), 1.0)], visible, visible.agg(F.count("*").alias("n")))
+
+
+@query("top02_fulltext", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_FULLTEXT} SELECT query_id, chunk_id, score, rank FROM ft"))
+def top02(spark, d):
+    """The fifty best of each query over title and content, an approximation of a database's full-text list."""
+    return _fulltext(spark, d).select("query_id", "chunk_id", "score", "rank")
+
+
 _SEARCH = f"""{{bm}}, {_FUSED},
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
 found AS (SELECT c.query_id, c.chunk_id, c.rrf, k.doc_id, k.title, k.permalink, k.weight, k.kind, coalesce(similarity, 0.0) AS sim, greatest(len(coalesce(terms, [])), 1) AS n_terms,

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as t
-from ..scratch import new_folder
-from ..streaming import processors
+from ..scratch import new_folder, saver
+from ..streaming import cache, processors
 from ..streaming import state as st
 from ..streaming.merge import MergedTable
 from .registry import query
@@ -165,7 +165,6 @@ def stm02(s, d):
 
 
 _MESSAGES = "SELECT event_id, user_id || ':' || event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
-_LOOKUPS = "SELECT event_id, event_type || ':' || (props->>'$.k') AS key, epoch(date_trunc('second', ts))::BIGINT AS second FROM events"
 
 
 _REPLAYS = _first_in(_MESSAGES, 60) + " SELECT e.event_id, f.event_id IS NULL AS replayed FROM e LEFT JOIN firsts f USING (event_id)"
@@ -188,13 +187,45 @@ def stm08s(s, d):
     return found.select("event_id", (~F.col("allowed")).alias("replayed"))
 
 
-@query("stm09_response_cache", _first_in(_LOOKUPS, 86400) + " SELECT e.event_id AS call_id, e.key, f.event_id IS NULL AS hit FROM e LEFT JOIN firsts f USING (event_id)")
+# the base has a new version with every 20th conversation
+_VERSIONED = """
+v AS (SELECT epoch(TIMESTAMP '2024-01-01' + to_minutes((conv_id * 97)::BIGINT))::DOUBLE AS since, row_number() OVER (ORDER BY conv_id) AS version FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 20 = 0)),
+q AS (SELECT event_id, event_type, (props->>'$.k') AS k, epoch(date_trunc('second', ts))::BIGINT AS second FROM events),
+e AS (SELECT event_id, sha1(event_type || '|m1|v' || event_id % 2 || '|' || coalesce(version, 0) || '|en|what is ' || k || '?|' ) AS key, second
+  FROM q ASOF LEFT JOIN v ON q.second >= v.since),
+acc AS (SELECT key, min(second) AS second FROM e GROUP BY 1
+  UNION ALL SELECT a.key, min(e.second) FROM acc a JOIN e ON e.key = a.key AND e.second >= a.second + 86400 GROUP BY a.key, a.second),
+firsts AS (SELECT e.key, e.second, min(event_id) AS event_id FROM e JOIN acc USING (key, second) GROUP BY 1, 2)"""
+
+
+def _lookups(s, d):
+    """Questions put to providers, with the version of the base that they were put to."""
+    said = t.load(s, d, "conversations").where("conv_id % 20 = 0").select("conv_id").distinct()
+    since = F.unix_timestamp(F.lit(t.EPOCH).cast("timestamp")) + F.col("conv_id") * 97 * 60
+    versions = said.select(F.row_number().over(Window.orderBy("conv_id")).alias("version"), since.alias("since"))
+    asked = F.concat(F.lit(" What  IS "), F.get_json_object("props", "$.k"), F.lit("? "))
+    rows = t.load(s, d, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second"), "event_id", "event_type", asked.alias("asked"))
+    prompt = F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string"))
+    key = cache.cache_key(F.col("event_type"), F.lit("m1"), prompt, F.col("base_version"), F.lit("en"), F.col("asked"), F.lit(None).cast("string"))
+    return cache.as_of(rows, versions).select(key.alias("key"), "second", "event_id")
+
+
+@query("stm09_response_cache", f"WITH RECURSIVE {_VERSIONED} SELECT e.event_id AS call_id, e.key, f.event_id IS NULL AS hit FROM e LEFT JOIN firsts f USING (event_id)")
 def stm09(s, d):
-    """A lookup hits within a day of the store; a miss stores anew, a hit renews nothing."""
-    calls = t.inference_log(s, d)
-    key = F.concat(F.col("provider"), F.lit(":"), F.col("tokens_in").cast("string"))
-    rows = calls.select(key.alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("second"), F.col("call_id").alias("event_id"))
-    return st.limited(rows, 86400.0, 1).select(F.col("event_id").alias("call_id"), "key", (~F.col("allowed")).alias("hit"))
+    """A lookup hits within a day of the store; a miss stores anew, a hit renews nothing. A new version of the base misses."""
+    return cache.look_up(_lookups(s, d)).select(F.col("event_id").alias("call_id"), "key", "hit")
+
+
+@query("df16_cache_written", f"""
+WITH RECURSIVE {_VERSIONED}, x AS (SELECT e.*, f.event_id IS NOT NULL AS miss FROM e LEFT JOIN firsts f USING (event_id))
+SELECT key, max(second) FILTER (miss)::DOUBLE AS stored, min(second) FILTER (miss)::DOUBLE AS created, count(*) FILTER (NOT miss) AS hits FROM x GROUP BY 1""")
+def df16(s, d):
+    """The cache after two loads of lookups, the second served from what the first one wrote: stores and counters of hits."""
+    save = saver(s, "cache")
+    lookups = save(_lookups(s, d))
+    half = F.lit("2024-01-15").cast("timestamp").cast("long")
+    first = save(cache.written_back(cache.look_up(lookups.where(F.col("second") < half))))
+    return cache.written_back(cache.look_up(lookups.where(F.col("second") >= half), first), first)
 
 
 @query("stm10_memory", t.with_("calls", body=", m AS (SELECT user_id % 50 AS key, arg_max(latency_ms, (ts, call_id)) AS value, count(*) AS hits, max(ts) AS updated_at FROM calls GROUP BY 1) SELECT key, value, hits, greatest(0, 90 - 5 * (date_diff('day', updated_at::DATE, DATE '2024-03-01') // 7)) AS importance FROM m WHERE greatest(0, 90 - 5 * (date_diff('day', updated_at::DATE, DATE '2024-03-01') // 7)) > 0"))

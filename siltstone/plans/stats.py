@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import text as x
 from ..operators import analytics as a
+from ..scratch import new_folder
 from .registry import query
 
 _ROLL = """
@@ -57,8 +58,15 @@ def agg02(s, d):
 
 @query("df10_rollup_written", t.with_("messages", body=f", {_ROLL} SELECT * FROM roll"))
 def df10(s, d):
-    """The whole rollup: a rerun of a day replaces that day's partition (dynamic partition overwrite)."""
-    return _rollup(s, d)
+    """The rollup written by day: all days of a log that lacks some answers, then the days again from the whole log, half of them a run."""
+    path, whole = new_folder(s, "rollup"), t.messages(s, d)
+    a.write_days(a.daily_rollup(whole.where("msg_id % 3 <> 1")), path)
+    days = whole.select(F.to_date("created_at").alias("day")).agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    middle = days.first + (days.last - days.first) / 2
+    for part in (F.to_date("created_at") <= F.lit(middle), F.to_date("created_at") > F.lit(middle)):
+        a.write_days(a.daily_rollup(whole.where(part)), path)
+    rollup = _rollup(s, d)
+    return s.read.schema(rollup.schema).parquet(path).select(rollup.columns)
 
 
 @query("agg03_resolved", t.with_("messages", body=f", {_CONVS} SELECT last_activity::DATE AS stat_date, tier, count(*) AS resolved FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM messages WHERE role = 'assistant' AND sources = '[]') GROUP BY 1, 2"))

@@ -1,12 +1,7 @@
-"""Files as documents: text, Markdown, CSV, event streams, page-builder trees."""
+"""Files as documents: text, Markdown, CSV, event streams."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,38 +62,3 @@ def sse_events(lines: DataFrame, key: str = "stream_id", order: str = "line_no")
     data = numbered.where(F.startswith("line", F.lit("data:"))).withColumn("data", F.regexp_replace("line", r"^data: ?", ""))
     joined = data.groupBy(key, "event").agg(F.array_sort(F.collect_list(F.struct(order, "data"))).alias("d"))
     return joined.select(key, "event", F.array_join(F.transform("d", lambda x: x["data"]), "\n").alias("data"))
-
-
-def builder_texts(tree: str, depth: int = 64) -> list[str]:
-    """Texts of a page-builder tree in order: longer than 25 characters, no URLs, short codes or style rules."""
-    try:
-        todo = [(json.loads(tree), 0)]
-    except (TypeError, ValueError):
-        return []
-    out = []
-    while todo:
-        node, at = todo.pop()
-        if at > depth:
-            continue
-        if isinstance(node, dict):
-            if "$$type" in node:
-                todo.append((node.get("value"), at + 1))
-            else:
-                todo.extend((node[k], at + 1) for k in reversed(list(node)))
-        elif isinstance(node, list):
-            todo.extend((x, at + 1) for x in reversed(node))
-        elif isinstance(node, str):
-            text = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", node)).strip()
-            if len(text) > 25 and not re.match(r"https?://|\[\w+|[.#]?[\w\-]+\s*\{", text):
-                out.append(text)
-    return out
-
-
-def builder_blocks(trees: DataFrame) -> DataFrame:
-    """``doc_id``, ``texts`` from ``doc_id``, ``tree`` (JSON)."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "texts": [builder_texts(x) for x in f["tree"]]})
-
-    return trees.select("doc_id", "tree").mapInPandas(work, "doc_id long, texts array<string>")
