@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import redaction, schedule
+from ..operators import chunks
 from ..sources import builder, crawl, files, html, menus
 from ..streaming import state as st
 from .registry import query
@@ -37,7 +38,7 @@ def src03(s, d):
 def _chunks(s, d):
     first = F.filter("blocks", lambda b: b["kind"] == "heading")
     docs = _pages(s, d).select(F.col("page_id").alias("doc_id"), F.coalesce(F.get(F.transform(first, lambda b: b["text"]), F.lit(0)), F.lit("")).alias("title"), "blocks", F.lit("").alias("structured"))
-    return html.chunk_pages(docs)
+    return chunks.chunk_documents(docs)
 
 
 @query("str08_chunks")
@@ -50,7 +51,7 @@ def str07(s, d):
     """Documents' texts as chunks of sentences."""
     paragraph = F.array(F.struct(F.lit("paragraph").alias("kind"), F.col("text").alias("text"), F.lit(0).alias("level")))
     docs = t.kb_documents(s, d).select("doc_id", "title", paragraph.alias("blocks"), F.lit("").alias("structured"))
-    return html.chunk_pages(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
+    return chunks.chunk_documents(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
 
 
 @query("df01_index_items")

@@ -1,4 +1,4 @@
-"""HTML pages to typed blocks, links and image ids; blocks to chunks."""
+"""HTML pages to typed blocks, links and image ids."""
 
 from __future__ import annotations
 
@@ -9,260 +9,204 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Elements without content of their own, and those that end a line of text.
-SKIP = {"script", "style", "noscript", "iframe", "svg", "form", "button", "nav", "template", "head"}
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
-PARAGRAPHS = {"p", "blockquote", "pre", "figcaption"}
+#: What an element is to the reader; all others are plain, and end a run of loose text where they end.
+# Elements without content of their own, headings, paragraphs, lists.
+ROLES = {
+    **dict.fromkeys(("script", "style", "noscript", "iframe", "svg", "form", "button", "nav", "template", "head"), "skip"),
+    **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"),
+    **dict.fromkeys(("p", "blockquote", "pre", "figcaption"), "paragraph"),
+    "ul": "list", "ol": "list", "table": "table", "li": "item", "tr": "row", "td": "cell", "th": "cell", "a": "anchor",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements whose start ends a paragraph that was left open.
+ENDS_PARAGRAPH = {"p", "blockquote", "pre", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "article", "section"}
 
 BLOCKS = "array<struct<kind:string,text:string,level:int>>"
 LINKS = "array<struct<url:string,anchor:string>>"
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parts")
-
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.parts = tag, attrs, []
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, str):
-                out.append(node)
-            else:
-                todo.extend(reversed(node.parts))
-        return "".join(out)
-
-    def all(self, *tags: str) -> Iterator[_Node]:
-        todo = list(reversed([p for p in self.parts if isinstance(p, _Node)]))
-        while todo:
-            node = todo.pop()
-            if node.tag in tags:
-                yield node
-            todo.extend(reversed([p for p in node.parts if isinstance(p, _Node)]))
-
-
-class _Tree(HTMLParser):
-    """A forgiving tree: unknown ends are ignored, a block start closes an open paragraph."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("body", {})
-        self.open = [self.root]
+def clean(text: str) -> str:
+    """Entities decoded, white space (no-break spaces too) collapsed."""
+    return " ".join(entities.unescape(text).replace(" ", " ").split())
 
-    def handle_starttag(self, tag, attrs):
-        if self.open[-1].tag == "p" and (tag in PARAGRAPHS or tag in HEADINGS or tag in ("div", "ul", "ol", "table", "article", "section")):
-            self.open.pop()
-        if tag == "li" and self.open[-1].tag == "li":
-            self.open.pop()
-        node = _Node(tag, dict(attrs))
-        self.open[-1].parts.append(node)
-        if tag not in VOID:
-            self.open.append(node)
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+class _Open:
+    """An element that is still open: what it is, the text in it so far, and the parts of a list or table that were met in it."""
 
-    def handle_data(self, data):
-        self.open[-1].parts.append(data)
+    __slots__ = ("tag", "role", "href", "text", "parts")
 
+    def __init__(self, tag: str, role: str, href: str | None = None):
+        self.tag, self.role, self.href = tag, role, href
+        self.text: list[str] = []
+        self.parts: list[_Open] = []
 
-def clean(text: str) -> str:
-    return re.sub(r"[\s ]+", " ", entities.unescape(text)).strip()
+    def said(self) -> str:
+        return clean("".join(self.text))
 
 
-def parse_page(page: str, home: str = "") -> dict:
-    """``blocks``, ``links``, ``image_ids`` of a page, depth first."""
-    tree = _Tree()
-    tree.feed(page or "")
-    tree.close()
-    blocks, links, images, pending = [], [], [], []
+class PageReader(HTMLParser):
+    """Reads a page from front to back; text goes to every open element that gathers text, and blocks come out where they end.
 
-    def flush():
-        text = " ".join(pending).strip()
-        pending.clear()
-        if text:
-            blocks.append(("paragraph", text, 0))
+    Unknown ends are ignored, a block ends an open paragraph, an item the one before it. Within a list, a table, a heading or a paragraph all text is the
+    block's; outside, text and links gather until an element ends or a block starts, and make a paragraph.
+    """
 
-    def link(a: _Node):
-        href = (a.attrs.get("href") or "").strip()
-        if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
+    def __init__(self, home: str = ""):
+        super().__init__(convert_charrefs=True)
+        self.home = home.rstrip("/")
+        self.blocks: list[tuple[str, str, int]] = []
+        self.links: list[tuple[str, str]] = []
+        self.image_ids: list[int] = []
+        self.menu: list[tuple[str, str]] = []
+        self._loose: list[str] = []
+        self._open: list[_Open] = []
+
+    # where the reader is
+
+    def _within(self, *roles: str) -> _Open | None:
+        """The outermost open element of these roles."""
+        return next((e for e in self._open if e.role in roles), None)
+
+    def _block(self) -> _Open | None:
+        return self._within("heading", "list", "table", "paragraph")
+
+    def _end_loose(self) -> None:
+        if text := " ".join(self._loose).strip():
+            self.blocks.append(("paragraph", text, 0))
+        self._loose.clear()
+
+    # events
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._open and self._open[-1].tag == "p" and tag in ENDS_PARAGRAPH:
+            self._close(len(self._open) - 1)
+        if self._open and self._open[-1].tag == tag == "li":
+            self._close(len(self._open) - 1)
+        attributes = dict(attrs)
+        if tag in VOID:
+            self._void(tag, attributes)
+            return
+        element = _Open(tag, ROLES.get(tag, "plain"), attributes.get("href"))
+        block = self._block()
+        if block is None and not self._within("skip") and element.role in ("heading", "list", "table"):
+            self._end_loose()
+        for outer in self._open:  # a part belongs to every list, table or row that it lies in
+            if (outer.role, element.role) in (("list", "item"), ("table", "row"), ("row", "cell")):
+                outer.parts.append(element)
+        self._open.append(element)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i].tag == tag), None)
+        if at is not None:
+            while len(self._open) > at:
+                self._close(len(self._open) - 1)
+
+    def handle_data(self, data: str) -> None:
+        gathering = [e for e in self._open if e.role != "plain"]
+        for element in gathering:
+            element.text.append(data)
+        if not gathering and (text := clean(data)):
+            self._loose.append(text)
+
+    def close(self) -> None:
+        super().close()
+        while self._open:
+            self._close(len(self._open) - 1)
+        self._end_loose()
+
+    # what an element leaves behind
+
+    def _void(self, tag: str, attributes: dict) -> None:
+        if self._within("skip"):
             return
-        if href.startswith("//"):
-            href = "https:" + href
-        elif href.startswith("/"):
-            href = home.rstrip("/") + href
-        links.append((href, clean(a.text())[:255]))
-
-    def image(img: _Node):
-        m = re.search(r"wp-image-([0-9]+)", img.attrs.get("class") or "")
-        if m and int(m[1]) not in images:
-            images.append(int(m[1]))
-
-    def inline(node: _Node):
-        for a in node.all("a"):
-            link(a)
-        for img in node.all("img"):
-            image(img)
-
-    def table(node: _Node) -> str:
-        heads, rows = [], []
-        for tr in node.all("tr"):
-            cells = [(c.tag, clean(c.text())) for c in tr.all("td", "th")]
-            if cells and all(tag == "th" for tag, _ in cells):
-                heads = [text for _, text in cells]
-            elif cells:
-                named = [f"{heads[i]}: {text}" if i < len(heads) and heads[i] else text for i, (_, text) in enumerate(cells) if text]
-                rows.append("; ".join(named))
-        return "\n".join(r for r in rows if r)
-
-    def walk(node: _Node):
-        for part in node.parts:
-            if isinstance(part, str):
-                if text := clean(part):
-                    pending.append(text)
-            elif part.tag in SKIP:
+        if tag == "img":
+            found = re.search(r"wp-image-(\d+)", attributes.get("class") or "")
+            if found and int(found[1]) not in self.image_ids:
+                self.image_ids.append(int(found[1]))
+        elif not self._block() and not self._within("anchor"):
+            self._end_loose()
+
+    def _close(self, at: int) -> None:
+        element = self._open.pop(at)
+        if element.role == "anchor":
+            self._anchor(element)
+        elif self._within("skip") or self._block() or self._within("anchor"):
+            return
+        elif make := getattr(self, f"_{element.role}", None):
+            make(element)
+        elif element.role != "skip":
+            self._end_loose()
+
+    def _anchor(self, a: _Open) -> None:
+        text = a.said()
+        if self._within("skip"):
+            if any(e.tag == "nav" for e in self._open):
+                self.menu.append((a.href or "", text))
+            return
+        target = (a.href or "").strip()
+        if target and not target.startswith(("#", "javascript:", "mailto:", "tel:")):
+            start = "https:" if target.startswith("//") else self.home if target.startswith("/") else ""
+            self.links.append((start + target, text[:255]))
+        if not self._block() and not self._within("anchor") and text:
+            self._loose.append(text)
+
+    def _heading(self, element: _Open) -> None:
+        if text := element.said():
+            self.blocks.append(("heading", text, int(element.tag[1])))
+
+    def _paragraph(self, element: _Open) -> None:
+        if text := element.said():
+            self._end_loose()
+            self.blocks.append(("paragraph", text, 0))
+
+    def _list(self, element: _Open) -> None:
+        if items := [f"• {text}" for item in element.parts if (text := item.said())]:
+            self.blocks.append(("list", "\n".join(items), 0))
+
+    def _table(self, element: _Open) -> None:
+        heads: list[str] = []
+        lines = []
+        for row in element.parts:
+            cells = [cell.said() for cell in row.parts]
+            if cells and {cell.tag for cell in row.parts} == {"th"}:
+                heads = cells
                 continue
-            elif part.tag in HEADINGS:
-                flush()
-                if text := clean(part.text()):
-                    blocks.append(("heading", text, HEADINGS[part.tag]))
-                inline(part)
-            elif part.tag in ("ul", "ol"):
-                flush()
-                items = [f"• {text}" for li in part.all("li") if (text := clean(li.text()))]
-                if items:
-                    blocks.append(("list", "\n".join(items), 0))
-                inline(part)
-            elif part.tag == "table":
-                flush()
-                if rows := table(part):
-                    blocks.append(("table", rows, 0))
-                inline(part)
-            elif part.tag in PARAGRAPHS:
-                if text := clean(part.text()):
-                    flush()
-                    blocks.append(("paragraph", text, 0))
-                inline(part)
-            elif part.tag == "br":
-                flush()
-            elif part.tag == "img":
-                image(part)
-            elif part.tag == "a":
-                link(part)
-                if text := clean(part.text()):
-                    pending.append(text)
-            else:
-                walk(part)
-        flush()
-
-    walk(tree.root)
-    return {"blocks": blocks, "links": links, "image_ids": images}
-
-
-def menu_links(page: str) -> list[tuple[str, str]]:
-    """Anchors within ``<nav>``, which the block walk leaves out."""
-    tree = _Tree()
-    tree.feed(page or "")
-    tree.close()
-    return [(a.attrs.get("href") or "", clean(a.text())) for nav in tree.root.all("nav") for a in nav.all("a")]
+            named = [f"{head}: {cell}" if head else cell for head, cell in zip(heads + [""] * len(cells), cells) if cell]
+            lines.append("; ".join(named))
+        if text := "\n".join(filter(None, lines)):
+            self.blocks.append(("table", text, 0))
+
+
+def read_page(page: str | None, home: str = "") -> PageReader:
+    """A page that was read: ``blocks`` (kind, text, level), ``links``, ``image_ids`` and ``menu`` (anchors within ``<nav>``)."""
+    reader = PageReader(home)
+    reader.feed(page or "")
+    reader.close()
+    return reader
 
 
 def normalize_pages(pages: DataFrame, home: str = "") -> DataFrame:
-    """``page_id``, ``url``, ``blocks``, ``links``, ``image_ids``, ``menu`` per page."""
+    """``page_id``, ``url``, ``blocks``, ``links``, ``image_ids``, ``menu`` per page; a null page has none of them."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = lambda pairs: [{"url": u, "anchor": a} for u, a in pairs]
         for f in frames:
-            made = [parse_page(h, home) for h in f["html"]]
+            read = [read_page(page, home) for page in f["html"]]
             yield pd.DataFrame(
                 {
                     "page_id": f["page_id"],
                     "url": f["url"],
-                    "blocks": [[{"kind": k, "text": x, "level": n} for k, x, n in m["blocks"]] for m in made],
-                    "links": [[{"url": u, "anchor": a} for u, a in m["links"]] for m in made],
-                    "image_ids": [m["image_ids"] for m in made],
-                    "menu": [[{"url": u, "anchor": a} for u, a in menu_links(h)] for h in f["html"]],
+                    "blocks": [[{"kind": k, "text": x, "level": n} for k, x, n in r.blocks] for r in read],
+                    "links": [named(r.links) for r in read],
+                    "image_ids": [r.image_ids for r in read],
+                    "menu": [named(r.menu) for r in read],
                 }
             )
 
     return pages.select("page_id", "url", "html").mapInPandas(
         work, f"page_id long, url string, blocks {BLOCKS}, links {LINKS}, image_ids array<int>, menu {LINKS}"
     )
-
-
-# Lengths of chunks in characters.
-LEAST, MOST, OVERLAP, HARD = 800, 1200, 120, 2000
-_SENTENCE = re.compile(r"(?<=[.!?…:;])\s+(?=[^\W\d_a-zß-öø-ÿ]|[0-9•])|\n+")
-
-
-def split_section(text: str) -> list[str]:
-    """Pieces of about ``LEAST`` to ``MOST`` characters at sentence ends, each but the first with the tail of the one before."""
-    if len(text) <= MOST:
-        return [text]
-    pieces, held = [], ""
-    for sentence in filter(None, (s.strip() for s in _SENTENCE.split(text))):
-        while len(sentence) > HARD:
-            pieces.append(f"{held} {sentence[:HARD]}".strip() if held else sentence[:HARD])
-            sentence, held = sentence[HARD - OVERLAP :], ""
-        longer = f"{held} {sentence}" if held else sentence
-        if len(longer) > MOST and len(held) >= LEAST:
-            pieces.append(held)
-            _, space, tail = held[-OVERLAP:].partition(" ")
-            held = f"{tail} {sentence}" if space and tail else sentence
-        else:
-            held = longer
-    if held.strip():
-        pieces.append(held.strip())
-    return pieces
-
-
-def chunk_document(title: str, blocks: list, structured: str = "") -> list[tuple[str, str, str]]:
-    """(kind, heading path, content) of a document's chunks: facts first, then sections between headings of level 1 to 3."""
-    chunks = [("spec", title, structured)] if structured else []
-    sections, top, sub = [["prose", title, []]], "", ""
-    for block in blocks:
-        kind, text, level = block["kind"], block["text"], block["level"] or 0
-        if kind == "heading" and 1 <= level <= 3:
-            top, sub = (text, "") if level <= 2 else (top, text)
-            sections.append(["prose", " › ".join(x for x in (title, top, sub) if x)[:512], []])
-            continue
-        now = sections[-1]
-        if kind in ("table", "list", "faq", "spec") and now[0] == "prose" and not now[2]:
-            now[0] = kind
-        now[2].append(f"{text}:" if kind == "heading" else text)
-    for kind, path, texts in sections:
-        whole = "\n\n".join(texts).strip()
-        chunks += [(kind, path, piece) for piece in split_section(whole)] if whole else []
-    if title and chunks and not chunks[0][2].startswith(title):
-        chunks[0] = (chunks[0][0], chunks[0][1], f"{title}\n{chunks[0][2]}")
-    return chunks
-
-
-def chunk_pages(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``seq``, ``kind``, ``heading_path``, ``content``, ``token_est``, ``chunk_hash`` from ``doc_id``, ``title``, ``blocks``, ``structured``."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [
-                (doc_id, seq, kind, path[:512], content)
-                for doc_id, title, blocks, facts in zip(f["doc_id"], f["title"], f["blocks"], f["structured"])
-                for seq, (kind, path, content) in enumerate(chunk_document(title or "", list(blocks), facts or ""))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "kind", "heading_path", "content"])
-
-    chunks = documents.select("doc_id", "title", "blocks", "structured").mapInPandas(
-        work, "doc_id long, seq int, kind string, heading_path string, content string"
-    )
-    return chunks.withColumns(
-        {
-            "token_est": F.ceil(F.length("content") / 4).cast("long"),
-            "chunk_hash": F.sha1(F.concat_ws("|", "heading_path", "content").cast("binary")),
-        }
-    )
