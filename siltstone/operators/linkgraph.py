@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +73,38 @@ def orphans(documents: DataFrame, links: DataFrame) -> DataFrame:
     return documents.where("status = 'active'").join(inbound, "doc_id", "left_anti")
 
 
+#: Hashes whose bits are laid out at a time.
+HASHES = 1 << 18
+
+
+def _majorities(hashes: pa.Array) -> pa.Array:
+    """Of each list of 64-bit hashes the number whose bit i is set where more of them have it set than not; 0 for none, null for null."""
+    lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy()
+    values = np.ascontiguousarray(hashes.flatten().to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, 8)
+    ends = np.cumsum(lengths)
+    out = np.zeros(len(hashes), np.int64)
+    row = 0
+    while row < len(lengths):
+        first = int(ends[row] - lengths[row])
+        stop = max(row + 1, int(np.searchsorted(ends, first + HASHES, "right")))
+        here = np.flatnonzero(lengths[row:stop]) + row
+        if len(here):
+            bits = np.unpackbits(values[first : ends[stop - 1]], axis=1, bitorder="little")
+            set_ = np.add.reduceat(bits, ends[here] - lengths[here] - first, axis=0, dtype=np.int32)
+            more = (2 * set_ > lengths[here, None]).astype(np.uint8)
+            out[here] = np.packbits(more, axis=1, bitorder="little").view(np.int64).ravel()
+        row = stop
+    return pa.array(out, mask=np.asarray(hashes.is_null()))
+
+
 def simhash(terms: Column) -> Column:
-    """64-bit SimHash of a term array (each occurrence counts) as a long; a tie is 0."""
+    """64-bit SimHash of a term array (each occurrence counts) as a long; a tie is 0. Hashes are made by Spark, their bits are counted in Arrow batches."""
     hashes = F.transform(terms, lambda w: F.conv(F.substring(F.sha1(w.cast("binary")), 1, 16), 16, -10).cast("long"))
-    zero = F.array_repeat(F.lit(0), 64)
-
-    def add(acc: Column, h: Column) -> Column:
-        return F.transform(acc, lambda x, i: x + F.getbit(h, i) * 2 - 1)
 
-    def to_long(acc: Column) -> Column:
-        bits = F.transform(acc, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    def fold(batch: pa.Array) -> pa.Array:
+        return _majorities(batch)
 
-    return F.aggregate(hashes, zero, add, to_long)
+    return F.arrow_udf(fold, "long")(hashes)
 
 
 def near_pairs(chunks: DataFrame, save, distance: int = 3) -> DataFrame:
@@ -103,7 +125,9 @@ def near_pairs(chunks: DataFrame, save, distance: int = 3) -> DataFrame:
     keyed = classes.select("simhash", "rep", "low", "high", F.explode(F.array(*keys)).alias("key")).select("key.at", "key.bits", "simhash", "rep", "low", "high")
     hot = keyed.groupBy("at", "bits").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CLASSES)
     parts = hot.select("at", "bits", F.ceil(F.col("n") / HOT_CLASSES).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(parts), ["at", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = save(parts)
+    few = parts.count() * 40 <= 64 << 20  # under 64 MB
+    dealt = keyed.join(F.broadcast(parts) if few else parts, ["at", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     a = dealt.select("at", "bits", F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("simhash", "rep", "low", "high")))
     b = dealt.select("at", "bits", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in ("simhash", "rep", "low", "high")))
     bits = F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash")))

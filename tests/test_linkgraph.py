@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 
 from siltstone.operators import linkgraph as g
+from siltstone.scratch import saver
 
 
 def _signed(h):
@@ -31,7 +32,7 @@ def test_near_pairs_lose_no_link_and_do_not_square_copies(spark, monkeypatch, ho
     monkeypatch.setattr(g, "HOT_CLASSES", hot)
     rows = _hashes()
     chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, simhash long")
-    save = lambda df: df.localCheckpoint()
+    save = saver(spark)
     found = g.near_pairs(chunks, save).collect()
     members = {}
     for c, doc, h in rows:
