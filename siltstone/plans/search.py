@@ -93,8 +93,8 @@ def _visible(spark, d, index: PostingsIndex) -> DataFrame:
     return index.chunks().join(active, "doc_id")
 
 
-def _bm25(spark, d) -> DataFrame:
-    index, terms = _index(spark, d), _query_terms(spark, d)
+def _bm25(spark, d, terms: DataFrame | None = None) -> DataFrame:
+    index, terms = _index(spark, d), _query_terms(spark, d) if terms is None else terms
     active = _visible(spark, d, index)
     n = active.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len"))
     return r.bm25(terms, index.postings(terms), active, n, per_term=None)
@@ -167,7 +167,7 @@ def top02(spark, d):
     return _fulltext(spark, d).select("query_id", "chunk_id", "score", "rank")
 
 
-_SEARCH = f"""{{bm}}, {_FUSED},
+_RANKED = f"""
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS fr FROM rrf) WHERE fr <= 32),
 found AS (SELECT c.query_id, c.chunk_id, c.rrf, k.doc_id, k.title, k.permalink, k.weight, k.kind, coalesce(similarity, 0.0) AS sim, greatest(len(coalesce(terms, [])), 1) AS n_terms,
     len(list_intersect(coalesce(terms, []), {_terms_sql("k.text", "'en'")})) AS hits
@@ -180,9 +180,19 @@ boosted AS (SELECT query_id, chunk_id, doc_id, title, permalink, kind,
 keep AS (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS best, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS nth FROM boosted),
 res AS (SELECT * EXCLUDE (best, nth) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM keep
   WHERE nth <= CASE WHEN doc_id = best THEN 2 ELSE 1 END) WHERE rank <= 8)"""
+_SEARCH = f"{{bm}}, {_FUSED}, {_RANKED}"
 SEARCH_SQL = f", {_QUERY_TERMS}, {_POSTINGS}, {_SEARCH.replace('{bm}', _BM25)}"
 
 
+def words_sql(queries: str) -> str:
+    """SQL tables of ``search_words`` for the rows of ``queries`` (``query_id``, ``text``), after ``kb``."""
+    return f"""
+qa AS (SELECT query_id, list_slice(list_filter(ts, lambda w, i: list_position(ts, w) = i), 1, 12) AS terms FROM (SELECT query_id, {_terms_sql("text", "'en'")} AS ts FROM {queries})),
+qt AS (SELECT query_id, unnest(terms) AS term FROM qa), {_POSTINGS}, {_BM25},
+rrf AS (SELECT query_id, chunk_id, round(60.0::DOUBLE / (60 + rank), 12) AS rrf FROM bm),
+dense AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS vec_id, 0.0::DOUBLE AS similarity WHERE false), {_RANKED}"""
+
+
 @query("mth02_rank_fusion", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, {_FUSED} SELECT query_id, chunk_id, rrf FROM rrf"))
 def mth02(spark, d):
     return r.fuse([_bm25(spark, d), _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")])
@@ -196,22 +206,35 @@ def df03(spark, d):
 
 def search(spark, d) -> DataFrame:
     """The reference's hybrid search for all benchmark rows: eight rows a query at most."""
-    bm, dense = saver(spark)(_bm25(spark, d)), saver(spark)(_dense(spark, d))
-    fused = r.fuse([bm, dense.withColumnRenamed("vec_id", "chunk_id")])
+    bm, dense = saver(spark)(_bm25(spark, d)), saver(spark)(_dense(spark, d)).withColumnRenamed("vec_id", "chunk_id")
+    return _best(spark, d, r.fuse([bm, dense]), _queries(spark, d), dense)
+
+
+def search_words(spark, d, queries: DataFrame) -> DataFrame:
+    """The same by words alone, for any ``queries`` (``query_id``, ``text``, ``lang``)."""
+    terms = r.query_terms(queries, x.tokenize(F.col("text"), F.col("lang")))
+    return _best(spark, d, r.fuse([_bm25(spark, d, saver(spark)(terms))]), queries, None)
+
+
+def _best(spark, d, fused: DataFrame, queries: DataFrame, dense: DataFrame | None) -> DataFrame:
+    """Fused lists cut, hydrated, boosted by coverage, one document once."""
     w = r.Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")
     cut = fused.withColumn("fr", F.row_number().over(w)).where("fr <= 32")
     covering = F.element_at("terms", "en").alias("chunk_terms")
     visible = _visible(spark, d, _index(spark, d)).select("chunk_id", "doc_id", "title", "permalink", "weight", "kind", covering)
-    terms = _queries(spark, d).select("query_id", F.slice(F.array_distinct(x.tokenize(F.col("text"), F.col("lang"))), 1, 12).alias("terms"))
-    sims = dense.select("query_id", F.col("vec_id").alias("chunk_id"), "similarity")
+    terms = queries.select("query_id", F.slice(F.array_distinct(x.tokenize(F.col("text"), F.col("lang"))), 1, 12).alias("terms"))
+    found = cut.join(visible, "chunk_id").join(terms, "query_id", "left")
+    if dense is None:
+        found = found.withColumn("similarity", F.lit(None).cast("double"))
+    else:
+        found = found.join(dense.select("query_id", "chunk_id", "similarity"), ["query_id", "chunk_id"], "left")
     found = (
-        cut.join(visible, "chunk_id").join(terms, "query_id", "left").join(sims, ["query_id", "chunk_id"], "left")
-        .withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        found.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
         .withColumn("hits", F.size(F.array_intersect("terms", "chunk_terms")).cast("long"))
         .withColumn("cov", F.col("hits") / F.greatest(F.size("terms"), F.lit(1)))
         .withColumn("dcov", r.dense_coverage(F.col("similarity")))
         .withColumn("coverage", F.greatest("cov", "dcov"))
-    )
+    )
     semantic = (F.col("dcov") > F.col("cov")) & (F.col("hits") == 0) & (F.col("dcov") >= 0.5)
     rows = found.select(
         "query_id", "chunk_id", "doc_id", "title", "permalink", "kind",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,21 +13,10 @@ from ..operators import site
 from ..scratch import saver
 from ..streaming import state as st
 from . import search
+from .intents_sql import intent_sql
 from .registry import query
 
-_W = r"[^\p{L}\p{N}_\p{M}]"
-
-
-def _duck_pattern(pattern: str) -> str:
-    """A pattern whose word boundaries are Unicode's, said without them (DuckDB's are ASCII's)."""
-    p = pattern.replace(r"\b.*\b", f"{_W}(?:.*{_W})?")
-    p = re.sub(r"^\\b", lambda _: f"(?:^|{_W})", p)
-    return re.sub(r"\\b$", lambda _: f"(?:$|{_W})", p).replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''")
-
-
-_INTENT = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"regexp_matches(lower(text), '{_duck_pattern(p)}')" for p in pack) + f" THEN '{name}'" for name, pack in intents.PATTERNS.items()
-) + " WHEN has_products THEN 'product_query' ELSE 'site_info' END"
+_INTENT = intent_sql()
 _INTENTS = rf"""it AS (SELECT *, {_INTENT} AS found FROM (SELECT *, regexp_matches(text, '(^|[^A-Za-z0-9_])[A-Z]+[0-9]+') AS has_products, msg_id % 3 = 0 AS has_pages FROM (
   SELECT msg_id, conv_id, text FROM messages UNION ALL SELECT -1 - p_partkey, p_partkey, said FROM said)))"""
 _SAID = """said AS (SELECT p_partkey, (['Hello there!', 'How much is the ' || p_name || '?', 'where can I find the returns page', 'I want to talk to a person', 'phone number please',
