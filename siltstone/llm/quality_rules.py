@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import NOT_SPACE, SPACE, Scratch, let, words
@@ -103,47 +105,66 @@ def ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(metrics: DataFrame, spread: float = 6.0, prior_docs: int = 200, k: int = 200) -> DataFrame:
+#: Values of a sketch's cell differ by this share at most.
+CELL = 0.002
+
+
+def sketches(metrics: DataFrame) -> DataFrame:
+    """``lang``, ``source``, ``rule``, ``cell``, ``n``, ``least``: quantile sketches of the ratios, mergeable by adding up equal cells.
+
+    A cell holds the values between two powers of 1 + ``CELL`` (0 is a cell of its own) with their number and the least of them. Cells are fixed, so a
+    sketch is the same however rows are dealt, merged or read again; it has as many cells as the ratio has digits to tell apart, whatever the number of rows.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("x")
+    cell = F.when(F.col("x.value") > 0, F.floor(F.ln("x.value") / math.log1p(CELL)))
+    rows = metrics.select("lang", "source", each).select("lang", "source", "x.rule", cell.alias("cell"), "x.value")
+    return rows.groupBy("lang", "source", "rule", "cell").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+def quartiles(cells: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``rule``, ``n``, ``q``: the three quartiles of each group's merged sketch; a quartile is the least value of the cell that it lies in."""
+    merged = cells.groupBy(*keys, "rule", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    group = Window.partitionBy(*keys, "rule")
+    upto = F.sum("n").over(group.orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumns({"upto": upto, "all": F.sum("n").over(group)})
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("least")))
+    found = placed.groupBy(*keys, "rule").agg(F.sum("n").alias("n"), F.array(*(at(p) for p in (0.25, 0.5, 0.75))).alias("q"))
+    return found
+
+
+def thresholds(metrics: DataFrame, spread: float = 6.0, prior_docs: int = 200) -> DataFrame:
     """``lang``, ``source`` and ``<rule>_lo``, ``<rule>_hi``, learnt from quantile sketches.
 
-    A KLL sketch of each ratio is built per language and source (partial sketches before the shuffle, merged
-    after it) and merged upwards to languages and to all. A language's quartiles are the mean of its own, weighed by its documents, and
+    A sketch of each ratio is built per language and source (rows are counted before the shuffle) and merged upwards to
+    languages and to all. A language's quartiles are the mean of its own, weighed by its documents, and
     of all documents', weighed as ``prior_docs``; a pair's are the mean of its own and its language's, alike. So a small
     group leans on the larger one, and no group changes its rule at some size. A threshold lies ``spread`` interquartile ranges
-    beyond the quartile and at least the rule's least distance from the median.
+    beyond the quartile and at least the rule's least distance from the median. The same rows give the same thresholds on every run.
     ``metrics`` has ``lang``, ``source`` and the ratios; null is a value of its own.
     """
-    scratch = Scratch(metrics.sparkSession, "sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(r), F.lit(k)).alias(r) for r in RULES)]
-    pairs = scratch.save(
-        metrics.groupBy("lang", "source").agg(
-            F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in RULES)
-        ),
-        "pairs",
-    )
-    langs = pairs.groupBy(F.col("lang").alias("of")).agg(*merged)
-    whole = pairs.groupBy((F.col("n") > 0).alias("of")).agg(*merged)
+    cells = Scratch(metrics.sparkSession, "sketches").save(sketches(metrics), "cells")
+    of_pair, of_lang, of_all = quartiles(cells, "lang", "source"), quartiles(cells, "lang"), quartiles(cells)
     chosen = (
-        pairs.alias("p")
-        .join(langs.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.of")))
-        .join(whole.alias("w"), F.col("w.of") == (F.col("p.n") > 0))
+        of_pair.alias("p")
+        .join(of_lang.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")) & (F.col("p.rule") == F.col("l.rule")))
+        .join(F.broadcast(of_all.alias("w")), F.col("w.rule") == F.col("p.rule"))  # a row a rule
     )
 
-    def limits(rule: str) -> list[Column]:
-        least, sides = RULES[rule]
-        quartiles = lambda of: F.kll_sketch_get_quantile_double(F.col(f"{of}.{rule}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    def towards(of: str, prior: Column) -> Column:
+        share = F.col(f"{of}.n") / (F.col(f"{of}.n") + F.lit(float(prior_docs)))
+        return F.zip_with(F.col(f"{of}.q"), prior, lambda x, y: x * share + y * (1 - share))
 
-        def towards(of: str, prior: Column) -> Column:
-            share = F.col(f"{of}.n") / (F.col(f"{of}.n") + F.lit(float(prior_docs)))
-            return F.zip_with(quartiles(of), prior, lambda x, y: x * share + y * (1 - share))
+    rows = chosen.select("p.lang", "p.source", "p.rule", towards("p", towards("l", F.col("w.q"))).alias("q"))
+    lo, median, hi = (F.get("q", F.lit(i)) for i in range(3))
 
-        q = towards("p", towards("l", quartiles("w")))
-        out = lambda body: let(q, lambda x: body(x[0], x[1], x[2]))
-        hi = out(lambda a, m, b: F.greatest(b + (b - a) * spread, m + least))
-        lo = out(lambda a, m, b: F.least(a - (b - a) * spread, m - least))
-        return [(lo if sides == "both" else F.lit(float("-inf"))).alias(f"{rule}_lo"), hi.alias(f"{rule}_hi")]
+    def limits(rule: str) -> list[Column]:
+        least, sides = RULES[rule]
+        here = F.col("rule") == rule
+        upper = F.max(F.when(here, F.greatest(hi + (hi - lo) * spread, median + least)))
+        lower = F.max(F.when(here, F.least(lo - (hi - lo) * spread, median - least))) if sides == "both" else F.lit(float("-inf"))
+        return [lower.alias(f"{rule}_lo"), upper.alias(f"{rule}_hi")]
 
-    return chosen.select("p.lang", "p.source", *(c for r in RULES for c in limits(r)))
+    return rows.groupBy("lang", "source").agg(*(c for r in RULES for c in limits(r)))
 
 
 def judge_quality(
