@@ -25,7 +25,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Chunks:
     """``doc_id`` (as text, which pandas does not round) and ``text`` of all rows in files bucketed and sorted by ``chunk``.
 
-    Reading them by chunk needs no shuffle, so texts are shuffled once however often they are gone through.
+    Bytes that are no UTF-8 become U+FFFD. Reading them by chunk needs no shuffle, so texts are shuffled once however often they are gone through.
 
     ``parts`` is the number of key ranges. A range holds two chunks' worth of keys in one task, and a chunk sends one row of packed keys to each
     range: their number is chunks times ranges, as the blocks of any shuffle, and never over the number of keys.
@@ -33,7 +33,7 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS):
         rows = docs.select(
-            col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")
+            col(id_col).cast("long").cast("string").alias("doc_id"), F.make_valid_utf8(F.coalesce(col(text_col).cast("string"), F.lit(""))).alias("text")
         )
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(1, math.ceil(chars / chunk_chars))

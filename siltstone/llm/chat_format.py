@@ -79,7 +79,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     A conversation's formatted text is its rows' ``rendered`` in order of (turn, role, text); the grammar is a list of
     turns, so turns are rendered and checked where they lie, without a shuffle. The loss mask covers the bodies of
-    assistant turns (code points within the row; null elsewhere). Null text and role are empty. A null ``turn`` comes first; a null
+    assistant turns (code points within the row; null elsewhere). Null text and role are empty; bytes that are no UTF-8 become U+FFFD. A null ``turn`` comes first; a null
     ``conv_id`` is a conversation of its own. Rows that tie or repeat are turns each. An empty table gives no rows.
     Other columns are not read.
     """
@@ -101,8 +101,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.make_valid_utf8(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
+        F.make_valid_utf8(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     ).mapInArrow(work, _TURNS)
 
 

@@ -159,11 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     """Fit on labelled documents outside the held-out fold: of each class the ``sample`` first ones in hash order.
 
     The sample's ids (at most ``2 * sample`` rows) are broadcast to pick its texts; their features are computed where the
-    texts lie and gathered to the driver. Labels without a document, null labels and null ids teach nothing. With one class or
+    texts lie and gathered to the driver. Labels without a document, null labels, null ids and ids with labels of both classes teach nothing. With one class or
     none, the model stays as it was initialised.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where((fold("l_id") != 0) & F.col("quality").isin(0, 1)).dropDuplicates(["l_id"])
+    known = known.where((fold("l_id") != 0) & F.col("quality").isin(0, 1)).groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    known = known.where("quality = most").drop("most")
     picked = None
     for label in (0, 1):
         some = known.where(F.col("quality") == label).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
@@ -207,9 +208,9 @@ def score(docs: DataFrame, model: AttentionMil, text_col: str = "text", out: str
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; the contract's columns."""
+    """All documents; the contract's columns. A null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(
-        "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )

@@ -14,9 +14,10 @@ import pyarrow as pa
 import pytest
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import chat_format, lm_score, mixing, packing, quality_model, quality_rules
+from siltstone.llm import chat_format, lm_score, mixing, packing, quality_model, quality_rules, substring_dedup
 from siltstone.llm._common import Scratch
 from siltstone.llm._tokens import WordTokens
 
@@ -146,7 +147,7 @@ def test_quality_counts_match_brute_force(spark):
 
 
 def brute_quality(metrics, prior=200, spread=6.0):
-    """Verdicts from exact quartiles (sketches of under ``k`` values are exact)."""
+    """Verdicts from exact quartiles (a sketch's differ by 0.2 % at most)."""
 
     def quartiles(some, rule):
         x = sorted(r[rule] for r in some)
@@ -184,6 +185,24 @@ def test_quality_verdicts_match_exact_quartiles(spark, prior):
     assert 0 < sum(not r.kept for r in got.values()) < 60
 
 
+def test_sketches_are_the_same_however_rows_are_dealt(spark):
+    """Over a hundred thousand rows: equal thresholds on every run, quartiles within a cell of the exact ones."""
+    rules = list(quality_rules.RULES)
+    rows = spark.range(120_000).selectExpr("if(id % 3 = 0, 'en', if(id % 3 = 1, 'fr', NULL)) AS lang", "if(id % 2 = 0, 'a', 'b') AS source",
+                                           *(f"if(id % 11 = 0, 0, pow(1.0001, (xxhash64(id, {i}) % 40000)) * {i + 1}) AS {r}" for i, r in enumerate(rules)))
+    runs = []
+    for n in (1, 3, 7):
+        found = quality_rules.thresholds(rows.repartition(n, F.rand(n))).collect()
+        runs.append(sorted((tuple(r) for r in found), key=repr))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 6
+    exact = {r: sorted(x[0] for x in rows.where("lang = 'en' AND source = 'a'").select(r).collect()) for r in rules}
+    for r in quality_rules.quartiles(quality_rules.sketches(rows), "lang", "source").where("lang = 'en' AND source = 'a'").collect():
+        values = exact[r.rule]
+        for q, p in zip(r.q, (0.25, 0.5, 0.75)):
+            want = values[math.ceil(p * len(values)) - 1]
+            assert want / 1.002 - 1e-12 <= q <= want and r.n == len(values)
+
+
 def brute_targets(sizes, most=3):
     """Shares by weight; what lies over a cap is shared again by weight among the others until nothing does."""
     sources = sorted(sizes, key=lambda s: (s is None, s))
@@ -321,6 +340,32 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "of null id"), (1, same), (5, ""), (5, ""), (6, "alone")]
 
 
+def test_conflicting_labels_teach_nothing_and_null_ids_are_in_training(spark, tmp_path):
+    rows = [(i, f"{'good long sentence here. ' * 9 if i % 2 else 'x# $% '}{i}", "en", "a") for i in range(60)] + [(None, "no id", "en", "a")]
+    docs = frame(spark, rows)
+    labels = [(i, i % 2) for i in range(50)]
+    clash = [(i, 1 - i % 2) for i in range(10)]
+    some = lambda x: spark.createDataFrame(x, "doc_id long, quality int")
+    model = quality_model.train(docs, some(labels + clash))
+    alone = quality_model.train(docs, some([(i, q) for i, q in labels if i >= 10]))
+    again = quality_model.train(docs, some(clash + labels + labels).repartition(5))
+    scores = lambda m: [tuple(r) for r in quality_model.score(docs, m).select("text", "score").orderBy("text").collect()]
+    assert scores(model) == scores(alone) == scores(again)
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    some(labels).write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality_model.op10_quality_classifier(spark, str(tmp_path)).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False] and len(got) == 61
+
+
+def test_texts_that_are_no_utf8_are_worked_on(spark, tmp_path):
+    bad = spark.range(40).selectExpr("id AS doc_id", "concat(cast(x'61ff20' AS string), repeat('word next ', 30), cast(id AS string), cast(x'c3' AS string)) AS text")
+    assert lm_score.lm_scores(bad).where("score < 0").count() == 40
+    assert substring_dedup.drop_repeated_windows(bad, window=5).count() == 40
+    rows = spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, cast(x'61ff' AS string) AS text UNION ALL SELECT 1, 1, cast(x'ff' AS string), 'b'")
+    (got,) = chat_format.conversation_digests(chat_format.format_turns(rows)).collect()
+    assert got.turns_sha256 == hashlib.sha256("user\na\ufffd\n\ufffd\nb\n".encode()).hexdigest()
+
+
 def test_classifier_on_held_out_labels(spark):
     got = {r.doc_id: r for r in quality_model.op10_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
