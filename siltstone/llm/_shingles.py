@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHED = 400_000
+#: Words that a worker remembers the hashes of; to hash one anew costs little more than to find it.
+_CACHED = 100_000
 
 
 class _Words(dict):

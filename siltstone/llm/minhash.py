@@ -21,6 +21,8 @@ PERMUTATIONS = 64
 BANDS, ROWS = 25, 5
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 512
+#: Texts that a worker holds at a time.
+TEXTS = 500
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 62, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,8 +55,8 @@ def _sign(width: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
                 counts, digests, bands = [], [], []
                 for text in some.column(2).cast(pa.binary()).to_pylist():
                     found = shingle_set(text or b"", width)
@@ -74,7 +76,7 @@ def _confirm(width: int, percent: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None
-        for batch in batches:
+        for batch in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
             a, b, ta, tb = (c.cast(pa.binary()).to_pylist() if i > 1 else c.to_pylist() for i, c in enumerate(batch.columns))
             keep = []
             for i in range(len(a)):
@@ -94,8 +96,8 @@ def _explode(width: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
                 sets = [shingle_set(x or b"", width).view(np.int64) for x in some.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -106,7 +108,7 @@ def _short_sign(width: int):
     """The last byte of each signature value that bands use, and the band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
             values = [signature(shingle_set(x or b"", width)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             signs = [(v[: BANDS * ROWS] & np.uint64(255)).astype(np.uint8).tobytes() for v in values]
             bands = [band_keys(v).tobytes() for v in values]
