@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import redaction, schedule
 from ..operators import chunks
-from ..sources import builder, crawl, files, html, menus
+from ..sources import builder, crawl, entries, files, html, menus
 from ..streaming import state as st
 from .registry import query
 
@@ -106,25 +107,79 @@ def src05(s, d):
     return t.load(s, d, "documents").groupBy(F.col("source").alias("term")).agg(F.concat(F.lit("Contains "), n.cast("string"), F.lit(" item(s)")).alias("text"), n.alias("items"))
 
 
-@query("src06_products", """
-WITH r AS (SELECT l_partkey, l_comment_, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber) AS n FROM (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity::VARCHAR AS l_comment_ FROM lineitem))
-SELECT p_partkey, count(l_partkey) AS reviews, max(l_orderkey) AS newest FROM part LEFT JOIN r ON l_partkey = p_partkey AND n <= 5 GROUP BY 1""")
+_PRODUCT_SQL = """
+WITH li AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS review_id, l_linenumber % 5 + 1 AS rating, 'took ' || l_quantity::INT AS said, l_returnflag FROM lineitem),
+v AS (SELECT l_partkey, l_returnflag AS label, max(p_retailprice + ascii(l_returnflag)) AS price, l_returnflag <> 'R' AS in_stock FROM li JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 4),
+vs AS (SELECT l_partkey, string_agg(label || ': ' || printf('%.2f', price) || CASE WHEN in_stock THEN '' ELSE ' (out of stock)' END, '; ' ORDER BY price, label) AS variations, min(price) AS low, max(price) AS high FROM v GROUP BY 1),
+rs AS (SELECT l_partkey, round(avg(rating), 2) AS rating, count(*) AS n FROM li GROUP BY 1),
+five AS (SELECT l_partkey, string_agg('Review: ' || said, chr(10) ORDER BY review_id DESC, said) AS said FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY review_id DESC, said) AS r FROM li) WHERE r <= 5 GROUP BY 1)
+SELECT p_partkey::VARCHAR AS external_id, p_name AS title, printf('%.2f', CASE WHEN p_size % 4 = 0 THEN p_retailprice - 10 ELSE p_retailprice END) AS price, p_size % 4 = 0 AS on_sale,
+  CASE WHEN p_size > 5 THEN 'instock' ELSE 'outofstock' END AS stock, CASE WHEN p_size > 5 THEN p_size ELSE 0 END::BIGINT AS quantity, p_brand AS brand, p_type || ', ' || p_brand AS categories,
+  CASE WHEN low < high THEN printf('%.2f', low) || ' - ' || printf('%.2f', high) END AS price_range, variations, rating, n AS reviews,
+  'A ' || p_name || CASE WHEN said IS NULL THEN '' ELSE chr(10) || said END AS text
+FROM part LEFT JOIN vs ON vs.l_partkey = p_partkey LEFT JOIN rs ON rs.l_partkey = p_partkey LEFT JOIN five f ON f.l_partkey = p_partkey"""
+
+
+def _products(s, d, shown=entries.MASKS):
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    part, lines = t.load(s, d, "part"), t.load(s, d, "lineitem")
+    products = part.select(
+        k.alias("product_id"), F.col("p_name").alias("name"), F.concat(F.lit("SKU-"), k.cast("string")).alias("sku"), F.lit("variable").alias("kind"), price.alias("regular_price"),
+        F.when(F.col("p_size") % 4 == 0, price - 10).alias("sale_price"), F.lit("EUR").alias("currency"), F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(0).cast("long").alias("quantity"),
+        F.create_map(F.lit("brand"), "p_brand").alias("attributes"), F.array("p_type", "p_brand").alias("categories"), F.array().cast("array<string>").alias("tags"),
+        F.concat(F.lit("A "), "p_name").alias("description"),
+    )
+    kinds = lines.groupBy("l_partkey", "l_returnflag").count().join(part, k == F.col("l_partkey")).select(
+        k.alias("product_id"), F.col("l_returnflag").alias("label"), (price + F.ascii("l_returnflag")).alias("price"), (F.col("l_returnflag") != "R").alias("in_stock"))
+    reviews = lines.select(
+        F.col("l_partkey").alias("product_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"), (F.col("l_linenumber") % 5 + 1).alias("rating"),
+        F.concat(F.lit("took "), F.col("l_quantity").cast("int").cast("string")).alias("text"))
+    return entries.product_documents(products, kinds, reviews, shown)
+
+
+@query("src06_products", _PRODUCT_SQL)
 def src06(s, d):
-    """Products with their five newest reviews."""
-    from ..operators.analytics import top_rows
-
-    five = top_rows(t.load(s, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], [F.desc("l_orderkey"), F.col("l_linenumber")], 5)
-    return t.load(s, d, "part").join(five, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_partkey").agg(F.count("l_partkey").alias("reviews"), F.max("l_orderkey").alias("newest"))
-
-
-@query("src07_site_identity", "SELECT string_agg(n_name, ', ' ORDER BY n_name) AS facts, count(*) AS n FROM nation")
+    """Products with price, stock, attributes, categories, variations, rating and their five newest reviews, read back from their facts."""
+    fact = lambda path: F.get_json_object("structured", f"$.{path}")
+    lines = F.from_json(fact("variations"), "array<string>")
+    return _products(s, d).select(
+        "external_id", "title", fact("price").alias("price"), fact("is_on_sale").cast("boolean").alias("on_sale"), fact("stock_status").alias("stock"), fact("stock_quantity").cast("long").alias("quantity"),
+        fact("attributes.brand").alias("brand"), fact("categories").alias("categories"), fact("price_range").alias("price_range"), F.array_join(lines, "; ").alias("variations"),
+        fact("average_rating").cast("double").alias("rating"), fact("review_count").cast("long").alias("reviews"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
+
+
+@query("src07_site_identity", """
+WITH n AS (SELECT max(n_name) AS city, max(n_nationkey) AS code FROM nation), c AS (SELECT min(r_name) AS country FROM region)
+SELECT city || ' shop' AS title, 'Everything of ' || country AS tagline, 'Street ' || code || ', ' || (10000 + code) || ' ' || city || ', S1, ' || country AS address, 2 AS blocks FROM n, c""")
 def src07(s, d):
-    return t.load(s, d, "nation").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("facts"), F.count("*").alias("n"))
-
-
-@query("src08_manual_entries", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n'), lambda x: trim(x) <> '')) AS paragraphs FROM documents")
+    """The site's document from its options, which are made of the names of nations and regions: the address is joined, country:state split."""
+    n = t.load(s, d, "nation").agg(F.max("n_name").alias("city"), F.max("n_nationkey").alias("code"))
+    one = n.crossJoin(t.load(s, d, "region").agg(F.min("r_name").alias("country")))  # one row each
+    said = {"name": F.concat("city", F.lit(" shop")), "tagline": F.concat(F.lit("Everything of "), "country"), "email": F.lit(" "), "address_1": F.concat(F.lit("Street "), F.col("code").cast("string")),
+            "postcode": (F.col("code") + 10000).cast("string"), "city": F.col("city"), "default_country": F.concat("country", F.lit(":S1"))}
+    options = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in said.items()))).alias("o")).select("o.*")
+    fact = lambda path: F.get_json_object("structured", f"$.{path}")
+    return entries.site_document(options).select("title", fact("site.tagline").alias("tagline"), fact("store.address").alias("address"), F.size("blocks").alias("blocks"))
+
+
+@query("src08_manual_entries", """
+WITH o AS (SELECT user_id AS entry_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT *, CASE WHEN n = 1 THEN 'create' WHEN event_type = 'view' THEN 'update' WHEN event_type = 'click' THEN 'trash' WHEN event_type = 'signup' THEN 'restore' WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'purge' ELSE 'none' END AS op FROM o),
+t AS (SELECT *, last_value(CASE WHEN op IN ('create', 'update', 'restore') THEN false WHEN op = 'trash' THEN true END IGNORE NULLS) OVER (PARTITION BY entry_id ORDER BY n) AS trashed FROM r),
+g AS (SELECT entry_id FROM t WHERE op = 'purge' AND trashed)
+SELECT entry_id, 'Entry ' || entry_id || ' of ' || arg_max(event_id, n) FILTER (op = 'create' OR (op = 'update' AND event_id % 2 = 0)) AS title,
+  CASE WHEN arg_max(trashed, n) THEN 'trashed' ELSE 'active' END AS status, (CASE WHEN entry_id % 3 = 0 THEN 1 ELSE 3 END)::INT AS blocks FROM t WHERE entry_id NOT IN (SELECT entry_id FROM g) GROUP BY 1""")
 def src08(s, d):
-    return t.load(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("paragraphs"))
+    """Entries after a log of creates, updates (of title or content), trashes, restores and purges; their blocks with headings, or question and answer."""
+    w = Window.partitionBy("entry_id").orderBy("event_id")
+    rows = t.load(s, d, "events").select(F.col("user_id").alias("entry_id"), "event_id", "event_type").withColumn("nth", F.row_number().over(w))
+    kind, i = F.col("event_type"), F.col("event_id")
+    op = F.when(F.col("nth") == 1, "create").when(kind == "view", "update").when(kind == "click", "trash").when(kind == "signup", "restore").when((kind == "purchase") & (i % 7 == 0), "purge").otherwise("none")
+    titled = F.when((op == "create") | (i % 2 == 0), F.concat(F.lit("Entry "), F.col("entry_id").cast("string"), F.lit(" of "), i.cast("string")))
+    content = F.concat(F.lit("## Head\nfirst line\nsecond "), i.cast("string"), F.lit("\n\nlast"))
+    log = rows.select("entry_id", "nth", op.alias("op"), titled.alias("title"), content.alias("content"), F.when(F.col("entry_id") % 3 == 0, "faq").otherwise("note").alias("subtype"))
+    blocks = entries.entry_blocks(F.col("content"), F.col("subtype"), F.col("title"))
+    return entries.entries_after(log).select("entry_id", "title", "status", F.size(blocks).alias("blocks"))
 
 
 @query("src09_manual_scan", t.with_("kb", body="SELECT doc_id, content_hash AS fingerprint FROM kb WHERE status = 'active' AND source = 'src3' ORDER BY doc_id LIMIT 25 OFFSET 5"))
