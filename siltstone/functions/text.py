@@ -191,6 +191,22 @@ def canonical_url(url: Column, own_host: str | None = None) -> Column:
     return F.substring(F.when(scheme == "", bare).otherwise(F.concat(scheme, F.lit("://"), host, rest)), 1, 2048)
 
 
+def ip_network(ip: Column) -> Column:
+    """The /24 of an IPv4 address, the /48 of an IPv6 address (short forms too), in lower case without leading zeros; null for what is neither."""
+    groups = F.split(F.lower(F.trim(ip)), ":")
+    head = F.split(F.split_part(F.lower(F.trim(ip)), F.lit("::"), F.lit(1)), ":")
+    named = F.filter(F.when(F.contains(ip, F.lit("::")), head).otherwise(groups), lambda g: g != "")
+    three = F.slice(F.concat(named, F.array_repeat(F.lit("0"), 3)), 1, 3)
+    wide = F.concat(F.array_join(F.transform(three, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"), F.lit("::"))
+    v4 = F.regexp_extract(F.trim(ip), r"^(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}$", 1)
+    return F.when(v4 != "", F.concat(v4, F.lit(".0"))).when(F.trim(ip).rlike("(?i)^[0-9a-f:]*:[0-9a-f:.]*$"), wide)
+
+
+def ip_hash(ip: Column, salt: Column) -> Column:
+    """SHA-256 of an address's network and the salt in force; with a new salt, old hashes match nothing any more."""
+    return F.sha2(F.concat(ip_network(ip), F.lit("|"), salt).cast("binary"), 256)
+
+
 def domain(host: Column) -> Column:
     """Lower case, without www. and whatever a host name cannot hold."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), r"^www\.", ""), r"[^a-z0-9.\-]", "")

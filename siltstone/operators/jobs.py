@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.schedule import cron_next_udf
+
 IDENTITY = ["hook", "grp", "args"]
 
 
@@ -50,13 +52,19 @@ def clean(queue: DataFrame, now, keep_days: int = 31, timeout_s: int = 300) -> D
 
 
 def next_runs(recurring: DataFrame, history: DataFrame, failures: int = 5) -> DataFrame:
-    """The next time of each recurring job, unless its latest ``failures`` runs all failed."""
+    """``hook``, ``next_at`` of each recurring job (``hook``, ``interval_s``, ``cron``), unless its latest ``failures`` runs all failed.
+
+    A job with a cron expression runs at the first minute after its last run that the expression allows, the others an interval after it.
+    """
     w = Window.partitionBy("hook").orderBy(F.desc("ran_at"), F.desc("run_id"))
     last = history.withColumn("r", F.row_number().over(w)).where(F.col("r") <= failures)
     failing = last.groupBy("hook").agg(F.count_if(~F.col("ok")).alias("f")).where(F.col("f") == failures)
     latest = history.groupBy("hook").agg(F.max("ran_at").alias("ran_at"))
-    return (
-        recurring.join(latest, "hook")
-        .join(failing, "hook", "left_anti")
-        .select("hook", (F.col("ran_at") + F.make_dt_interval(secs=F.col("interval_s").cast("decimal(18,6)"))).alias("next_at"))
-    )
+    by_interval = F.col("ran_at") + F.make_dt_interval(secs=F.col("interval_s").cast("decimal(18,6)"))
+    rows = recurring.join(latest, "hook").join(failing, "hook", "left_anti")
+    return rows.select("hook", F.when(F.col("cron").isNull(), by_interval).otherwise(cron_next_udf(F.col("cron"), F.col("ran_at"))).alias("next_at"))
+
+
+def pruned_logs(logs: DataFrame, queue: DataFrame) -> DataFrame:
+    """Log rows (``action_id``, ``logged_at``, ``message``) whose action is still in the queue."""
+    return logs.join(queue.select("action_id"), "action_id", "left_semi")

@@ -228,15 +228,16 @@ def src11b(s, d):
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-@query("src15_sse_events", "SELECT conv_id, count(*) AS events FROM conversations GROUP BY 1")
+@query("src15_sse_events", r"""
+SELECT conv_id, turn::BIGINT AS event, md5(role || chr(10) || regexp_replace(text, '[\r\n]+', ' ', 'g')) AS data FROM conversations""")
 def src15(s, d):
-    """Turns as a server-sent stream: two data lines, a comment and a blank line each."""
+    """Turns as a server-sent stream (two data lines, one of them ended by a carriage return, a comment and a blank line each), read back."""
     turn = F.col("turn").cast("long") * 4
     line = F.explode(F.array(
         F.struct((turn).alias("n"), F.concat(F.lit("data: "), "role").alias("line")), F.struct((turn + 1).alias("n"), F.concat(F.lit("data:"), F.regexp_replace("text", r"[\r\n]+", " "), F.lit("\r")).alias("line")),
         F.struct((turn + 2).alias("n"), F.lit(": keep-alive").alias("line")), F.struct((turn + 3).alias("n"), F.lit("").alias("line"))))
     lines = t.load(s, d, "conversations").select("conv_id", line.alias("l")).select(F.col("conv_id").alias("stream_id"), F.col("l.n").alias("line_no"), "l.line")
-    return files.sse_events(lines).groupBy(F.col("stream_id").alias("conv_id")).agg(F.count("*").alias("events"))
+    return files.sse_events(lines).select(F.col("stream_id").alias("conv_id"), F.col("event").cast("long").alias("event"), F.md5("data").alias("data"))
 
 
 @query("str17_redacted")
@@ -244,10 +245,15 @@ def str17(s, d):
     return t.load(s, d, "documents").select("doc_id", redaction.redact("text").alias("text"))
 
 
-@query("str19_redaction_modes", "SELECT doc_id, text AS unchanged FROM documents")
+@query("str19_redaction_modes", """
+WITH t AS (SELECT doc_id, 'mail a' || doc_id || '@site.io or call +39 055 ' || (100000 + doc_id) || ' in 2015' AS open, 'mail [email] or call [phone] in 2015' AS masked FROM documents)
+SELECT doc_id, open AS off_logs, masked AS logs_logs, open AS logs_before_ai, masked AS before_ai_logs, masked AS before_ai_before_ai FROM t""")
 def str19(s, d):
-    """Mode logs leaves what goes to a model."""
-    return t.load(s, d, "documents").select("doc_id", redaction.redact_for(F.col("text"), "logs", "before_ai").alias("unchanged"))
+    """What each mode masks where texts are logged and where they go to a model."""
+    i = F.col("doc_id")
+    text = F.concat(F.lit("mail a"), i.cast("string"), F.lit("@site.io or call +39 055 "), (i + 100000).cast("string"), F.lit(" in 2015"))
+    pairs = (("off", "logs"), ("logs", "logs"), ("logs", "before_ai"), ("before_ai", "logs"), ("before_ai", "before_ai"))
+    return t.load(s, d, "documents").select(i, *(redaction.redact_for(text, mode, site).alias(f"{mode}_{site}") for mode, site in pairs))
 
 
 @query("str20_fact_guard")

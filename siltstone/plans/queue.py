@@ -53,11 +53,15 @@ def job05(s, d):
     return j.clean(_queue(s, d), _at("2024-02-10")).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("job06_next_runs", t.with_("calls", body=", l AS (SELECT user_id, ok, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, call_id DESC) AS r FROM calls) SELECT user_id::VARCHAR AS hook, max(ts) + INTERVAL 3600 SECOND AS next_at FROM calls WHERE user_id NOT IN (SELECT user_id FROM l WHERE r <= 2 GROUP BY 1 HAVING count(*) FILTER (NOT ok) = 2) GROUP BY 1"))
+@query("job06_next_runs", t.with_("calls", body=""", l AS (SELECT user_id, NOT ok OR latency_ms > 3 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, call_id DESC) AS r FROM calls)
+SELECT user_id::VARCHAR AS hook, CASE WHEN user_id % 3 = 0 THEN time_bucket(INTERVAL 15 MINUTE, max(ts)) + INTERVAL 15 MINUTE ELSE max(ts) + INTERVAL 3600 SECOND END AS next_at
+FROM calls WHERE user_id NOT IN (SELECT user_id FROM l WHERE r <= 5 GROUP BY 1 HAVING count(*) FILTER (failed) = 5) GROUP BY user_id"""))
 def job06(s, d):
-    runs = t.inference_log(s, d).select(F.col("user_id").cast("string").alias("hook"), F.col("ts").alias("ran_at"), F.col("call_id").alias("run_id"), "ok")
-    jobs = runs.select("hook").distinct().withColumn("interval_s", F.lit(3600))
-    return j.next_runs(jobs, runs, failures=2)
+    """Jobs by the hour, every third one by the quarter of an hour of a cron expression; those whose five latest runs failed are left out."""
+    ok = F.col("ok") & (F.col("latency_ms") <= 3)
+    runs = t.inference_log(s, d).select(F.col("user_id").cast("string").alias("hook"), F.col("ts").alias("ran_at"), F.col("call_id").alias("run_id"), ok.alias("ok"))
+    cron = F.when(F.col("hook").cast("long") % 3 == 0, "*/15 * * * *")
+    return j.next_runs(runs.select("hook").distinct().withColumns({"interval_s": F.lit(3600), "cron": cron}), runs)
 
 
 @query("agg24_actions_by_status", f"WITH {_QUEUE} SELECT status, sum(n)::BIGINT AS n FROM (SELECT status, count(*) AS n FROM queue WHERE action_id % 2 = 0 GROUP BY 1 UNION ALL SELECT status, count(*) FROM queue WHERE action_id % 2 = 1 GROUP BY 1) GROUP BY 1")
@@ -80,11 +84,17 @@ def flt17(s, d):
     return _queue(s, d).where((F.col("grp") == "g3") & F.col("status").isin("pending", "failed") & (F.col("scheduled_at") < _at("2024-01-20")) & (k == 13)).select("action_id")
 
 
-@query("job07_log_pruned", f"WITH {_QUEUE} SELECT hook, count(*) AS logs FROM queue WHERE status <> 'complete' GROUP BY 1")
+@query("job07_log_pruned", f"""WITH {_QUEUE}, logs AS (SELECT action_id, 'created' AS message FROM queue UNION ALL SELECT action_id, 'started' FROM queue WHERE status <> 'pending' UNION ALL SELECT action_id, 'done' FROM queue WHERE status = 'complete'),
+kept AS (SELECT * FROM queue WHERE NOT (status = 'complete' AND date_diff('second', scheduled_at, TIMESTAMP '2024-02-10') > 31 * 86400))
+SELECT action_id, count(*) AS logs, string_agg(message, ',' ORDER BY message) AS messages FROM logs WHERE action_id IN (SELECT action_id FROM kept) GROUP BY 1""")
 def job07(s, d):
-    """Log rows of actions that were not deleted."""
+    """The log after the cleaner: rows of actions that it deletes go with them."""
     q = _queue(s, d)
-    return q.join(q.where("status = 'complete'").select("action_id"), "action_id", "left_anti").groupBy("hook").agg(F.count("*").alias("logs"))
+    events = F.explode(F.array_compact(F.array(F.lit("created"), F.when(F.col("status") != "pending", "started"), F.when(F.col("status") == "complete", "done")))).alias("message")
+    logs = q.select("action_id", F.col("scheduled_at").alias("logged_at"), events)
+    kept = j.clean(q, _at("2024-02-10")).where("action <> 'delete'")
+    left = j.pruned_logs(logs, kept)
+    return left.groupBy("action_id").agg(F.count("*").alias("logs"), F.array_join(F.array_sort(F.collect_list("message")), ",").alias("messages"))
 
 
 @query("top16_status_priority", f"WITH {_QUEUE} SELECT action_id, status FROM queue ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'failed' THEN 1 WHEN 'running' THEN 2 ELSE 3 END, scheduled_at > TIMESTAMP '2024-01-15', action_id LIMIT 50")

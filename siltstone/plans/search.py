@@ -286,15 +286,17 @@ def join04(spark, d):
     return v.missing_vectors(chunks, have, "m1")
 
 
-@query("agg26_score_threshold", t.with_("kb", body=f", {_QUERY_TERMS}, {_POSTINGS}, {_BM25}, tops AS (SELECT list_sort(list(score)) AS s FROM bm WHERE rank = 1) SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"))
+@query("agg26_score_threshold", t.with_("kb", body=f""", self AS (SELECT doc_id AS query_id, title AS text FROM kb WHERE status = 'active' AND title <> '' ORDER BY doc_id LIMIT 30),
+{words_sql("self")}, tops AS (SELECT list_sort(list(score)) AS s FROM res WHERE rank = 1)
+SELECT CASE WHEN len(s) >= 5 THEN round(greatest(0.05, least(1.5, s[floor(0.05 * (len(s) - 1))::INT + 1] * 0.5)), 6) END AS threshold FROM tops"""))
 def agg26(spark, d):
-    """Half the fifth percentile of the best scores, within [0.05, 1.5]; null for fewer than five. Scores are counted, not collected."""
-    hist = _bm25(spark, d).where("rank = 1").groupBy("score").agg(F.count("*").alias("c"))
-    w = r.Window.orderBy("score").rowsBetween(r.Window.unboundedPreceding, 0)
-    ranked = hist.withColumn("upto", F.sum("c").over(w)).crossJoin(hist.agg(F.sum("c").alias("n")))
-    at = F.min(F.when(F.col("upto") > F.floor(F.lit(0.05) * (F.col("n") - 1)), F.col("score")))
-    low = ranked.agg(at.alias("s"), F.max("n").alias("n"))
-    return low.select(F.when(F.col("n") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), F.col("s") * 0.5)), 6)).alias("threshold"))
+    """Half the fifth percentile of the best scores of thirty titles put to the whole search, within [0.05, 1.5]; null for fewer than five."""
+    titles = _visible(spark, d, _index(spark, d)).where("title <> ''").orderBy("doc_id").limit(30)
+    asked = saver(spark)(titles.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"), F.lit("en").alias("lang")))
+    best = F.array_sort(F.collect_list("score"))  # thirty at most
+    tops = search_words(spark, d, asked).where("rank = 1").agg(best.alias("s"))
+    at = F.get("s", F.floor(F.lit(0.05) * (F.size("s") - 1)).cast("int"))
+    return tops.select(F.when(F.size("s") >= 5, F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.5), at * 0.5)), 6)).alias("threshold"))
 
 
 @query("set01_query_terms", f"WITH {_QUERY_TERMS} SELECT query_id, count(*) AS n_terms, string_agg(term, ' ' ORDER BY term) AS terms FROM qt WHERE term NOT IN ('est', 'ing') GROUP BY 1")

@@ -253,8 +253,13 @@ def df13(s, d):
     return t.inference_log(s, d).where("NOT ok").groupBy("user_id").agg(n.alias("n"), F.least(F.lit(90), 40 + 10 * n).alias("importance"), F.when(n >= 5, "skip").otherwise("note").alias("lesson")).where("n >= 3")
 
 
-@query("df19_provider_chain", t.with_("calls", body=", p AS (SELECT provider, count(*) AS calls, count(*) FILTER (NOT ok) AS fails, sum(tokens_in) AS tokens FROM calls GROUP BY 1) SELECT provider, row_number() OVER (ORDER BY tokens, provider) AS position FROM p WHERE fails < 3 AND tokens < 1000000"))
+@query("df19_provider_chain", _BREAKER.replace("SELECT key, event_id, let_through FROM r WHERE n > 0", """
+, last AS (SELECT key, max_by(let_through, n) AS closed, max(n) AS calls FROM r WHERE n > 0 GROUP BY 1), p AS (SELECT user_id % 4 AS key, sum((props->>'$.k')::BIGINT) AS tokens FROM events GROUP BY 1)
+SELECT key, tokens, row_number() OVER (ORDER BY tokens, key) AS position FROM last JOIN p USING (key) WHERE closed AND tokens < 1000000000"""))
 def df19(s, d):
-    """Providers that are available, with a closed circuit, under their cap; cheapest first."""
-    p = t.inference_log(s, d).groupBy("provider").agg(F.count_if(~F.col("ok")).alias("fails"), F.sum("tokens_in").alias("tokens"))
-    return p.where("fails < 3 AND tokens < 1000000").select("provider", F.row_number().over(Window.orderBy("tokens", "provider")).cast("long").alias("position"))
+    """Providers whose circuit let the last call through and that are under their cap of tokens, the cheapest first: the order to try them in."""
+    order = F.struct("second", "event_id")
+    last = st.circuit(_calls(s, d).drop("ts")).groupBy("key").agg(F.max_by("let_through", order).alias("closed"))
+    used = t.inference_log(s, d).groupBy((F.col("user_id") % 4).alias("key")).agg(F.sum("tokens_in").alias("tokens"))
+    chain = last.join(used, "key").where(F.col("closed") & (F.col("tokens") < 1_000_000_000))
+    return chain.select("key", "tokens", F.row_number().over(Window.orderBy("tokens", "key")).cast("long").alias("position"))  # a row a provider

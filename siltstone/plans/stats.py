@@ -138,12 +138,17 @@ def top06(s, d):
     return a.deduplicated_questions(_questions(s, d)).select("hash", "hits", "last_seen").orderBy(F.desc("hits"), F.desc("last_seen"), "hash").limit(100)
 
 
-@query("agg20_recurring_errors", t.with_("calls", body="SELECT sha1('RuntimeException|' || provider || '|-|error n at /path for user n') AS fingerprint, user_id % 5 AS grp, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM calls WHERE NOT ok GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, grp LIMIT 100"))
+@query("agg20_recurring_errors", t.with_("calls", body=r""", m AS (SELECT *, (['Timeout after ' || call_id || ' s', 'File  /srv/x/' || call_id || ' is gone', 'Bad user ' || user_id])[call_id % 3 + 1] AS message FROM calls WHERE NOT ok),
+f AS (SELECT *, sha1('RuntimeException|' || provider || '|-|' || left(lower(regexp_replace(regexp_replace(regexp_replace(message, '[0-9]+', 'N', 'g'), '/\S+', '/PATH', 'g'), '\s+', ' ', 'g')), 160)) AS fingerprint FROM m)
+SELECT fingerprint, user_id % 5 AS grp, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, grp, fingerprint LIMIT 100"""))
 def agg20(s, d):
-    """Errors by fingerprint, three or more of them."""
-    message = F.concat(F.lit("Error "), F.col("call_id").cast("string"), F.lit(" at  /srv/x/"), F.col("call_id").cast("string"), F.lit(" for user "), F.col("user_id").cast("string"))
+    """Errors by fingerprint, three or more of them: messages that differ in numbers, paths and spaces alone are one."""
+    call = F.col("call_id").cast("string")
+    said = F.array(F.concat(F.lit("Timeout after "), call, F.lit(" s")), F.concat(F.lit("File  /srv/x/"), call, F.lit(" is gone")), F.concat(F.lit("Bad user "), F.col("user_id").cast("string")))
+    message = F.element_at(said, (F.col("call_id") % 3 + 1).cast("int"))
     errors = t.inference_log(s, d).where("NOT ok").withColumn("fingerprint", x.error_fingerprint(F.lit("RuntimeException"), F.col("provider"), F.lit(None).cast("string"), message))
-    return errors.groupBy("fingerprint", (F.col("user_id") % 5).alias("grp")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).where("n >= 3").orderBy(F.desc("n"), "grp").limit(100)
+    found = errors.groupBy("fingerprint", (F.col("user_id") % 5).alias("grp")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return found.where("n >= 3").orderBy(F.desc("n"), "grp", "fingerprint").limit(100)
 
 
 @query("agg21_telemetry", t.with_("calls", body="SELECT fp, n FROM (SELECT substr(sha1(provider || '-' || (user_id % 30)), 1, 12) AS fp, count(*) AS n, min(call_id) AS first FROM calls GROUP BY 1 ORDER BY first LIMIT 50)"))
@@ -212,11 +217,11 @@ def win07(s, d):
     return a.failure_streaks(t.inference_log(s, d), "user_id", ["ts", "call_id"])
 
 
-@query("win08_failing_latest", t.with_("calls", body="SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, call_id DESC) AS r FROM calls) WHERE r <= 2 GROUP BY 1 HAVING count(*) FILTER (NOT ok) = 2"))
+@query("win08_failing_latest", t.with_("calls", body="SELECT user_id FROM (SELECT *, NOT ok OR latency_ms > 3 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, call_id DESC) AS r FROM calls) WHERE r <= 5 GROUP BY 1 HAVING count(*) FILTER (failed) = 5"))
 def win08(s, d):
-    """Users whose two latest calls both failed."""
-    last = a.top_rows(t.inference_log(s, d), ["user_id"], [F.desc("ts"), F.desc("call_id")], 2)
-    return last.groupBy("user_id").agg(F.count_if(~F.col("ok")).alias("f")).where("f = 2").select("user_id")
+    """Users whose five latest calls all failed; a slow one counts as failed."""
+    last = a.top_rows(t.inference_log(s, d), ["user_id"], [F.desc("ts"), F.desc("call_id")], 5)
+    return last.groupBy("user_id").agg(F.count_if(~F.col("ok") | (F.col("latency_ms") > 3)).alias("f")).where("f = 5").select("user_id")
 
 
 @query("win09_cadence", t.with_("kb", body="""SELECT source, count(*) AS n, max(r) AS ranked, date_diff('minute', min(indexed_at), max(indexed_at)) AS span_minutes FROM (

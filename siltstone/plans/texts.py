@@ -51,9 +51,16 @@ def str13(s, d):
     return t.messages(s, d).select("msg_id", x.error_fingerprint(F.lit("E"), F.col("role"), F.lit(None).cast("string"), F.col("text")).alias("fingerprint"))
 
 
-@query("str15_canonical_url", "SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages")
+@query("str15_canonical_url", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://kb.example.com/Path/' || page_id || '?Q=A' WHEN 1 THEN 'http://other.example.com/P' WHEN 2 THEN '/relative/' || page_id ELSE regexp_replace(url, '#.*$', '') END AS url FROM pages""")
 def str15(s, d):
-    return t.load(s, d, "pages").select("page_id", x.canonical_url(F.col("url")).alias("url"))
+    """Addresses in capitals, of the own host by http, relative ones, and the pages' own, all with fragments."""
+    i = F.col("page_id")
+    said = (
+        F.when(i % 4 == 0, F.concat(F.lit("  HTTP://KB.Example.COM/Path/"), i.cast("string"), F.lit("?Q=A#top")))
+        .when(i % 4 == 1, F.lit("HTTP://Other.example.com/P#a#b")).when(i % 4 == 2, F.concat(F.lit("/relative/"), i.cast("string"), F.lit("#x"))).otherwise(F.col("url"))
+    )
+    return t.load(s, d, "pages").select(i, x.canonical_url(said, "kb.example.com").alias("url"))
 
 
 @query("str16_domain", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages".replace("\\\\", "\\"))
@@ -136,14 +143,17 @@ def prj01(s, d):
     return t.load(s, d, "documents").select("doc_id", F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("…"))).otherwise(F.col("text")).alias("content"))
 
 
-@query("str18_luhn_iban", "SELECT doc_id, doc_id % 10 = 0 AS valid FROM documents")
+@query("str18_luhn_iban", """
+WITH n AS (SELECT doc_id, (4000000000000000 + doc_id * 7919)::VARCHAR AS card, 'GB' || lpad((doc_id % 97 + 1)::VARCHAR, 2, '0') || ' WEST ' || lpad((doc_id * 31)::VARCHAR, 14, '1') AS code,
+  (32142829::HUGEINT * 100000000000000 + lpad((doc_id * 31)::VARCHAR, 14, '1')::HUGEINT) * 1000000 + 161100 + doc_id % 97 + 1 AS number FROM documents),
+d AS (SELECT *, list_transform(range(1, 17), lambda i: card[i]::INT * (1 + i % 2)) AS doubled FROM n)
+SELECT doc_id, list_sum(list_transform(doubled, lambda v: CASE WHEN v > 9 THEN v - 9 ELSE v END)) % 10 = 0 AS card, number % 97 = 1 AS iban FROM d""")
 def str18(s, d):
-    """Check digits: ten candidates per number, of which one is right."""
-    base = F.lpad(F.col("doc_id").cast("string"), 15, "4")
-    digits = F.concat(F.substring(F.lpad((F.col("doc_id") - F.col("doc_id") % 10).cast("string"), 15, "4"), 1, 15))
-    ok = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: x.luhn(F.concat(digits, c.cast("string"))))
-    right = F.size(ok) == 1
-    return t.load(s, d, "documents").select("doc_id", (right & (F.col("doc_id") % 10 == 0) & base.isNotNull()).alias("valid"))
+    """Card numbers by their check digit, and account numbers by their remainder: one of ten, and one of 97, is right."""
+    i = F.col("doc_id")
+    card = (F.lit(4000000000000000) + i * 7919).cast("string")
+    code = F.concat(F.lit("GB"), F.lpad((i % 97 + 1).cast("string"), 2, "0"), F.lit(" WEST "), F.lpad((i * 31).cast("string"), 14, "1"))
+    return t.load(s, d, "documents").select(i, x.luhn(card).alias("card"), x.iban(code).alias("iban"))
 
 
 @query("hsh01_hashes", "SELECT doc_id, sha1(lang || '|' || text) AS chunk_hash, sha256(text) AS text_hash, md5(text) AS cache_key FROM documents")
@@ -151,12 +161,18 @@ def hsh01(s, d):
     return t.load(s, d, "documents").select("doc_id", F.sha1(F.concat_ws("|", "lang", "text").cast("binary")).alias("chunk_hash"), F.sha2("text", 256).alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("cache_key"))
 
 
-@query("hsh02_ip_hash", "SELECT user_id, sha256('10.0.' || user_id % 7 || '.0|salt') AS ip_hash, count(*) AS n FROM events GROUP BY 1, 2")
+@query("hsh02_ip_hash", """
+SELECT event_id, sha256(CASE event_id % 3 WHEN 0 THEN '10.0.' || user_id % 7 || '.0' WHEN 1 THEN '2001:db8:' || user_id % 7 || '::' ELSE '2001:db8:0::' END || '|salt|' || strftime(ts, '%Y-%m-%d')) AS ip_hash FROM events""")
 def hsh02(s, d):
-    """Addresses cut to /24 and salted before they are hashed."""
-    ip = F.concat(F.lit("10.0."), (F.col("user_id") % 7).cast("string"), F.lit("."), (F.col("user_id") % 250).cast("string"))
-    cut = F.regexp_replace(ip, r"\.\d+$", ".0")
-    return t.load(s, d, "events").groupBy("user_id", F.sha2(F.concat(cut, F.lit("|salt")), 256).alias("ip_hash")).agg(F.count("*").alias("n"))
+    """Addresses cut to /24 or /48 and salted, a salt a day, before they are hashed: IPv4, whole IPv6, short IPv6."""
+    i, u = F.col("event_id"), F.col("user_id")
+    group = (u % 7).cast("string")
+    ip = (
+        F.when(i % 3 == 0, F.concat(F.lit("10.0."), group, F.lit("."), (u % 250).cast("string")))
+        .when(i % 3 == 1, F.concat(F.lit("2001:0DB8:"), F.lpad(group, 4, "0"), F.lit(":1:2:3:4:"), F.hex(u))).otherwise(F.concat(F.lit("2001:db8::"), F.hex(u)))
+    )
+    salt = F.concat(F.lit("salt|"), F.date_format("ts", "yyyy-MM-dd"))
+    return t.load(s, d, "events").select(i, x.ip_hash(ip, salt).alias("ip_hash"))
 
 
 @query("mth08_luminance", "SELECT doc_id, round(0.2126 * CASE WHEN r <= 0.03928 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END + 0.7152 * CASE WHEN g <= 0.03928 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END + 0.0722 * CASE WHEN b <= 0.03928 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END, 6) AS luminance FROM (SELECT doc_id, (doc_id % 256) / 255.0::DOUBLE AS r, (doc_id * 7 % 256) / 255.0::DOUBLE AS g, (doc_id * 13 % 256) / 255.0::DOUBLE AS b FROM documents)")
