@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,32 @@ def tombstone(documents: DataFrame, marked: DataFrame) -> DataFrame:
 def retained(rows: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """Rows that are not older than ``days`` at ``as_of``."""
     return rows.where(F.col(ts) >= as_of - F.make_dt_interval(days=F.lit(days)))
+
+
+def retention(tables: dict[str, tuple[DataFrame, str, int]], as_of) -> DataFrame:
+    """``name``, ``kept``, ``dropped`` of each table (rows, time column, days): what ``retained`` leaves of it. Rows without a time are kept."""
+
+    def counted(name: str, rows: DataFrame, ts: str, days: int) -> DataFrame:
+        old = F.coalesce(F.col(ts) < as_of - F.make_dt_interval(days=F.lit(days)), F.lit(False))
+        return rows.agg(F.lit(name).alias("name"), F.count_if(~old).alias("kept"), F.count_if(old).alias("dropped"))
+
+    return reduce(DataFrame.unionByName, [counted(name, *of) for name, of in tables.items()])
+
+
+def erased(tables: dict[str, tuple[DataFrame, str]], persons: DataFrame, blank: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Tables (rows, column of the person) without what ``persons`` (``person``) left in them.
+
+    In a table that ``blank`` names, the person's rows stay, for the counts that rest on them: texts of the listed columns become ``[erased]`` and the person null. In
+    the others their rows go. A null person is nobody's; persons may be many and are joined, not collected.
+    """
+    who = persons.select(F.col("person").alias("__person")).where(F.col("__person").isNotNull()).distinct()
+    out = {}
+    for name, (rows, key) in tables.items():
+        if name not in blank:
+            out[name] = rows.join(who, F.col(key) == F.col("__person"), "left_anti")
+            continue
+        hit = rows.join(who, F.col(key) == F.col("__person"), "left")
+        mine = F.col("__person").isNotNull()
+        changed = {c: F.when(mine & F.col(c).isNotNull(), "[erased]").otherwise(F.col(c)) for c in blank[name]} | {key: F.when(~mine, F.col(key))}
+        out[name] = hit.withColumns(changed).drop("__person")
+    return out

@@ -39,9 +39,10 @@ def df08(s, d):
     return g.related(g.cocitation(t.links(s, d), _all(s, d)), t.kb_documents(s, d), _all(s, d))
 
 
-@query("join08_orphans", t.with_("kb", "links", body="SELECT doc_id, title FROM kb WHERE status = 'active' AND doc_id NOT IN (SELECT to_doc FROM links WHERE to_doc <> from_doc)"))
+@query("join08_orphans", t.with_("kb", "links", body="SELECT doc_id, title FROM kb WHERE status = 'active' AND doc_id NOT IN (SELECT to_doc FROM links WHERE to_doc <> from_doc AND n >= 7)"))
 def join08(s, d):
-    return g.orphans(t.kb_documents(s, d), t.links(s, d)).select("doc_id", "title")
+    """Documents that no seventh line of an order names."""
+    return g.orphans(t.kb_documents(s, d), t.links(s, d).where("n >= 7")).select("doc_id", "title")
 
 
 def _urls(s, d):
@@ -120,3 +121,25 @@ def agg12(s, d):
 def df09(s, d):
     return g.resolve(_urls(s, d), t.kb_documents(s, d)).agg(
         F.count("*").alias("links"), F.count_if(F.col("to_doc") > 0).alias("resolved"), F.count_if(F.col("to_doc") == 0).alias("unresolved"), F.countDistinct("url").alias("urls"))
+
+
+@query("df11_health", t.with_("kb", "links", body=f""", {_URLS}, r AS (SELECT url, coalesce(a.doc_id, b.doc_id, 0) AS to_doc FROM urls LEFT JOIN kb a ON a.permalink = url LEFT JOIN kb b ON b.permalink = CASE WHEN url LIKE '%/' THEN rtrim(url, '/') ELSE url || '/' END)
+SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'active' AND modified_at > indexed_at) AS stale,
+  count(*) FILTER (status = 'active' AND doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vectors, (SELECT count(*) FROM r WHERE to_doc = 0) AS broken_links,
+  count(*) FILTER (status = 'active' AND doc_id NOT IN (SELECT to_doc FROM links WHERE to_doc <> from_doc AND n >= 7)) AS orphans,
+  count(*) FILTER (status = 'active' AND token_est < 50) AS thin,
+  round(100.0 * count(*) FILTER (status = 'active') / greatest(count(*), 1), 1)::DOUBLE AS coverage FROM kb"""))
+def df11(s, d):
+    """The base's health in one row: what is stale, failed, thin, orphaned, without a vector, linked to nowhere."""
+    kb = t.kb_documents(s, d).select("doc_id", "status", "modified_at", "indexed_at", "token_est")
+    active = F.col("status") == "active"
+    have = t.load(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct().withColumn("has_vector", F.lit(True))
+    linked = t.links(s, d).where("n >= 7 AND to_doc <> from_doc").select(F.col("to_doc").alias("doc_id")).distinct().withColumn("is_linked", F.lit(True))
+    rows = kb.join(have, "doc_id", "left").join(linked, "doc_id", "left")
+    counts = rows.agg(
+        F.count_if(active).alias("active"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(active & (F.col("modified_at") > F.col("indexed_at"))).alias("stale"),
+        F.count_if(active & F.col("has_vector").isNull()).alias("without_vectors"), F.count_if(active & F.col("is_linked").isNull()).alias("orphans"),
+        F.count_if(active & (F.col("token_est") < 50)).alias("thin"), F.round(F.lit(100.0) * F.count_if(active) / F.greatest(F.count("*"), F.lit(1)), 1).alias("coverage"),
+    )
+    broken = g.resolve(_urls(s, d), t.kb_documents(s, d)).agg(F.count_if(F.col("to_doc") == 0).alias("broken_links"))
+    return counts.crossJoin(broken)  # one row each

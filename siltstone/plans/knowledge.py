@@ -49,10 +49,12 @@ def flt06(s, d):
     return t.messages(s, d).where(F.to_date("created_at") == F.lit("2024-01-05").cast("date")).select("msg_id")
 
 
-@query("flt07_last_days", t.with_("messages", body="SELECT msg_id FROM messages WHERE created_at >= DATE '2024-01-20' - INTERVAL 7 DAY"))
-def flt07(s, d, as_of: str = "2024-01-20", days: int = 7):
-    """The last ``days`` days (one at least) before ``as_of``, and later ones."""
-    return t.messages(s, d).where(F.col("created_at") >= F.date_sub(F.lit(as_of).cast("date"), max(1, days))).select("msg_id")
+@query("flt07_last_days", t.with_("messages", body="SELECT msg_id FROM messages WHERE created_at >= (SELECT max(created_at)::DATE FROM messages) - INTERVAL 2 DAY"))
+def flt07(s, d, days: int = 2):
+    """The last ``days`` days (one at least) before the log's last day, and that day."""
+    m = t.messages(s, d)
+    last = m.agg(F.to_date(F.max("created_at")).alias("day")).first()["day"]
+    return m.where(F.col("created_at") >= F.date_sub(F.lit(last), max(1, days))).select("msg_id")
 
 
 @query("flt09_stale", t.with_("kb", body="SELECT doc_id, modified_at FROM kb WHERE status = 'active' AND modified_at IS NOT NULL AND modified_at > indexed_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..operators import lifecycle as life
+from . import search
 from .registry import query
 
 _STORE = """
@@ -51,11 +52,16 @@ def df04(s, d):
     return life.reconcile(enumerated, stored, F.lit("2024-01-01 08:00:00").cast("timestamp_ntz"))
 
 
-@query("snk04_delete_documents", t.with_("kb", "links", body="SELECT 'documents' AS name, count(*) AS n FROM kb WHERE status <> 'error' UNION ALL SELECT 'links', count(*) FROM links WHERE from_doc NOT IN (SELECT doc_id FROM kb WHERE status = 'error')"))
+@query("snk04_delete_documents", t.with_("kb", "links", body=f""", {search._POSTINGS}, gone AS (SELECT doc_id FROM kb WHERE status = 'error')
+SELECT 'documents' AS name, count(*) AS n FROM kb WHERE status <> 'error' UNION ALL SELECT 'links', count(*) FROM links WHERE from_doc NOT IN (FROM gone)
+UNION ALL SELECT 'chunks', count(*) FROM kb WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'terms', count(*) FROM post WHERE chunk_id NOT IN (FROM gone)"""))
 def snk04(s, d):
-    kb = t.kb_documents(s, d)
-    left = life.delete_documents({"documents": kb, "links": t.links(s, d)}, kb.where("status = 'error'"))
-    return left["documents"].agg(F.lit("documents").alias("name"), F.count("*").alias("n")).unionByName(left["links"].agg(F.lit("links").alias("name"), F.count("*").alias("n")))
+    """Rows of documents, chunks, terms and links that are left when failed documents are deleted."""
+    kb, index = t.kb_documents(s, d), search._index(s, d)
+    tables = {"documents": kb, "links": t.links(s, d), "chunks": index.chunks(), "terms": index.postings()}
+    left = life.delete_documents(tables, kb.where("status = 'error'"))
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 @query("snk05_tombstones", t.with_("kb", body="SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND source <> 'src3' THEN 'excluded' ELSE status END AS status FROM kb"))
@@ -72,23 +78,49 @@ def snk06(s, d):
     return kb.join(batch.select("doc_id"), "doc_id", "left_anti")
 
 
-@query("flt08_retention", t.with_("messages", body="SELECT msg_id, created_at FROM messages WHERE created_at >= TIMESTAMP '2024-02-01' - INTERVAL 28 DAY"))
+_LAST = "(SELECT max(created_at) FROM messages)"
+
+
+def _last(s, d):
+    """When the last message came."""
+    return F.lit(t.messages(s, d).agg(F.max("created_at").alias("at")).first()["at"])
+
+
+@query("flt08_retention", t.with_("messages", body=f"SELECT msg_id, created_at FROM messages WHERE created_at >= {_LAST} - INTERVAL 2 DAY"))
 def flt08(s, d):
-    return life.retained(t.messages(s, d), "created_at", F.lit("2024-02-01").cast("timestamp_ntz"), 28).select("msg_id", "created_at")
+    """Messages of the last two days of the log."""
+    return life.retained(t.messages(s, d), "created_at", _last(s, d), 2).select("msg_id", "created_at")
 
 
-@query("df12_dsar_export", t.with_("messages", body="SELECT session, conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, msg_id) AS transcript FROM messages WHERE session IN ('s1', 's2', 's3') GROUP BY 1, 2"))
+@query("df12_dsar_export", t.with_("messages", body="SELECT session, conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, msg_id) AS transcript FROM messages GROUP BY 1, 2"))
 def df12(s, d):
-    """Transcripts of the conversations of a few persons."""
+    """Transcripts of every person's conversations; a conversation is one row's list."""
     line = F.struct("turn", "msg_id", F.concat_ws(": ", "role", "text").alias("line"))
-    rows = t.messages(s, d).where(F.col("session").isin("s1", "s2", "s3")).groupBy("session", "conv_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    rows = t.messages(s, d).groupBy("session", "conv_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
     return rows.select("session", "conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"))
 
 
-@query("df12b_dsar_erase", t.with_("messages", body="SELECT msg_id, CASE WHEN session = 's1' THEN '[erased]' ELSE text END AS text, CASE WHEN session = 's1' THEN NULL ELSE session END AS session FROM messages"))
+@query("df12b_dsar_erase", t.with_("messages", "calls", body=""", who AS (SELECT DISTINCT session FROM messages WHERE conv_id % 3 = 0),
+m AS (SELECT msg_id, session IN (FROM who) AS mine, text FROM messages), c AS (SELECT call_id FROM calls WHERE 's' || user_id % 40 NOT IN (FROM who)),
+v AS (SELECT conv_id, session FROM messages GROUP BY 1, 2)
+SELECT 'messages' AS name, count(*) AS n, count(*) FILTER (mine) AS erased, md5(string_agg(CASE WHEN mine THEN '[erased]' ELSE text END, '|' ORDER BY msg_id)) AS digest FROM m
+UNION ALL SELECT 'calls', count(*), 0, md5(string_agg(call_id::VARCHAR, '|' ORDER BY call_id)) FROM c
+UNION ALL SELECT 'conversations', count(*), 0, md5(string_agg(conv_id::VARCHAR, '|' ORDER BY conv_id)) FROM v WHERE session NOT IN (FROM who)"""))
 def df12b(s, d):
-    mine = F.col("session") == "s1"
-    return t.messages(s, d).select("msg_id", F.when(mine, "[erased]").otherwise(F.col("text")).alias("text"), F.when(~mine, F.col("session")).alias("session"))
+    """What is left of messages (blanked), calls and conversations (deleted) of the persons who asked for it, as digests of the tables."""
+    m = t.messages(s, d)
+    calls = t.inference_log(s, d).select("call_id", F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("person"))
+    tables = {"messages": (m.select("msg_id", "session", "text"), "session"), "calls": (calls, "person"), "conversations": (m.select("conv_id", "session").distinct(), "session")}
+    left = life.erased(tables, m.where("conv_id % 3 = 0").select(F.col("session").alias("person")), {"messages": ["text"]})
+
+    def digest(name, key, said, erased):
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, said.alias("said")))), lambda x: x["said"]), "|")  # the report's digest
+        return left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), erased.alias("erased"), F.md5(whole).alias("digest"))
+
+    none = F.lit(0).cast("long")
+    parts = [digest("messages", "msg_id", F.col("text"), F.count_if(F.col("session").isNull())), digest("calls", "call_id", F.col("call_id").cast("string"), none),
+             digest("conversations", "conv_id", F.col("conv_id").cast("string"), none)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("df14_purge_on_disable", t.with_("kb", body="SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'purging' ELSE status END AS status FROM kb"))
@@ -100,9 +132,19 @@ def df14(s, d):
     return t.kb_documents(s, d).join(F.broadcast(off), "source", "left").select("doc_id", F.when(F.col("off"), "purging").otherwise(F.col("status")).alias("status"))
 
 
-@query("df15_prune", t.with_("calls", body="SELECT provider, count(*) AS kept FROM calls WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY GROUP BY 1"))
+_LIMITS = {"messages": ("created_at", 3), "conversations": ("created_at", 2), "calls": ("ts", 20), "telemetry": ("ts", 10), "documents": ("indexed_at", 1), "queue": ("ts", 31)}
+
+
+@query("df15_prune", t.with_("messages", "calls", "kb", body=""", now_ AS (SELECT TIMESTAMP '2024-01-31' AS now), rows_ AS (
+  SELECT 'messages' AS name, created_at AS ts, 3 AS days FROM messages UNION ALL SELECT 'conversations', max(created_at), 2 FROM messages GROUP BY conv_id UNION ALL SELECT 'calls', ts, 20 FROM calls
+  UNION ALL SELECT 'telemetry', ts, 10 FROM calls WHERE NOT ok UNION ALL SELECT 'documents', indexed_at, 1 FROM kb WHERE status <> 'active' UNION ALL SELECT 'queue', ts, 31 FROM calls)
+SELECT name, count(*) FILTER (ts >= now - to_days(days)) AS kept, count(*) FILTER (ts < now - to_days(days)) AS dropped FROM rows_, now_ GROUP BY 1"""))
 def df15(s, d):
-    return life.retained(t.inference_log(s, d), "ts", F.lit("2024-02-01").cast("timestamp_ntz"), 20).groupBy("provider").agg(F.count("*").alias("kept"))
+    """What the pruner keeps and drops of six tables, each with its own number of days."""
+    m, calls = t.messages(s, d), t.inference_log(s, d)
+    rows = {"messages": m, "conversations": m.groupBy("conv_id").agg(F.max("created_at").alias("created_at")), "calls": calls, "telemetry": calls.where("NOT ok"),
+            "documents": t.kb_documents(s, d).where("status <> 'active'").select("indexed_at"), "queue": calls}
+    return life.retention({name: (rows[name], *_LIMITS[name]) for name in rows}, F.lit("2024-01-31").cast("timestamp_ntz"))
 
 
 @query("join05_orphan_vectors", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
