@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch of rows on its way between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold ``BATCH_BYTES`` at most: several are held at once, by Spark and by the worker, and each worker keeps its largest."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a rerun."""
 
@@ -32,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siltstone/{what}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back."""

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import small_batches
+
 #: Words of a passage.
 PASSAGE = 64
 #: Labelled documents a class that are fitted on at most (the training sample's bound).
@@ -162,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     texts lie and gathered to the driver. Labels without a document, null labels, null ids and ids with labels of both classes teach nothing. With one class or
     none, the model stays as it was initialised.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where((fold("l_id") != 0) & F.col("quality").isin(0, 1)).groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     known = known.where("quality = most").drop("most")
@@ -191,6 +194,7 @@ def score(docs: DataFrame, model: AttentionMil, text_col: str = "text", out: str
     Null and empty texts are a bag with one passage of zeros. Rows are scored each by itself from their text
     alone; all columns pass through, whatever they are called.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != out]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
