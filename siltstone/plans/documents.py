@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import redaction, schedule
-from ..operators import chunks
+from ..functions import text as x
+from ..operators import chunks, indexing
+from ..operators.postings_index import PostingsIndex
+from ..scratch import new_folder, saver
 from ..sources import builder, crawl, entries, files, html, menus
 from ..streaming import state as st
 from .registry import query
@@ -57,10 +60,20 @@ def str07(s, d):
 
 @query("df01_index_items")
 def df01(s, d):
-    """Pages to chunks; pages without chunks are deleted."""
-    counts = _chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_est").alias("tokens"))
-    pages = t.load(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.sha1(F.col("html").cast("binary")).alias("fingerprint"))
-    return pages.join(counts, "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.when(F.col("chunks").isNull(), "delete").otherwise("upsert").alias("action"))
+    """Pages indexed in two runs: all of them, and then with a fifth changed, some gone and a kind switched off. What the second run did with each, and its chunks."""
+    save, i = saver(s, "indexing"), F.col("doc_id")
+    heading = F.get(F.transform(F.filter("blocks", lambda b: b["kind"] == "heading"), lambda b: b["text"]), F.lit(0))
+    prints = t.load(s, d, "pages").select(F.col("page_id").alias("of"), F.sha1(F.col("html").cast("binary")).alias("fingerprint"))
+    pages = _pages(s, d).join(prints, F.col("page_id") == F.col("of")).select(
+        F.col("page_id").alias("doc_id"), F.concat(F.lit("kind"), (F.col("page_id") % 3).cast("string")).alias("subtype"), F.lit("en").alias("lang"), "fingerprint",
+        F.coalesce(heading, F.lit("")).alias("title"), "blocks", F.lit(None).cast("string").alias("structured"))
+    pages = save(pages)
+    kinds = pages.select("subtype").distinct()
+    index = PostingsIndex(s, new_folder(s, "pages-index"), x.index_words, x.stem, buckets=16, stored=("heading_path", "kind"))
+    _, stored, _ = indexing.index_items(index, pages, s.createDataFrame([], indexing.STORED), kinds, save)
+    changed = F.when(i % 5 == 0, F.concat("fingerprint", F.lit("+"))).otherwise(F.col("fingerprint"))
+    done, _, _ = indexing.index_items(index, pages.where(i % 11 != 0).withColumn("fingerprint", changed), stored, kinds.where("subtype <> 'kind2'"), save)
+    return done.select("doc_id", "action", "chunks")
 
 
 _MENU_SQL = """
