@@ -11,7 +11,7 @@ from ..functions import text as x
 from ..operators import chunks, indexing
 from ..operators.postings_index import PostingsIndex
 from ..scratch import new_folder, saver
-from ..sources import builder, crawl, entries, files, html, menus
+from ..sources import builder, crawl, entries, files, html, menus, posts
 from ..streaming import state as st
 from .registry import query
 
@@ -33,10 +33,20 @@ def src04(s, d):
 
 @query("src03_page_documents")
 def src03(s, d):
-    """Pages as documents: title from the first heading, text of all blocks, the chunk count."""
-    p = _pages(s, d)
-    heading = F.filter("blocks", lambda b: b["kind"] == "heading")
-    return p.select("page_id", F.get(F.transform(heading, lambda b: b["text"]), F.lit(0)).alias("title"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"), F.size("links").alias("n_links"))
+    """Published pages and posts as documents: builder tree or HTML, excerpt, terms, chosen fields; every 13th is a draft, every fourth made by a builder."""
+    i = F.col("page_id")
+    pages = t.load(s, d, "pages")
+    words = F.lit("This page was made by a builder, and it is number ")
+    tree = F.when(i % 4 == 0, F.to_json(F.struct(F.array(F.struct(F.concat(words, i.cast("string")).alias("title"))).alias("elements"))))
+    rows = pages.select(
+        i.alias("doc_id"), F.when(i % 13 == 0, "draft").otherwise("publish").alias("status"), F.when(i % 2 == 0, "page").otherwise("post").alias("kind"), F.concat(F.lit("Page "), i.cast("string")).alias("title"),
+        F.when(i % 3 == 0, F.concat(F.lit("In short: "), i.cast("string"))).alias("excerpt"), "html", tree.alias("tree"), F.lit(0).alias("thumbnail_id"))
+    terms = pages.where(i % 5 != 0).select(i.alias("doc_id"), F.lit("site").alias("taxonomy"), F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("name"))
+    meta = pages.select(i.alias("doc_id"), F.lit("price").alias("field"), (i % 100).cast("string").alias("value")).unionByName(pages.select(i.alias("doc_id"), F.lit("secret").alias("field"), F.lit("x").alias("value")))
+    no_templates = s.createDataFrame([], "tree_id long, tree string")
+    made = posts.post_documents(rows, terms, meta, no_templates, fields=("price",), home="https://kb.example.com")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return made.select("doc_id", "subtype", "title", text.alias("text"), F.size("blocks").alias("blocks"), F.size("links").alias("n_links"), "structured", "thumbnail_id", "weight")
 
 
 def _chunks(s, d):
