@@ -40,7 +40,8 @@ def finish(queue: DataFrame, results: DataFrame) -> DataFrame:
 
 def clean(queue: DataFrame, now, keep_days: int = 31, timeout_s: int = 300) -> DataFrame:
     """What the cleaner does to each row: delete (old and done; failed ones after three times as long), reset or fail (stuck), keep."""
-    age = F.timestamp_diff("SECOND", F.col("scheduled_at"), now)
+    second = lambda at: F.date_trunc("SECOND", at).cast("timestamp_ntz")  # noqa: E731  ages are differences of whole seconds, as a store of seconds has them
+    age = F.timestamp_diff("SECOND", second(F.col("scheduled_at")), second(now))
     action = (
         F.when(F.col("status").isin("complete", "canceled") & (age > keep_days * 86400), "delete")
         .when((F.col("status") == "failed") & (age > 3 * keep_days * 86400), "delete")
