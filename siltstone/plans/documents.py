@@ -79,7 +79,7 @@ def df01(s, d):
         F.coalesce(heading, F.lit("")).alias("title"), "blocks", F.lit(None).cast("string").alias("structured"))
     pages = save(pages)
     kinds = pages.select("subtype").distinct()
-    index = PostingsIndex(s, new_folder(s, "pages-index"), x.index_words, x.stem, buckets=16, stored=("heading_path", "kind"))
+    index = PostingsIndex(s, new_folder(s, "pages-index"), x.index_words, x.stem, buckets=16, stored=("heading_path", "kind"), counts=x.TermCounts)
     _, stored, _ = indexing.index_items(index, pages, s.createDataFrame([], indexing.STORED), kinds, save)
     changed = F.when(i % 5 == 0, F.concat("fingerprint", F.lit("+"))).otherwise(F.col("fingerprint"))
     done, _, _ = indexing.index_items(index, pages.where(i % 11 != 0).withColumn("fingerprint", changed), stored, kinds.where("subtype <> 'kind2'"), save)
