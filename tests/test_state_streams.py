@@ -199,3 +199,22 @@ def test_replays_of_text_keys(spark):
     rows = [("s:1", 100.0, 1), ("s:1", 130.0, 2), ("s:2", 131.0, 3), ("t:1", 131.0, 4), ("s:1", 160.0, 5), ("s:1", 500.0, 6)]
     got = streamed(spark, rows, "key string, second double, event_id long", 2, lambda stream: processors.limited_stream(stream, 60.0, 1))
     assert {r.event_id for r in got if not r.allowed} == {2}
+
+
+def test_limits_of_many_keys_are_kept_by_group(spark):
+    rng, rows, second = random.Random(9), [], 0.0
+    for i in range(3000):
+        second += rng.choice([0, 0, 1, 2])
+        rows.append((rng.choice([None, 9_007_199_254_740_993, *range(700)]), second, i))
+    schema = "key long, second double, event_id long"
+    plans = []
+
+    def make(stream):
+        out = processors.limited_stream(stream, 400.0, 1)
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    got = {r.event_id: (r.key, r.allowed) for r in streamed(spark, rows, schema, 3, make)}
+    want = {r.event_id: (r.key, r.allowed) for r in st.limited(spark.createDataFrame(rows, schema), 400.0, 1).collect()}
+    assert got == want and 100 < sum(not a for _, a in want.values())
+    assert "__group" in plans[0]  # calls and reads of the state by group, not by key
