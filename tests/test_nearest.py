@@ -93,7 +93,7 @@ def test_lists_are_merged_for_all_queries_at_once(monkeypatch):
     assert len(calls) == 4 * 3  # one for each three queries and slice of rows, not one a query
 
 
-@pytest.mark.parametrize("name", ["set04_list_union"])
+@pytest.mark.parametrize("name", ["set04_list_union", "win01_list_ranks"])
 def test_both_lists_come_from_one_search(spark, name):
     found = queries()[name](spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
