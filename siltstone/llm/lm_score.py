@@ -6,19 +6,22 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import Chunks, pack, range_edges, unpack
 from ._common import Scratch, release
-from ._shingles import mix, word_hashes
+from ._shingles import mix
 
 #: Bits per entry of the filter, and bits that an entry sets: in each of ``WORDS`` 64-bit words, ``PROBES`` of them.
 BITS, WORDS, PROBES = 20, 2, 5
 #: How often an absent entry is found (measured; a test holds it to this).
 FALSE_RATE = 4e-4
-#: A broadcast holds one shard of the filter of at most this many bytes (but for a single larger segment, see ``Filter``).
-SHARD_BYTES = 16 << 20
+#: Keys that are probed at a time.
+PROBED = 1 << 18
 #: Weight of the shorter context in the smoothing, in counts.
 MU = 4.0
 #: Pairs and triples seen less often have no entry (and no mass).
@@ -101,46 +104,14 @@ def entries(keys: np.ndarray, counts: np.ndarray, kind: str) -> bytes:
     return segment(np.concatenate((mix(keys), mix(~context[first]))), np.concatenate((level, sums)))
 
 
-class Filter:
-    """The whole filter as broadcast shards of bounded size.
+def found(data: bytes, keys: np.ndarray) -> np.ndarray:
+    """``probe`` of any number of keys, ``PROBED`` at a time."""
+    return np.concatenate([probe(data, mix(keys[i : i + PROBED])) for i in range(0, len(keys), PROBED)] or [np.zeros(0, np.uint8)])
 
-    The filter grows with the corpus; a shard does not. A worker loads one shard at a time, probes its chunk's keys of the shard's
-    key ranges, and lets it go, so memory holds ``SHARD_BYTES`` whatever the size of the corpus. A segment (key range) is
-    sized by its own entries. All shards pass through the driver, one at a time.
-    """
 
-    def __init__(self, spark: SparkSession, segments: DataFrame, parts: int):
-        self.parts = parts
-        sizes = {(r[0], r[1]): r[2] for r in segments.select("kind", "part", F.octet_length("data")).collect()}
-        groups, held = [[]], 0
-        for part in sorted(sizes):
-            if held and held + sizes[part] > SHARD_BYTES:
-                groups.append([])
-                held = 0
-            groups[-1].append(part)
-            held += sizes[part]
-        self.shards = []
-        for group in filter(None, groups):
-            rows = segments.where(F.concat("kind", "part").isin([f"{kind}{part}" for kind, part in group])).collect()
-            self.shards.append((group, spark.sparkContext.broadcast({(r["kind"], r["part"]): bytes(r["data"]) for r in rows})))
-
-    def levels(self, asked: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Of each kind's sorted keys and sorted contexts: their levels."""
-        cuts, out = {}, {}
-        for kind, (keys, contexts) in asked.items():
-            other = np.uint64(_KEY[kind][1])
-            edges = _edges(self.parts, kind)
-            cuts[kind] = _cuts(keys, edges), np.concatenate(([0], np.searchsorted(contexts << other, edges), [len(contexts)]))
-            out[kind] = np.zeros(len(keys), np.uint8), np.zeros(len(contexts), np.uint8)
-        for group, shard in self.shards:
-            held = shard.load_from_path(shard._path) if getattr(shard, "_path", None) else shard.value
-            for kind, part in group:
-                for values, where, found in zip((asked[kind][0], ~asked[kind][1]), cuts[kind], out[kind]):
-                    a, b = where[part], where[part + 1]
-                    if a < b:
-                        found[a:b] = probe(held[kind, part], mix(values[a:b]))
-            del held
-        return out
+def _firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array differ from the one before."""
+    return np.concatenate((np.ones(min(len(sorted_), 1), bool), sorted_[1:] != sorted_[:-1]))
 
 
 def _edges(parts: int, kind: str) -> np.ndarray:
@@ -153,11 +124,21 @@ def _cuts(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _tokens(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then one end per document), and tokens per document."""
-    each = [word_hashes(t.encode().lower().split()) for t in texts]
-    lengths = np.array([len(x) + 1 for x in each], np.int64)
-    return np.concatenate([y for x in each for y in (x, np.array([_END]))]), lengths
+def _tokens(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all tokens (words, then one end per document), which of them each token is, and tokens per document."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    words = split.flatten()
+    there = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words
+    so_far = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    lengths = np.diff(so_far[split.offsets.to_numpy() - split.offsets[0].as_py()]) + 1
+    coded = words.filter(there).dictionary_encode()
+    hashes = map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False))
+    distinct, of = np.unique(np.append(np.fromiter(hashes, np.uint64, len(coded.dictionary)), _END), return_inverse=True)
+    code = np.full(lengths.sum(), len(coded.dictionary))
+    last = np.zeros(len(code), bool)
+    last[np.cumsum(lengths) - 1] = True
+    code[~last] = coded.indices.to_numpy()
+    return distinct, of[code], lengths
 
 
 def _key(context: np.ndarray, token: np.ndarray, kind: str) -> np.ndarray:
@@ -187,39 +168,42 @@ def _counts(data: np.ndarray) -> bytes:
 
 
 def _uncounts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-def _often(packed: pd.Series, packed_n: pd.Series, token_bits: int, pieces: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that are counted ``LEAST`` times over all slices, and their counts; worked out in pieces of the range that cut no context."""
-    has = [len(x) > 0 for x in packed]
-    keys, counts = [unpack(x) for x in packed[has]], [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in packed_n[has]]
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low, high = (int(f(k[i] for k in keys)) >> token_bits for f, i in ((min, 0), (max, -1)))
-    edges = np.array([(low + (high - low) * i // pieces) << token_bits for i in range(1, pieces)], np.uint64)
-    cuts = [_cuts(k, edges) for k in keys]
-    kept, n = [], []
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) if data else np.zeros(0, np.int64)
+
+
+def _merged(packed: pd.Series, packed_n: pd.Series, pieces: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The sorted distinct keys of all slices, their counts over all, and which of them each slice's keys are; worked out in pieces of the range."""
+    keys, counts = [unpack(x) for x in packed], [_uncounts(x) for x in packed_n]
+    where = [np.zeros(len(k), np.int32) for k in keys]
+    some = [i for i, k in enumerate(keys) if len(k)]
+    if not some:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), where
+    low, high = min(int(keys[i][0]) for i in some), max(int(keys[i][-1]) for i in some)
+    edges = np.array([low + (high - low) * i // pieces for i in range(1, pieces)], np.uint64)
+    cuts, distinct, total, before = [_cuts(k, edges) for k in keys], [], [], 0
     for a in range(pieces):
-        some = np.concatenate([k[c[a] : c[a + 1]] for k, c in zip(keys, cuts)])
-        if len(some):
-            order = np.argsort(some)
-            some, count = some[order], np.concatenate([x[c[a] : c[a + 1]] for x, c in zip(counts, cuts)])[order]
-            first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
-            total = np.add.reduceat(count, first, dtype=np.int64)
-            kept.append(some[first[total >= LEAST]])
-            n.append(total[total >= LEAST])
-    return np.concatenate(kept), np.concatenate(n)
+        each = [(i, slice(cuts[i][a], cuts[i][a + 1])) for i in some]
+        piece = np.concatenate([keys[i][at] for i, at in each])
+        order = np.argsort(piece)
+        piece, count = piece[order], np.concatenate([counts[i][at] for i, at in each])[order]
+        first = _firsts(piece)
+        nth = np.empty(len(piece), np.int32)
+        nth[order] = before + np.cumsum(first) - 1
+        done = 0
+        for i, at in each:
+            where[i][at] = nth[done : done + at.stop - at.start]
+            done += at.stop - at.start
+        distinct.append(piece[first])
+        if len(piece):
+            total.append(np.add.reduceat(count, np.flatnonzero(first)))
+        before += len(distinct[-1])
+    return np.concatenate(distinct), np.concatenate(total), where
 
 
 def _in_training(ids: pd.Series, folds: int) -> np.ndarray:
     return np.array([pd.isna(i) or zlib.crc32(i.encode()) % folds != 0 for i in ids], bool)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_inverse=True)
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, mu: float = MU) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per row of ``docs``.
 
@@ -235,9 +219,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     (``FALSE_RATE`` times the words that could be looked up after v). So the probabilities after a context sum to 1 at most, in
     expectation over the filter's hashes, and to 1 where its Z is 0.
 
-    Chunks count their own words, pairs and triples, key ranges add them up over all chunks; a range returns each chunk the exact
-    counts of its words, and turns its pairs and triples into segments of the filter. Null text is empty: its one token is the end. An
-    empty table gives no rows; rows that repeat are documents each. Other columns are not read.
+    Chunks count their own words, pairs and triples, key ranges add them up over all chunks; a range turns its pairs and triples into
+    its segment of the filter, and returns each chunk the exact counts of its words and what the segment holds of its keys and contexts. So a key
+    travels once per chunk and is probed once, where its segment is; the filter never is in one place. Null text is empty: its one token
+    is the end. An empty table gives no rows; rows that repeat are documents each. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -250,46 +235,47 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return [(pack(keys[a:b]), _counts(counts[a:b])) if a < b else (b"", b"") for a, b in zip(cuts[:-1], cuts[1:])]
 
     def ask(key, frame):
-        tokens, lengths = _tokens(frame["text"])
+        words, where, lengths = _tokens(frame["text"])
         trains = np.repeat(_in_training(frame["doc_id"], folds), lengths)
-        words, where = np.unique(tokens, return_inverse=True)
         sets = [slices(words, np.bincount(where[trains], minlength=len(words)), "words")]
-        _, pairs, triples = _grams(tokens, lengths)
-        for kind, keys in (("pairs", pairs[trains]), ("triples", triples[trains & (triples > 0)])):
-            sets.append(slices(*np.unique(keys, return_counts=True), kind))
+        _, pairs, triples = _grams(words[where], lengths)
+        for kind, keys in (("pairs", pairs), ("triples", triples)):
+            distinct, learnt = np.sort(keys[keys > 0]), np.sort(keys[trains & (keys > 0)])
+            distinct = distinct[_firsts(distinct)]
+            counts = np.diff(np.searchsorted(learnt, distinct), append=len(learnt))
+            sets.append(slices(distinct, counts, kind))
         rows = [(p, key[0], *(x for y in some for x in y)) for p, some in enumerate(zip(*sets)) if any(y[0] for y in some)]
         return pd.DataFrame(rows, columns=["part", "chunk", *names])
 
     def answer(group):
-        part, out = group["part"].iloc[0], []
-        has = [len(x) > 0 for x in group["words"]]
-        keys = [unpack(x) for x in group["words"][has]]
-        if keys:
-            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, np.concatenate([_uncounts(x) for x in group["words_n"][has]]), len(distinct)).astype(np.int64)
-            back = np.split(n[where], np.cumsum([len(k) for k in keys])[:-1])
-            out += [("words", part, c, _counts(x), 0, 0, 0) for c, x in zip(group["chunk"][has], back)]
-            out.append(("sum", part, 0, b"", int(n.sum()), int((n > 0).sum()), int((n >= LEAST).sum())))
-        for kind in _KEY:
-            keys, n = _often(group[kind], group[f"{kind}_n"], _KEY[kind][1])
-            out.append((kind, part, 0, entries(keys, n, kind), 0, 0, 0))
-        return pd.DataFrame(out, columns=["kind", "part", "chunk", "data", "n", "v", "often"])
+        distinct, n, where = _merged(group["words"], group["words_n"])
+        out = {"part": group["part"], "chunk": group["chunk"], "words": [_counts(n[w]) for w in where]}
+        sums = pd.DataFrame({"chunk": [-1], "n": [n.sum()], "v": [(n > 0).sum()], "often": [(n >= LEAST).sum()]})
+        for kind, (_, token_bits) in _KEY.items():
+            distinct, n, where = _merged(group[kind], group[f"{kind}_n"])
+            data = entries(distinct[n >= LEAST], n[n >= LEAST], kind)
+            context = distinct >> np.uint64(token_bits)
+            first = _firsts(context)
+            level, z, of = found(data, distinct), found(data, ~context[first]), np.cumsum(first, dtype=np.int32) - 1
+            out[kind] = [level[w].tobytes() for w in where]
+            out[f"{kind}_z"] = [z[c[_firsts(c)]].tobytes() for c in (of[w] for w in where)]
+        return pd.concat([pd.DataFrame(out), sums])[["part", "chunk", *answers, "n", "v", "often"]]
 
     by_chunk = chunks.table.groupBy("chunk")
     asked = by_chunk.applyInPandas(ask, f"part int, chunk int, {', '.join(f'{x} binary' for x in names)}")
+    answers = ["words", *(f"{kind}{x}" for kind in _KEY for x in ("", "_z"))]
     told = scratch.save(
-        asked.groupBy("part").applyInPandas(answer, "kind string, part int, chunk int, data binary, n long, v long, often long"), "counts"
+        asked.groupBy("part").applyInPandas(answer, f"part int, chunk int, {', '.join(f'{x} binary' for x in answers)}, n long, v long, often long"), "counts"
     )
     release(spark)
-    n, v, often = told.where("kind = 'sum'").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "often"))).first()
-    lookup = Filter(spark, told.where(F.col("kind").isin(*_KEY)).select("kind", "part", "data"), chunks.parts)
+    n, v, often = told.where("chunk < 0").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "often"))).first()
 
-    def scored(key, frame, counts):
-        tokens, lengths = _tokens(frame["text"])
-        words, where = np.unique(tokens, return_inverse=True)
-        c = np.concatenate([_uncounts(x) for x in counts.sort_values("part")["data"]])
+    def scored(key, frame, told):
+        words, where, lengths = _tokens(frame["text"])
+        told = told.sort_values("part")
+        c = np.concatenate([_uncounts(x) for x in told["words"]])
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[where]
-        before, pairs, triples = _grams(tokens, lengths)
+        before, pairs, triples = _grams(words[where], lengths)
         at_before = np.concatenate(([0], where[:-1]))
         at_before[before == _START] = np.searchsorted(words, _END)
         c_before, c = c[at_before], c[where]
@@ -297,12 +283,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         contexts = c_before >= LEAST
         wanted = contexts & (c >= LEAST)
         sets = {"pairs": (pairs, contexts, wanted), "triples": (triples, before_last(wanted), before_last(wanted) & wanted)}
-        asked = {k: (_distinct(x[w]), _distinct(x[o] >> np.uint64(_KEY[k][1]))) for k, (x, o, w) in sets.items()}
-        found = lookup.levels({k: (keys[0], contexts[0]) for k, (keys, contexts) in asked.items()})
         p, total, q = 10.0**base, c_before, None
         for kind, (keys, has_context, wanted) in sets.items():
             seen, q, z = q, np.zeros(len(keys)), np.zeros(len(keys))
-            q[wanted], z[has_context] = (_COUNTS[levels_[which]] for levels_, (_, which) in zip(found[kind], asked[kind]))
+            distinct, at = np.unique(keys[keys > 0], return_inverse=True)
+            level, of_context = (np.frombuffer(b"".join(told[x]), np.uint8) for x in (kind, f"{kind}_z"))
+            context = np.cumsum(_firsts(distinct >> np.uint64(_KEY[kind][1]))) - 1
+            q[keys > 0], z[keys > 0] = _COUNTS[level][at], _COUNTS[of_context][context][at]
+            q[~wanted], z[~has_context] = 0, 0
             false = FALSE_RATE * often
             if kind == "triples":
                 q[seen == 0], total = 0, np.concatenate(([0], seen[:-1]))
@@ -324,8 +312,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             }
         )
 
-    counts = told.where("kind = 'words'").select("chunk", "part", "data")
-    out = by_chunk.cogroup(counts.groupBy("chunk")).applyInPandas(
+    of_chunk = told.where("chunk >= 0").select("chunk", "part", *answers).groupBy("chunk")
+    out = by_chunk.cogroup(of_chunk).applyInPandas(
         scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

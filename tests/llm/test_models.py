@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siltstone.llm import chat_format, lm_score, mixing, packing, quality_model, quality_rules, substring_dedup
+from siltstone.llm._chunks import Chunks
 from siltstone.llm._common import Scratch
+from siltstone.llm._shingles import word_hashes
 from siltstone.llm._tokens import WordTokens
 
 SF = "/root/testdata/sf0.001"
@@ -126,6 +129,30 @@ def test_lm_counts_and_base_scores_match_brute_force(spark):
     assert lm_score.lm_scores(frame(spark, [])).count() == 0
 
 
+def test_lm_filter_is_probed_where_its_segments_are(spark, monkeypatch):
+    rows = some_rows()
+    whole = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+
+    def never(*_):
+        raise AssertionError("the filter grows with the corpus, so it may not pass through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", never)
+    monkeypatch.setattr(lm_score, "Chunks", lambda *a: Chunks(*a, chunk_chars=1000))
+    got = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+    assert got.keys() == whole.keys()
+    for i, r in got.items():
+        assert r[:5] == whole[i][:5] and r[5:] == pytest.approx(whole[i][5:], rel=1e-9)
+
+
+def test_lm_tokens_are_words_between_ascii_white_space():
+    texts = ["", " ", "a", " a\x0b\x0cB\t\n\r c ", "\xc9 \xe9 \u0130 a", "\x1cA\x1fB \x85", "x x x", "\n\n"]
+    distinct, where, lengths = lm_score._tokens(pd.Series(texts))
+    each = [t.encode().lower().split() for t in texts]
+    assert lengths.tolist() == [len(ws) + 1 for ws in each]
+    assert distinct[where].tolist() == [h for ws in each for h in (*word_hashes(ws).tolist(), int(lm_score._END))]
+    assert (np.diff(distinct.astype(object)) > 0).all()
+
+
 def brute_repeats(words):
     at = defaultdict(list)
     for i in range(len(words) - 2):
