@@ -38,3 +38,33 @@ def test_blocks_equal_a_loop(spark, seed, monkeypatch):
     found = r.bm25(terms, posts, chunks, chunks.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len")), per_term=None, top=20)
     assert {(x.query_id, x.chunk_id, x.score, x.matched, x.rank) for x in found.collect()} == want
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_leave_out_what_earlier_ones_have_better(spark, monkeypatch, tmp_path):
+    """Rows given by blocks grow with the rounds, not with the blocks; rows equal those of one round."""
+    assert r._rounds(8) == [(0, 8)] and r._rounds(9) == [(0, 8), (8, 9)] and r._rounds(40) == [(0, 8), (8, 16), (16, 32), (32, 40)]
+    rng = random.Random(3)
+    length = {i: rng.randint(5, 60) for i in range(640)}
+    terms = spark.createDataFrame([(q, w) for q in range(20) for w in rng.sample("abcdefgh", 3)] + [(99, "none")], "query_id long, term string")
+    posts = spark.createDataFrame([(w, i, "en", rng.randint(1, 9)) for i in length for w in rng.sample("abcdefgh", 4)], "term string, chunk_id long, lang string, tf long")
+    chunks = spark.createDataFrame(list(length.items()), "chunk_id long, token_est long")
+    n = chunks.agg(F.count("*").alias("n"), F.avg("token_est").alias("avg_len"))
+    rows = lambda: {tuple(x) for x in r.bm25(terms, posts, chunks, n, per_term=None, top=4).collect()}
+    once = rows()
+    written = []
+    saver = r.scratch.saver
+
+    def counting(spark, what):
+        def save(df):
+            df = saver(spark, what)(df)
+            written.append((what, df.count()))
+            return df
+
+        return save
+
+    monkeypatch.setattr(r.scratch, "saver", counting)
+    monkeypatch.setattr(r, "CHUNK_BLOCK", 10)
+    assert rows() == once and len(once) == 80
+    assert [w for w in written if w[0] == "best"] == [("best", 80)] * 3
+    given = r._best_of_blocks(terms, posts.select("term", "chunk_id", F.col("tf").cast("double").alias("part")), 640, 4)
+    assert given.count() <= 80
