@@ -66,5 +66,5 @@ def test_rounds_leave_out_what_earlier_ones_have_better(spark, monkeypatch, tmp_
     monkeypatch.setattr(r, "CHUNK_BLOCK", 10)
     assert rows() == once and len(once) == 80
     assert [w for w in written if w[0] == "best"] == [("best", 80)] * 3
-    given = r._best_of_blocks(terms, posts.select("term", "chunk_id", F.col("tf").cast("double").alias("part")), 640, 4)
+    given = r._best_of_blocks(terms.withColumn("idf", F.lit(1.0)), posts.select("term", "chunk_id", "tf", F.lit(2.2).alias("below")), 640, 4)
     assert given.count() <= 80
